@@ -99,7 +99,8 @@ def replay(refs: DataFrame, events: DataFrame, months: int = 6) -> list[tuple[st
     def period(at: str) -> F.Column:
         return F.coalesce(F.floor((F.year(at) * 12 + F.month(at) - 1) / months), F.lit(0))
 
-    refs, events = refs.withColumn("period", period("ref_at")), events.withColumn("period", period("at"))
+    refs = written(refs.withColumn("period", period("ref_at")), "orphan-new-refs", "period")
+    events = written(events.withColumn("period", period("at")).groupBy(*KEY, "live_from", "period").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_live").alias("n_live")), "orphan-events", "period")
     found = sorted(r[0] for r in refs.select("period").union(events.select("period")).distinct().collect())  # one row per period
     states, state = [], OrphanState()
     for p in found or [0]:

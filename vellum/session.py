@@ -30,11 +30,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder; later stages read its statistics."""
+def written(df: DataFrame, name: str, *parts: str) -> DataFrame:
+    """Cut the lineage with a Parquet table (in folders of ``parts``) in the shared folder; later stages read its statistics."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(*parts) if parts else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
