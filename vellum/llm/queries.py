@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions.keys import plain_patent
-from vellum.llm import capping, clusters, packing, splits
+from vellum.llm import capping, clusters, leakage, packing, sentences, splits
 from vellum.session import table, written
 
 
@@ -67,7 +67,30 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.agg(F.count("*").alias("n_containers"), F.sum("n_items").alias("n_items"), F.sum("n_tokens").alias("n_tokens"), (F.sum("n_tokens") / (F.count("*") * packing.CAPACITY)).alias("fill"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_split, p2_balance, p5_found, p5_families, p6_found, p6_kept, p7_containers, p7_fill)}
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every case with the number of words in its stretch and its place in the text."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_leaks(spark, sf_dir).select("doc_id", "item_no").distinct()
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that each leaked item stands in."""
+    return p8_leaks(spark, sf_dir).groupBy("item_no").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("n_words").alias("longest"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(table(spark, sf_dir, "documents"))
+
+
+def p9_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units per document and their mean length."""
+    return p9_found(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_units"), F.avg(F.col("end_pos") - F.col("start_pos")).alias("mean_chars"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_split, p2_balance, p5_found, p5_families, p6_found, p6_kept, p7_containers, p7_fill, p8_found, p8_leaks, p8_items, p9_found, p9_lengths)}
 PATENT = "left(upper(regexp_replace(patent_id, '[^A-Za-z0-9]', '', 'g')), 9)"
 P2_GROUPS = f"""WITH RECURSIVE
 own AS (SELECT load_no, patent_id, {PATENT} AS p, CASE WHEN regexp_matches(sketch_id, '^[A-Za-z]{{2}}[^A-Za-z0-9]*[0-9]{{7}}([^0-9]|$)') THEN left(upper(regexp_replace(sketch_id, '[^A-Za-z0-9]', '', 'g')), 9) END AS t FROM results),
