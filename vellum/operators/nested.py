@@ -6,12 +6,14 @@ has its own typed table, while the keys ``doc, child, parent_pos, pos`` are comm
 
 Defined results: a null, empty or unreadable document has no rows; a document may be wrapped in any number of JSON
 strings and carry a byte order mark; a null element is no record but keeps its position; a lone object stands for an
-array of one; a scalar where an array is due is no record; a record that fits no rule has the variant ``other``.
+array of one; a scalar where an array is due is no record; a record that fits no rule has the variant
+``other``; NaN and infinite numbers, written as numbers or as texts, are null in the typed tables.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -98,10 +100,9 @@ def leaf_state(value: object) -> str:
         return "num"
     if isinstance(value, str):
         try:
-            float(value)
+            return "numtext" if math.isfinite(float(value)) else "text"
         except ValueError:
             return "text"
-        return "numtext"
     if isinstance(value, list):
         if not value:
             return "empty"
@@ -150,7 +151,8 @@ def typed_fields(record: object) -> tuple[dict[str, float], dict[str, str]]:
 
     def number(key: str, value: object) -> None:
         try:
-            numbers[key] = float(value)
+            if math.isfinite(float(value)):
+                numbers[key] = float(value)
         except OverflowError:
             pass  # an integer beyond a double has no number
 

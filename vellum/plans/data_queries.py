@@ -87,7 +87,7 @@ kept AS (SELECT * FROM live QUALIFY row_number() OVER (PARTITION BY kind, patent
 ORACLES = {
     "p1_found": f"WITH {P1_RECORDS} SELECT doc_no, child, parent_pos::INT AS parent_pos, pos::INT AS pos FROM records",
     "p1_lines": f"""WITH {P1_RECORDS} SELECT doc_no, pos::INT AS pos, (item->>'edge_id')::INT AS edge_id, (item->>'$.p1[0]')::DOUBLE AS p1_0, (item->>'$.p1[1]')::DOUBLE AS p1_1,
-        (item->>'$.p2[0]')::DOUBLE AS p2_0, (item->>'$.p2[1]')::DOUBLE AS p2_1, (item->>'confidence')::DOUBLE AS confidence, item->>'style' AS style
+        (item->>'$.p2[0]')::DOUBLE AS p2_0, (item->>'$.p2[1]')::DOUBLE AS p2_1, CASE WHEN isfinite(TRY_CAST(item->>'confidence' AS DOUBLE)) THEN TRY_CAST(item->>'confidence' AS DOUBLE) END AS confidence, item->>'style' AS style
         FROM records WHERE child = 'primitives' AND item->>'type' = 'line'""",
     "p3_found": f"WITH {P3_ORPHANS} SELECT * FROM orphans WHERE ref_state IS NOT NULL",
     "p3_report": f"WITH {P3_ORPHANS} SELECT ref_table, ref_field, ref_month, ref_state, count(*) AS n_refs FROM orphans WHERE ref_state IS NOT NULL GROUP BY ALL",

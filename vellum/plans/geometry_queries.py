@@ -211,12 +211,12 @@ def encoded_chains(spark, d):
     return own.select(*BY, F.col("slot").cast("int").alias("slot"), "x", "y")
 
 
-@query(f"WITH {P1_RECORDS}, c AS (SELECT doc_no, (item->>'confidence')::DOUBLE AS conf, coalesce(item->>'style', '') AS style FROM records WHERE child = 'primitives') SELECT doc_no, count(*) AS n_primitives, count(*) FILTER (style = 'hachure') AS n_hachures, round(coalesce(avg(conf) FILTER (style <> 'hachure'), 0), 4) AS mean_conf, round(coalesce(avg((conf < 0.6)::INT) FILTER (style <> 'hachure' AND conf IS NOT NULL), 0), 6) AS low_ratio FROM c GROUP BY doc_no")
+@query(f"WITH {P1_RECORDS}, c AS (SELECT doc_no, CASE WHEN isfinite(TRY_CAST(item->>'confidence' AS DOUBLE)) THEN TRY_CAST(item->>'confidence' AS DOUBLE) END AS conf, coalesce(item->>'style', '') AS style FROM records WHERE child = 'primitives') SELECT doc_no, count(*) AS n_primitives, count(*) FILTER (style = 'hachure') AS n_hachures, coalesce(sum(round(conf * 10000)::BIGINT * 100) FILTER (style <> 'hachure') // nullif(count(conf) FILTER (style <> 'hachure'), 0), 0)::BIGINT AS mean_conf_ppm, round(coalesce(avg((conf < 0.6)::INT) FILTER (style <> 'hachure' AND conf IS NOT NULL), 0), 6) AS low_ratio FROM c GROUP BY doc_no")
 def document_confidence(spark, d):
     """Mean confidence and share of low ones per document, hachures left out."""
     p = shredded(spark, d).where("child = 'primitives'").select("doc_no", F.col("numbers")["confidence"].alias("conf"), F.coalesce(F.col("texts")["style"], F.lit("")).alias("style"))
     main = F.when(F.col("style") != "hachure", F.col("conf"))
-    return p.groupBy("doc_no").agg(F.count("*").alias("n_primitives"), F.count_if(F.col("style") == "hachure").alias("n_hachures"), F.round(F.coalesce(F.avg(main), F.lit(0.0)), 4).alias("mean_conf"), F.round(F.coalesce(F.avg((main < 0.6).cast("int")), F.lit(0.0)), 6).alias("low_ratio"))
+    return p.groupBy("doc_no").agg(F.count("*").alias("n_primitives"), F.count_if(F.col("style") == "hachure").alias("n_hachures"), F.coalesce(F.expr("sum(cast(round(case when style <> 'hachure' then conf end * 10000) as bigint) * 100) div nullif(count(case when style <> 'hachure' then conf end), 0)"), F.lit(0)).alias("mean_conf_ppm"), F.round(F.coalesce(F.avg((main < 0.6).cast("int")), F.lit(0.0)), 6).alias("low_ratio"))
 
 
 SQL_GRAPH = "WITH g AS (SELECT file_no, body::JSON AS body FROM artifact_files WHERE kind = 'graph' AND json_valid(body) AND json_type(body) = 'OBJECT'), e AS (SELECT file_no, (i->>'id')::INT AS edge, (i->>'source')::INT AS source, (i->>'target')::INT AS target, (i->>'is_closed')::BOOL AS is_closed FROM (SELECT file_no, unnest((body->'edges')::JSON[]) AS i FROM g)), n AS (SELECT file_no, (i->>'id')::INT AS node, (i->>'x')::DOUBLE AS x, (i->>'y')::DOUBLE AS y, i->>'type' AS type FROM (SELECT file_no, unnest((body->'nodes')::JSON[]) AS i FROM g)), dg AS (SELECT file_no, node, count(*) AS degree FROM (SELECT file_no, source AS node FROM e WHERE NOT is_closed UNION ALL SELECT file_no, target FROM e WHERE NOT is_closed) GROUP BY ALL)"
