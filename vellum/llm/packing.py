@@ -121,4 +121,6 @@ def packed(docs: DataFrame, doc_key: str = "doc_id", text: str = "text", capacit
         return pd.DataFrame(out, columns=["container_id", "n_tokens", "n_items", "items"])
 
     rest = items.where(F.col("n_tokens") < capacity).withColumn("block", F.pmod(F.xxhash64("doc", "piece"), F.lit(blocks)))
-    return rest.groupBy("block").applyInPandas(fill, schema).unionByName(full)
+    # blocks cost CPU, not bytes: a partition each, up to some thousands, so that they are not merged for their size
+    tasks = blocks if blocks <= 2_000 else -(-blocks // 4)
+    return rest.repartition(tasks, "block").groupBy("block").applyInPandas(fill, schema).unionByName(full)
