@@ -29,10 +29,10 @@ LARGE = 1_000
 
 def grouped(rows: DataFrame, entity: F.Column, tie: F.Column) -> DataFrame:
     """Rows with ``group_key``, the smallest entity that they are connected to by ties."""
-    named = rows.withColumn("entity", entity).withColumn("tied", tie)
-    edges = named.select("entity", "tied").where("tied is not null and entity is not null and tied <> entity").distinct()
-    roots = written(components(edges, "entity", "tied"), "split-groups").withColumnsRenamed({"node": "entity", "root": "found"})
-    return named.join(roots, "entity", "left").withColumn("group_key", F.coalesce("found", "entity")).drop("entity", "tied", "found")
+    named = rows.withColumn("_entity", entity).withColumn("_tied", tie)
+    edges = named.select("_entity", "_tied").where("_tied is not null and _entity is not null and _tied <> _entity").distinct()
+    roots = written(components(edges, "_entity", "_tied"), "split-groups").withColumnsRenamed({"node": "_entity", "root": "_found"})
+    return named.join(roots, "_entity", "left").withColumn("group_key", F.coalesce("_found", "_entity")).drop("_entity", "_tied", "_found")
 
 
 def place(groups: list[tuple[object, dict[str, int]]], desired: list[dict[str, float]], room: list[float]) -> dict[object, int]:
