@@ -26,6 +26,14 @@ def first_match(steps: Iterable[Step], otherwise: str | None = None) -> Column:
     return chain.otherwise(F.lit(otherwise))
 
 
+def steps_of(table) -> list[Step]:
+    """A chain from a table ``(place, condition, gives)``, say of a CSV; the chain is a stated list, its length is checked."""
+    rows = table.select("place", "condition", "gives").orderBy("place").limit(10_001).collect()
+    if len(rows) > 10_000:
+        raise ValueError("a rule chain of more than 10,000 steps")
+    return [Step(r["condition"], r["gives"]) for r in rows]
+
+
 def as_sql(steps: Iterable[Step], otherwise: str | None = None) -> str:
     """The same chain as text."""
     end = "NULL" if otherwise is None else f"'{otherwise}'"

@@ -9,7 +9,8 @@ from vellum.functions.keys import last_part, plain_patent, run_path
 from vellum.operators import aggregates as agg
 from vellum.operators import relational as rel
 from vellum.operators.rules import MANIFEST_GATES, PAGE_CLASSES, PAGE_ELSE, STAGE_FLAGS, UNREADABLE, as_sql, first_match, stage_gate
-from vellum.session import table
+from vellum.session import fresh_path, table
+from vellum.sources import readers, sinks
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -319,3 +320,30 @@ def graph_headers(spark, d):
     doc = F.from_json("body", shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     rows = table(spark, d, "artifact_files").where("kind = 'graph' and trim(body) <> ''").select("file_no", doc.alias("g")).where("g._bad is null and g is not null")
     return rows.select("file_no", F.get("g.image_shape", F.lit(0)).alias("height"), F.get("g.image_shape", F.lit(1)).alias("width"), F.col("g.metrics.median_edge_length").alias("median_edge"), F.size("g.nodes").alias("n_nodes"))
+
+
+# --- sources and sinks
+
+
+@query("SELECT load_no, patent_id, coalesce(sketch_id, '') AS sketch_id, coalesce(svg_path, '') AS svg_path, coalesce(s2_n_edges, 0) AS n_edges, coalesce(s3_mean_conf, 0) AS mean_conf FROM training_manifest")
+def manifest_file(spark, d):
+    """The training manifest written as delimited text and read back, texts made numbers again."""
+    path, fields = fresh_path(spark, "manifest-csv"), ["load_no", "patent_id", "sketch_id", "svg_path", "s2_n_edges", "s3_mean_conf", "absent"]
+    sinks.write_csv(table(spark, d, "training_manifest"), path, fields)
+    rows = readers.text_table(spark, path, fields)
+    return rows.select(F.col("load_no").cast("bigint").alias("load_no"), "patent_id", F.coalesce("sketch_id", F.lit("")).alias("sketch_id"), F.coalesce("svg_path", F.lit("")).alias("svg_path"), readers.whole("s2_n_edges").alias("n_edges"), readers.number("s3_mean_conf").alias("mean_conf"))
+
+
+@query("SELECT load_no, graph_path, filter_reason, total_time FROM training_manifest")
+def manifest_lines(spark, d):
+    """The training manifest written as JSON lines and read back."""
+    path = fresh_path(spark, "manifest-json")
+    sinks.write_json_lines(table(spark, d, "training_manifest").select("load_no", "graph_path", "filter_reason", "total_time"), path)
+    return spark.read.schema("load_no bigint, graph_path string, filter_reason string, total_time double").json(path)
+
+
+@query(r"SELECT load_no, path AS src, 'quarantine/' || patent || '/' || regexp_extract(trim(path), '([^/\\]*)$', 1) AS dst FROM filter_manifest WHERE label = 'discard'")
+def quarantine(spark, d):
+    """Where the discarded pages would be moved to."""
+    rows = table(spark, d, "filter_manifest").where("label = 'discard'")
+    return rows.select("load_no", F.col("path").alias("src"), F.concat_ws("/", F.lit("quarantine"), "patent", last_part(F.col("path"))).alias("dst"))

@@ -170,6 +170,15 @@ def parallel_groups(spark, d):
     return rounded(own.join(lines(spark, d).select("doc_no", "pos", "length"), ["doc_no", "pos"]).groupBy("doc_no", "root").agg(F.count("*").alias("n_strokes"), F.sum("length").alias("total")), "total")
 
 
+@query(f"WITH RECURSIVE {(SQL_LINES + ', ' + SQL_PARALLEL)[5:]}, both_ways AS (SELECT doc_no, pos AS a, other AS b FROM pr UNION SELECT doc_no, other, pos FROM pr), reach AS (SELECT doc_no, a, b FROM both_ways UNION SELECT r.doc_no, r.a, o.b FROM reach r JOIN both_ways o ON r.doc_no = o.doc_no AND r.b = o.a), roots AS (SELECT doc_no, a AS pos, least(a, min(b)) AS root FROM reach GROUP BY doc_no, a), big AS (SELECT doc_no, root FROM roots JOIN lines USING (doc_no, pos) GROUP BY doc_no, root HAVING count(*) >= 2 AND sum(length) >= {TOTAL}), cut AS (SELECT doc_no, count(*) AS n FROM roots JOIN big USING (doc_no, root) GROUP BY doc_no) SELECT doc_no, count(*) AS n_lines, coalesce(any_value(n), 0) AS n_hachures, coalesce(any_value(n), 0) / count(*) <= 0.75 AS removed FROM lines LEFT JOIN cut USING (doc_no) GROUP BY doc_no")
+def hachure_layers(spark, d):
+    """How many lines of each document would go to the hachure layer, and whether the guard lets them."""
+    groups = parallel_groups(spark, d).where((F.col("n_strokes") >= 2) & (F.col("total") >= TOTAL)).groupBy("doc_no").agg(F.sum("n_strokes").alias("n"))
+    counts = lines(spark, d).groupBy("doc_no").agg(F.count("*").alias("n_lines"))
+    n = F.coalesce("n", F.lit(0))
+    return counts.join(groups, "doc_no", "left").select("doc_no", "n_lines", n.alias("n_hachures"), (n / F.col("n_lines") <= 0.75).alias("removed"))
+
+
 SQL_CENTRES = f"WITH {P1_RECORDS}, cc AS (SELECT doc_no, pos AS circle_pos, (item->>'$.center[0]')::DOUBLE AS x, (item->>'$.center[1]')::DOUBLE AS y FROM records WHERE child = 'primitives' AND item->>'type' IN ('circle')), pp AS (SELECT doc_no, pos AS arc_pos, (item->>'$.center[0]')::DOUBLE AS x, (item->>'$.center[1]')::DOUBLE AS y FROM records WHERE child = 'primitives' AND item->>'type' = 'arc'), nn AS (SELECT a.doc_no, arc_pos, circle_pos, sqrt((a.x-c.x)**2 + (a.y-c.y)**2) AS distance FROM pp a JOIN cc c USING (doc_no) QUALIFY row_number() OVER (PARTITION BY a.doc_no, arc_pos ORDER BY distance, circle_pos) = 1)"
 
 
@@ -264,6 +273,14 @@ def pixel_overlap(spark, d):
     return u.groupBy("doc_no").agg(share(F.count("*")).alias("iou"), share(first).alias("precision"), share(second).alias("recall"))
 
 
+@query(f"{SQL_SIDES} SELECT a.doc_no, count(*) AS n_pixels, round(avg((b.x IS NULL)::INT), 6) AS isolation FROM a LEFT JOIN b ON a.doc_no = b.doc_no AND a.x = b.x AND a.y = b.y GROUP BY a.doc_no")
+def isolation_ratios(spark, d):
+    """Share of each document's foreground that no stroke covers."""
+    a, b = sides(spark, d)
+    own = a.join(b.withColumn("covered", F.lit(True)), ["doc_no", "x", "y"], "left")
+    return own.groupBy("doc_no").agg(F.count("*").alias("n_pixels"), F.round(F.avg(F.col("covered").isNull().cast("int")), 6).alias("isolation"))
+
+
 @query(f"{SQL_SIDES}, m AS (SELECT a.doc_no, a.x, a.y, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS d FROM a JOIN b USING (doc_no) GROUP BY ALL), k AS (SELECT b.doc_no, b.x, b.y, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS d FROM b JOIN a USING (doc_no) GROUP BY ALL) SELECT doc_no, round(p, 6) AS there, round(q, 6) AS back, round((p + q) / 2, 6) AS chamfer FROM (SELECT doc_no, avg(d) AS p FROM m GROUP BY 1) JOIN (SELECT doc_no, avg(d) AS q FROM k GROUP BY 1) USING (doc_no)")
 def chamfer_distances(spark, d):
     """Directed and symmetric Chamfer distance of two pixel sets per document."""
