@@ -99,7 +99,13 @@ reach AS (SELECT a, b FROM ties UNION SELECT reach.a, ties.b FROM reach JOIN tie
 roots AS (SELECT a, least(a, min(b)) AS root FROM reach GROUP BY a),
 rows AS (SELECT load_no, patent_id, coalesce(root, p) AS lead_patent FROM own LEFT JOIN roots ON p = a)"""
 P6_RANKED = f"""WITH ranked AS (SELECT {PATENT} AS patent, load_no, row_number() OVER (PARTITION BY {PATENT} ORDER BY CASE WHEN s3_mean_conf BETWEEN 0 AND 1 THEN s3_mean_conf ELSE -1 END DESC, load_no) AS place FROM results)"""
+P5_FAMILIES = """WITH RECURSIVE f AS (SELECT load_no, round(text_density * 10000)::INT AS a, long_lines AS b, round(skel_tiny_cc_frac * 10000)::INT AS c, round(line_diag_ratio * 10000)::INT AS d FROM filter_manifest
+  WHERE text_density IS NOT NULL AND long_lines IS NOT NULL AND skel_tiny_cc_frac IS NOT NULL AND line_diag_ratio IS NOT NULL),
+links AS MATERIALIZED (SELECT x.load_no AS p, y.load_no AS q FROM f x JOIN f y ON abs(x.a - y.a) <= 90 AND abs(x.b - y.b) <= 6 AND abs(x.c - y.c) <= 340 AND abs(x.d - y.d) <= 340 AND x.load_no <> y.load_no),
+reach AS (SELECT load_no AS p, load_no AS q FROM f UNION SELECT reach.p, links.q FROM reach JOIN links ON reach.q = links.p),
+leads AS (SELECT p AS load_no, min(q) AS lead_no FROM reach GROUP BY p)"""
 ORACLES = {
+    "p5_found": f"{P5_FAMILIES} SELECT lead_no, load_no FROM leads WHERE lead_no <> load_no",
     "p2_found": f"{P2_GROUPS} SELECT load_no, lead_patent FROM rows WHERE lead_patent IN (SELECT lead_patent FROM rows GROUP BY 1 HAVING count(DISTINCT patent_id) > 1)",
     "p6_found": f"{P6_RANKED} SELECT load_no FROM ranked WHERE place > 10",
     "p6_kept": f"{P6_RANKED} SELECT patent, load_no, place::INT AS place FROM ranked WHERE place <= 10",
