@@ -289,6 +289,18 @@ def chamfer_distances(spark, d):
     return p.join(q, "doc_no").select("doc_no", F.round("p", 6).alias("there"), F.round("q", 6).alias("back"), F.round((F.col("p") + F.col("q")) / 2, 6).alias("chamfer"))
 
 
+SQL_THIRDS = f"{SQL_POINTS}, t AS (SELECT DISTINCT doc_no, prim % 3 AS s, round(x / 40)::INT AS x, round(y / 40)::INT AS y FROM pts), m AS (SELECT a.doc_no, b.s, a.x, a.y, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS d FROM t a JOIN t b ON a.doc_no = b.doc_no AND a.s = 0 AND b.s > 0 GROUP BY ALL), p AS (SELECT doc_no, s, avg(d) AS d FROM m GROUP BY ALL)"
+
+
+@query(f"{SQL_THIRDS} SELECT a.doc_no, round(a.d, 6) AS first_stage, round(b.d, 6) AS second_stage, round(b.d - a.d, 6) AS added FROM p a JOIN p b ON a.doc_no = b.doc_no AND a.s = 1 AND b.s = 2")
+def stage_attribution(spark, d):
+    """Distance of the truth to the results of two stages, and what the second stage added."""
+    p = written(points(spark, d).select("doc_no", (F.col("prim") % 3).alias("s"), F.round(F.col("x") / 40).cast("int").alias("x"), F.round(F.col("y") / 40).cast("int").alias("y")).distinct(), "thirds")
+    truth = p.where("s = 0")
+    a, b = (geo.chamfer(truth, p.where(F.col("s") == k), ["doc_no"], 8.0).select("doc_no", F.col("mean").alias(n)) for k, n in ((1, "a"), (2, "b")))
+    return a.join(b, "doc_no").select("doc_no", F.round("a", 6).alias("first_stage"), F.round("b", 6).alias("second_stage"), F.round(F.col("b") - F.col("a"), 6).alias("added"))
+
+
 @query("WITH p AS (SELECT DISTINCT l_linenumber AS grid, (l_partkey % 61)::INT AS x, (l_suppkey % 53)::INT AS y FROM lineitem WHERE l_quantity <= 8), b AS (SELECT p.*, " + ", ".join(f"EXISTS (SELECT 1 FROM p q WHERE q.grid = p.grid AND q.x = p.x + ({i}) AND q.y = p.y + ({j}))::INT AS n{k}" for k, (i, j) in enumerate([(0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1)])) + " FROM p) SELECT grid, x, y, (" + " + ".join(f"abs(n{k} - n{(k + 1) % 8})" for k in range(8)) + ")::INT // 2 AS crossing FROM b")
 def crossing_numbers(spark, d):
     """Crossing number of every pixel of some grids."""

@@ -22,7 +22,7 @@ def shared_folder(spark: SparkSession) -> str:
         sc.setCheckpointDir(folder)
     elif not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
-    return folder if "://" in folder or folder.startswith("file:") else "file://" + folder
+    return folder
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
