@@ -3,7 +3,7 @@
 Normalisation decomposes characters, folds case and keeps letters and digits only, so accents, spacing, punctuation, line-end
 hyphens and equivalent forms vanish on both sides.  The automaton's patterns are all runs of so many words (characters
 in scripts without spaces) of an item as a stretch of a third of it with one word in eight wrong must hold unbroken, so every
-true case has a hit.  A hit is aligned word by word in both directions, with
+true case has hits, and a number of different ones that no true case falls short of; documents with fewer are done.  A hit is aligned word by word in both directions, with
 wrong, mistyped or missing words skipped; a case counts if some run of item words is long enough and has few enough skipped.
 
 The items are the stated query set.  They are read once, in blocks of a bounded size (one automaton each), and every block meets all
@@ -20,6 +20,7 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +37,8 @@ UNSPACED = ("ja", "zh")
 UNSPACED_LETTER = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 #: How far a wrong word may reach beyond its length in the document, in characters.
 SLACK = 16
-LOOKAHEAD = 4
+#: How many words may be skipped in a row, and how many characters of words (of unspaced scripts) must fit to go on.
+LOOKAHEAD, PROBE_WORDS, PROBE_CHARS = 4, 6, 4
 
 
 def flat(text: str) -> str:
@@ -58,11 +60,20 @@ def flat_positions(text: str) -> list[int]:
 
 @dataclass(frozen=True)
 class Item:
-    """An item's number and its normalised words (characters in unspaced scripts)."""
+    """An item's number, its normalised words (characters in unspaced scripts), and the length of its patterns.
+
+    ``ends`` are the words' ends in the item; ``ahead`` and ``behind`` hold, for each word, it and so many after or before it as
+    make a probe that is rare enough to go on from.
+    """
 
     number: int
     words: tuple[str, ...]
     run: int
+    slack: int = 0
+    ends: tuple[int, ...] = ()
+    ahead: tuple[str, ...] = ()
+    behind: tuple[str, ...] = ()
+    hits: int = 1
 
 
 def sure_run(n: int) -> int:
@@ -70,11 +81,27 @@ def sure_run(n: int) -> int:
     return min((-(-(size - size // WRONG_SHARE) // (size // WRONG_SHARE + 1)) for size in range(max(1, -(-n // LEAST_SHARE)), n + 1)), default=0)
 
 
+def sure_hits(n: int, run: int) -> int:
+    """Different patterns of ``run`` words that any such stretch holds; each wrong word spoils at most ``run`` of them."""
+    sizes = range(max(1, -(-n // LEAST_SHARE)), n + 1)
+    return min((max(1, size - size // WRONG_SHARE - (size // WRONG_SHARE + 1) * (run - 1)) for size in sizes), default=1)
+
+
 def item_of(number: int, text: str, lang: str | None) -> Item:
     plain = flat(text)
     unspaced = (lang or "").lower()[:2] in UNSPACED or len(UNSPACED_LETTER.findall(plain)) * 2 > len(plain)
     words = tuple(plain) if unspaced else tuple(w for w in map(flat, re.sub(r"-\s*\n\s*|\u00ad", "", text).split()) if w)
-    return Item(number, words, min(sure_run(len(words)), RUN_CHARS if unspaced else RUN_WORDS))
+    need, ahead, behind = PROBE_CHARS if unspaced else PROBE_WORDS, [], []
+    for k in range(len(words)):
+        i = j = k
+        while sum(map(len, words[k : i + 1])) < need and i + 1 < len(words):
+            i += 1
+        while sum(map(len, words[j : k + 1])) < need and j:
+            j -= 1
+        ahead.append("".join(words[k : i + 1]))
+        behind.append("".join(words[j : k + 1]))
+    run = min(sure_run(len(words)), RUN_CHARS if unspaced else RUN_WORDS)
+    return Item(number, words, run, 2 if unspaced else SLACK, tuple(accumulate(map(len, words))), tuple(ahead), tuple(behind), sure_hits(len(words), run))
 
 
 def automaton_of(items: list[Item]):
@@ -93,51 +120,49 @@ def automaton_of(items: list[Item]):
     return found if where else None
 
 
-def aligned(words: tuple[str, ...], text: str, i: int, at: int, forward: bool) -> list[tuple[int, int, int]]:
+def aligned(item: Item, text: str, i: int, at: int, forward: bool) -> list[tuple[int, int, int]]:
     """Words that follow (or precede) an anchor, as ``(word, start, end)`` of those that are there.
 
     ``i`` is the next word, ``at`` the place where it should begin (or end).  A word that is not there is skipped; the text goes on
-    where the next words fit again, with the fewest words and characters skipped.
+    where the next words fit again, with the fewest words skipped.
     """
     out: list[tuple[int, int, int]] = []
-    n, one, end = len(words), len(words[0]) == 1 and len("".join(words)) == len(words), len(text)
-    need = 4 if one else 6
-    while (0 <= i < n) and (0 < at if not forward else at < end):
-        w = words[i]
-        if forward and text.startswith(w, at):
-            out.append((i, at, at + len(w)))
-            i, at = i + 1, at + len(w)
-            continue
-        if not forward and text.endswith(w, 0, at):
-            out.append((i, at - len(w), at))
-            i, at = i - 1, at - len(w)
-            continue
-        best = None
-        skipped = 0
-        for s in range(1, LOOKAHEAD + 1):
-            skipped += len(words[i + (s - 1 if forward else 1 - s)])
-            j = i + s if forward else i - s
-            if not 0 <= j < n:
-                break
-            probe = words[j]
-            k = j
-            while len(probe) < need and 0 <= (k + 1 if forward else k - 1) < n:
-                k = k + 1 if forward else k - 1
-                probe = probe + words[k] if forward else words[k] + probe
-            if len(probe) < min(need, 3):
+    words, ends, n, end = item.words, item.ends, len(item.words), len(text)
+    if forward:
+        while i < n and at < end:
+            w = words[i]
+            if text.startswith(w, at):
+                stop = at + len(w)
+                out.append((i, at, stop))
+                i, at = i + 1, stop
                 continue
-            reach = skipped + s * (2 if one else SLACK)
-            if forward:
-                q = text.find(probe, at, min(end, at + reach + len(probe)))
+            before = ends[i - 1] if i else 0
+            for s in range(1, min(LOOKAHEAD, n - 1 - i) + 1):
+                probe = item.ahead[i + s]
+                if len(probe) >= 3:
+                    q = text.find(probe, at, at + ends[i + s - 1] - before + s * item.slack + len(probe))
+                    if q >= 0:
+                        i, at = i + s, q
+                        break
             else:
-                q = text.rfind(probe, max(0, at - reach - len(probe)), at)
-                q = q + len(probe) if q >= 0 else -1
-            if q >= 0 and (best is None or s < best[0]):
-                best = s, j, q
                 break
-        if best is None:
+        return out
+    while i >= 0 and at > 0:
+        w = words[i]
+        start = at - len(w)
+        if start >= 0 and text.startswith(w, start):
+            out.append((i, start, at))
+            i, at = i - 1, start
+            continue
+        for s in range(1, min(LOOKAHEAD, i) + 1):
+            probe = item.behind[i - s]
+            if len(probe) >= 3:
+                q = text.rfind(probe, max(0, at - (ends[i] - ends[i - s]) - s * item.slack - len(probe)), at)
+                if q >= 0:
+                    i, at = i - s, q + len(probe)
+                    break
+        else:
             break
-        _, i, at = best
     return out
 
 
@@ -157,23 +182,25 @@ def longest(there: list[bool], least: int) -> tuple[int, int] | None:
 def cases(text: str, items: list[Item], automaton) -> Iterator[tuple[int, int, int, int]]:
     """``(item index, words, start, end)`` of each item that leaks into a text; positions are those of ``flat(text)``."""
     plain = flat(text)
-    done: dict[int, list[tuple[int, int]]] = {}
-    found: dict[int, tuple[int, int, int]] = {}
+    by_item: dict[int, list[tuple[int, int]]] = {}
     for last, (length, places) in automaton.iter(plain):
-        start = last + 1 - length
         for k, i in places:
-            spans = done.get(k)
-            if spans and any(a <= start and last < b for a, b in spans):
-                continue
-            item = items[k]
-            words = item.words
+            by_item.setdefault(k, []).append((last + 1 - length, i))
+    found: dict[int, tuple[int, int, int]] = {}
+    for k, hits in by_item.items():
+        item = items[k]
+        if len(hits) < item.hits or len({i for _, i in hits}) < item.hits:
+            continue  # fewer than any stretch that counts must have
+        words, least, seen = item.words, max(1, -(-len(item.words) // LEAST_SHARE)), -1
+        for start, i in hits:
+            if start < seen:
+                continue  # within what is aligned already
             here, at = [], start
             for j in range(i, i + item.run):
                 here.append((j, at, at + len(words[j])))
                 at += len(words[j])
-            line = aligned(words, plain, i - 1, start, False)[::-1] + here + aligned(words, plain, i + item.run, at, True)
-            done.setdefault(k, []).append((line[0][1], line[-1][2]))
-            least = max(1, -(-len(words) // LEAST_SHARE))
+            line = aligned(item, plain, i - 1, start, False)[::-1] + here + aligned(item, plain, i + item.run, at, True)
+            seen = line[-1][2] - len(words[line[-1][0]])
             if len(line) * WRONG_SHARE < least * (WRONG_SHARE - 1):
                 continue
             low = line[0][0]
