@@ -107,12 +107,37 @@ CLOSERS = "\"”“»」』)]）’"
 COLON_BEFORE = regex.compile(r"[:：]\s*$")
 
 
+Compiled = list[tuple[bool, regex.Pattern, regex.Pattern]]
+
+
+def ending(before: str) -> str:
+    """The pattern for text that ends so, searched from its end."""
+    return f"(?ri)(?:{before[4:]})\\Z" if before.startswith("(?i)") else f"(?r)(?:{before})\\Z"
+
+
 @lru_cache(maxsize=16)
-def cascade(lang: str) -> list[tuple[bool, regex.Pattern, regex.Pattern]]:
-    """All rules in the order for a document of this language."""
+def cascade(lang: str) -> tuple[Compiled, regex.Pattern, Compiled, Compiled]:
+    """All rules in the order for a document of this language: what goes on, the tables of abbreviations and the like, the default.
+
+    The middle tables are tried only where the text before could matter to any of them, which one pattern tells.
+    """
     own = [lang] if lang in LANGUAGES else []
-    tables = [TABLES["goes_on"], TABLES["de_first"], TABLES["es_first"], *(language_table(x) for x in own + [x for x in LANGUAGES if x not in own]), TABLES["initials"], TABLES["capitals"], TABLES["default"]]
-    return [(r.breaks, regex.compile(f"(?:{r.before})\\Z" if not r.before.startswith("(?i)") else f"(?i)(?:{r.before[4:]})\\Z"), regex.compile(r.after)) for table in tables for r in table]
+    middle = [*TABLES["de_first"], *TABLES["es_first"], *(r for x in own + [x for x in LANGUAGES if x not in own] for r in language_table(x)), *TABLES["initials"], *TABLES["capitals"]]
+    compiled = lambda rules: [(r.breaks, regex.compile(ending(r.before)), regex.compile(r.after)) for r in rules]
+    any_of = "|".join(f"(?i:{r.before[4:]})" if r.before.startswith("(?i)") else f"(?:{r.before})" for r in middle)
+    return compiled(TABLES["goes_on"]), regex.compile(f"(?r)(?:{any_of})\\Z"), compiled(middle), compiled(TABLES["default"])
+
+
+def is_break(before: str, after: str, tables: tuple[Compiled, regex.Pattern, Compiled, Compiled]) -> bool:
+    """What the first rule that fits decides; no rule, no break."""
+    goes_on, suspect, middle, default = tables
+    for rules in (goes_on, middle, default):
+        if rules is middle and not suspect.search(before):
+            continue
+        for breaks, head, tail in rules:
+            if tail.match(after) and head.search(before):
+                return breaks
+    return False
 
 
 def list_starts(text: str) -> list[int]:
@@ -165,11 +190,8 @@ def paragraph_breaks(text: str, lang: str) -> list[int]:
             if regex.match(r"\s*[,;:，、；：]", after) is None and (COLON_BEFORE.search(text, max(0, quote - 8), quote) or regex.match(r"\s*[\p{Lu}\d„«\"“¿¡(]", after)):
                 cuts.add(at)
                 continue
-        for breaks, head, tail in rules:
-            if tail.match(after) and head.search(before):
-                if breaks:
-                    cuts.add(at)
-                break
+        if is_break(before, after, rules):
+            cuts.add(at)
     return sorted(cuts)
 
 
