@@ -34,6 +34,10 @@ def test_layout():
     assert pieces(text, "en") == ["Technical field", "A long\nline goes on.", "It comprises:", "1. the flange, etc.", "2. a plate;", "(a) Turn it.", "Then lock it.", "- x", "• y 3.5", "Next one.", "The last"]
 
 
+def test_wide_spacing():
+    assert pieces("It  has  9.5  N. In\u00a0this z.  B. Zinn; am  3.  Mai. S.  A. Der  Lote.", "de") == ["It  has  9.5  N.", "In\u00a0this z.  B. Zinn; am  3.  Mai.", "S.  A.", "Der  Lote."]
+
+
 def test_capitals_and_odd_texts():
     assert pieces('METALS SUCH AS TIN, ETC. ARE BARRED. "CHECK THE PAWL!" WAS WRITTEN. SEEN BY MR. X.', "en") == ["METALS SUCH AS TIN, ETC. ARE BARRED.", '"CHECK THE PAWL!" WAS WRITTEN.', "SEEN BY MR. X."]
     for odd in (None, "", "  \n\n ", "...", "\"", "(((((", "?!?!", "1.", "•"):

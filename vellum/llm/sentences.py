@@ -29,10 +29,10 @@ SPAN = 400
 
 # Abbreviations.  ``always`` never end a sentence; ``number`` do not before a number.
 ALWAYS = {
-    "en": r"mr|mrs|ms|messrs|dr|prof|eng|insp|st|vs|viz|cf|i\.\s?e|e\.\s?g|sq|pat|u\.\s?s",
-    "de": r"z\.\s?b|u\.\s?a|d\.\s?h|i\.\s?d\.\s?r|i\.\s?d|vgl|gem|bzw|dipl\.-ing|ing|ggf|evtl|sog|inkl|hr|fr",
-    "fr": r"mme|mlle|p\.\s?ex|c\.-à-d|env|mm\.\s?les",
-    "es": r"sr|sra|dra|srta|ing|p\.\s?ej|ud|uds",
+    "en": r"mr|mrs|ms|messrs|dr|prof|eng|insp|st|vs|viz|cf|i\.\s*e|e\.\s*g|sq|pat|u\.\s*s",
+    "de": r"z\.\s*b|u\.\s*a|d\.\s*h|i\.\s*d\.\s*r|i\.\s*d|vgl|gem|bzw|dipl\.-ing|ing|ggf|evtl|sog|inkl|hr|fr",
+    "fr": r"mme|mlle|p\.\s*ex|c\.-à-d|env|mm\.\s*les",
+    "es": r"sr|sra|dra|srta|ing|p\.\s*ej|ud|uds",
     "hi": "डॉ|प्रो|एम|मि|मी|क्र|सं|श्री|कु",
 }
 NUMBER = {
@@ -71,14 +71,14 @@ TABLES: dict[str, list[Rule]] = {
     ],
     "de_first": [
         Rule(False, r"(?i)(?<!\p{L})(?:am|im|vom|zum|beim|ab|bis|seit|der|die|das|den|dem)\s\d{1,2}\.", r"\s(?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|JANUAR|MAI|JUNI|AUGUST)"),
-        Rule(False, r"(?i)(?<!\p{L})(?:am|im|vom|zum|beim)\s\d{1,2}\.", r"\s\p{L}"),
+        Rule(False, r"(?i)(?<!\p{L})(?:am|im|vom|zum|beim)\s+\d{1,2}\.", r"\s+\p{L}"),
     ],
     "es_first": [
-        Rule(False, r"(?<!\p{L})S\.", r"\s?[AL]\."),
-        Rule(True, r"(?<!\p{L})S\.\s?[AL]\.", r"\s+[\p{Lu}\d¿¡«\"(„“\p{Lo}]"),
+        Rule(False, r"(?<!\p{L})S\.", r"\s*[AL]\."),
+        Rule(True, r"(?<!\p{L})S\.\s*[AL]\.", r"\s+[\p{Lu}\d¿¡«\"(„“\p{Lo}]"),
     ],
     "initials": [
-        Rule(True, r"\d\s\p{Lu}\.", r"\s+[\p{Lu}\d¿¡«\"(„“\p{Lo}]"),
+        Rule(True, r"\d\s+\p{Lu}\.", r"\s+[\p{Lu}\d¿¡«\"(„“\p{Lo}]"),
         Rule(False, r"\p{Lu}\.-\p{Lu}\.", r"\s*\p{Lu}"),
         Rule(False, r"(?:^|[\s(„«\"])\p{Lu}\.", r"\s*\p{Lu}"),
         Rule(False, r"(?<![\p{L}\d.])\p{Ll}\.", r""),
@@ -91,7 +91,7 @@ TABLES: dict[str, list[Rule]] = {
         Rule(True, r"[。！？｡][」』”’»）)\"]*", r""),
         Rule(True, r"[!?]", r"[\p{Han}\p{Hiragana}\p{Katakana}]"),
         Rule(True, r"(?:\p{Ll}{2}|\d[a-z]?|[)%°\"”“»])[.!?][\"”“»]?|[!?][\"”“»]?", r"[\"„«“¿¡]{0,2}\p{Lu}(?:\p{Ll}|\s|['’])"),
-        Rule(True, r"[.!?…।॥][\"”“»’)\]）」』]*|[.!?…।॥]\s?»", r"\s"),
+        Rule(True, r"[.!?…।॥][\"”“»’)\]）」』]*|[.!?…।॥]\s*»", r"\s"),
         Rule(True, r"[।॥]", r""),
     ],
 }
