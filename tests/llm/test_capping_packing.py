@@ -9,7 +9,7 @@ from vellum.llm import capping, packing
 
 def scored(spark, rows):
     df = spark.createDataFrame(rows, "id bigint, who string, q double, at timestamp, score string, contributor string")
-    return capping.scored(df, F.col("who"), "id", "q").join(df.select(F.col("id").alias("row_id"), "at"), "row_id")
+    return capping.scored(df, F.col("who"), "id", "q", "at")
 
 
 def test_displaced_rows_agree_with_a_full_sort(spark):
@@ -22,14 +22,14 @@ def test_displaced_rows_agree_with_a_full_sort(spark):
         own = sorted((r for r in rows if (r[1] or "") == who), key=lambda r: (-(r[2] if good(r[2]) else -1.0), r[0]))
         want |= {r[0] for r in own[10:]}
     for months in (1, 6, 24):
-        state = capping.capped(scored(spark, rows), "at", 10, months)
+        state = capping.capped(scored(spark, rows), 10, months)
         log = [r["row_id"] for r in state.log().collect()]
         assert len(log) == len(set(log)) and set(log) == want
         assert {r["row_id"] for r in state.kept.collect()} == {r[0] for r in rows} - want
 
 
 def test_cap_of_an_empty_table_and_by_share(spark):
-    state = capping.capped(scored(spark, []), "at")
+    state = capping.capped(scored(spark, []))
     assert state.log().count() == 0 and state.kept.count() == 0
     assert capping.share_limit(spark.range(50), 0.1) == 5 and capping.share_limit(spark.range(3), 0.1) == 1
 

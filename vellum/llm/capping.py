@@ -22,11 +22,11 @@ SALTS = 64
 ROW = ["contributor", "row_id", "score"]
 
 
-def scored(rows: DataFrame, contributor: F.Column, row_id: str, score: str, low: float = 0.0, high: float = 1.0) -> DataFrame:
-    """Rows in the form of the state; an invalid score becomes one below all valid ones."""
+def scored(rows: DataFrame, contributor: F.Column, row_id: str, score: str, at: str, low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """Rows in the form of the state, with their time ``at``; an invalid score becomes one below all valid ones."""
     x = F.col(score)
     valid = x.isNotNull() & ~F.isnan(x) & (x >= low) & (x <= high)
-    return rows.select(F.coalesce(contributor, F.lit("")).alias("contributor"), F.col(row_id).alias("row_id"), F.when(valid, x).otherwise(low - 1.0).alias("score"))
+    return rows.select(F.coalesce(contributor, F.lit("")).alias("contributor"), F.col(row_id).alias("row_id"), F.when(valid, x).otherwise(low - 1.0).alias("score"), F.col(at).alias("at"))
 
 
 def best(rows: DataFrame, limit: int) -> DataFrame:
@@ -80,9 +80,9 @@ def share_limit(rows: DataFrame, share: float) -> int:
     return max(1, int(rows.count() * share))
 
 
-def capped(rows: DataFrame, at: str, limit: int = 10, months: int = 6) -> CapState:
-    """Feed scored rows (with the time ``at``) in batches of ``months`` months, in order of time."""
-    period = F.coalesce(F.floor((F.year(at) * 12 + F.month(at) - 1) / months), F.lit(0))
+def capped(rows: DataFrame, limit: int = 10, months: int = 6) -> CapState:
+    """Feed scored rows in batches of ``months`` months, in order of their time; rows without one come first."""
+    period = F.coalesce(F.floor((F.year("at") * 12 + F.month("at") - 1) / months), F.lit(0))
     staged = written(rows.withColumn("period", period).select(*ROW, "period"), "cap-rows", "period")
     state = CapState(limit)
     for p in sorted(r[0] for r in staged.select("period").distinct().collect()) or [0]:  # one row per period

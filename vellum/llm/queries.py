@@ -41,10 +41,7 @@ def p5_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_state(spark: SparkSession, sf_dir: str) -> capping.CapState:
-    rows = table(spark, sf_dir, "results")
-    scored = capping.scored(rows.withColumn("at", F.col("loaded_at")), plain_patent(F.col("patent_id")), "load_no", "s3_mean_conf")
-    when = rows.select(F.col("load_no").alias("row_id"), F.col("loaded_at").alias("at"))
-    return capping.capped(scored.join(when, "row_id"), "at")
+    return capping.capped(capping.scored(table(spark, sf_dir, "results"), plain_patent(F.col("patent_id")), "load_no", "s3_mean_conf", "loaded_at"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
