@@ -94,6 +94,8 @@ def compact_files(files: DataFrame, folder: str, target: int = TARGET_BYTES) ->
             again = read_footer(f, size)
         if (again.rows, again.blocks, again.schema) != (int(frame["n_rows"].sum()), int(frame["n_blocks"].sum()), footer.schema):
             raise ValueError(f"{group}: totals differ from those of its sources")
+        if fs.get_file_info(name).type != pafs.FileType.NotFound:
+            fs.delete_file(name)  # left by an earlier attempt at this group
         fs.move(part, name)
         return pd.DataFrame([(name, len(frame), again.blocks, again.rows, size)], columns=["path", "n_files", "n_blocks", "n_rows", "n_bytes"])
 
