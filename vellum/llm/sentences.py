@@ -102,7 +102,7 @@ BLANK_LINE = regex.compile(r"(?:\r?\n| )(?:[^\S\n]*(?:\r?\n| ))+")
 #: A list marker at the start of a line, with the text behind it.
 MARKER = regex.compile(r"(?m)^[^\S\n]*(?:[•‣◦▪●·*–—-]|\(?\d{1,3}[.)）]|[（(][\p{L}\d]{1,4}[)）]|\p{L}\)|[①-⑳])(?=[^\S\n]+\S|(?<=[）①-⑳・])\S)")
 THAI_GAP = regex.compile(r"(?<=\p{Thai})\s+(?=\p{Thai})")
-QUOTED = regex.compile(rf'„[^„“”]{{0,{SPAN}}}[“”]|“[^“”]{{0,{SPAN}}}”|«[^«»]{{0,{SPAN}}}»|「[^「」]{{0,{SPAN}}}」|『[^『』]{{0,{SPAN}}}』|"[^"]{{0,{SPAN}}}"|\([^()]{{0,{SPAN}}}\)|（[^（）]{{0,{SPAN}}}）')
+QUOTED = regex.compile(rf'„[^„“”]{{0,{SPAN}}}[“”]|“[^“”]{{0,{SPAN}}}”|«[^«»]{{0,{SPAN}}}»|「[^「」]{{0,{SPAN}}}」|『[^『』]{{0,{SPAN}}}』|"[^"]{{0,{SPAN}}}"|\'\'[^\']{{0,{SPAN}}}\'\'|\([^()]{{0,{SPAN}}}\)|（[^（）]{{0,{SPAN}}}）')
 CLOSERS = "\"”“»」』)]）’"
 COLON_BEFORE = regex.compile(r"[:：]\s*$")
 
@@ -176,7 +176,7 @@ def paragraph_breaks(text: str, lang: str) -> list[int]:
         quote = None
         if k >= 0 and starts[k] < m.start() <= ends[k]:
             rest = text[at : ends[k]]
-            if rest.strip():
+            if rest.strip().strip("'"):
                 continue  # inside a quotation or bracket
             quote, at = starts[k], ends[k] + 1
         while at < len(text) and text[at] in CLOSERS and at not in close.values():
