@@ -40,6 +40,7 @@ def test_wide_spacing():
 
 def test_capitals_and_odd_texts():
     assert pieces('METALS SUCH AS TIN, ETC. ARE BARRED. "CHECK THE PAWL!" WAS WRITTEN. SEEN BY MR. X.', "en") == ["METALS SUCH AS TIN, ETC. ARE BARRED.", '"CHECK THE PAWL!" WAS WRITTEN.', "SEEN BY MR. X."]
+    assert pieces("COTES DE 5 À 6 MM ... SAUF INDICATION. FIN.", "fr") == ["COTES DE 5 À 6 MM ... SAUF INDICATION.", "FIN."]
     for odd in (None, "", "  \n\n ", "...", "\"", "(((((", "?!?!", "1.", "•"):
         for a, b in sentences.units(odd, None):
             assert odd[a:b].strip() == odd[a:b] != ""

@@ -85,6 +85,7 @@ TABLES: dict[str, list[Rule]] = {
         Rule(False, r"\p{Devanagari}\.", r""),
     ],
     "capitals": [
+        Rule(False, r"\s\.\.\.", r"\s+\p{Lu}{2}"),
         Rule(False, r"(?<!\p{L})(?:ETC|CO|INC|BROS|CORP|LTD|JUN|A\.M|P\.M|IN|FT|FF|USW|CIE|MIN|Ä|\.\.)\.", rf"\s+(?:{GOES_ON})(?!\p{{L}})"),
     ],
     "default": [
