@@ -38,7 +38,7 @@ UNSPACED_LETTER = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 #: How far a wrong word may reach beyond its length in the document, in characters.
 SLACK = 16
 #: How many words may be skipped in a row, and how many characters of words (of unspaced scripts) must fit to go on.
-LOOKAHEAD, PROBE_WORDS, PROBE_CHARS = 4, 6, 4
+LOOKAHEAD, PROBE_WORDS, PROBE_CHARS = 8, 6, 4
 
 
 def flat(text: str) -> str:
@@ -124,7 +124,7 @@ def aligned(item: Item, text: str, i: int, at: int, forward: bool) -> list[tuple
     """Words that follow (or precede) an anchor, as ``(word, start, end)`` of those that are there.
 
     ``i`` is the next word, ``at`` the place where it should begin (or end).  A word that is not there is skipped; the text goes on
-    where the next words fit again, with the fewest words skipped.
+    where the next words fit again, with the fewest words skipped.  Words between two wrong ones are then looked for in the gap.
     """
     out: list[tuple[int, int, int]] = []
     words, ends, n, end = item.words, item.ends, len(item.words), len(text)
@@ -142,6 +142,11 @@ def aligned(item: Item, text: str, i: int, at: int, forward: bool) -> list[tuple
                 if len(probe) >= 3:
                     q = text.find(probe, at, at + ends[i + s - 1] - before + s * item.slack + len(probe))
                     if q >= 0:
+                        for k in range(i, i + s):
+                            r = text.find(words[k], at, q)
+                            if r >= 0:
+                                at = r + len(words[k])
+                                out.append((k, r, at))
                         i, at = i + s, q
                         break
             else:
@@ -159,7 +164,13 @@ def aligned(item: Item, text: str, i: int, at: int, forward: bool) -> list[tuple
             if len(probe) >= 3:
                 q = text.rfind(probe, max(0, at - (ends[i] - ends[i - s]) - s * item.slack - len(probe)), at)
                 if q >= 0:
-                    i, at = i - s, q + len(probe)
+                    low = q + len(probe)
+                    for k in range(i, i - s, -1):
+                        r = text.rfind(words[k], low, at)
+                        if r >= 0:
+                            out.append((k, r, r + len(words[k])))
+                            at = r
+                    i, at = i - s, low
                     break
         else:
             break
