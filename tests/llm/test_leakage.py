@@ -37,6 +37,14 @@ def test_parts_changes_and_near_misses(spark):
     assert got == {0, 1, 3, 4, 6, 8, 9, 10, 92}
 
 
+def test_a_partial_copy_does_not_hide_a_whole_one(spark):
+    rng = random.Random(3)
+    item = passage(rng, 60)
+    docs = [(k, " ".join(item[a : a + 7] + item[30:33] + item), None) for k, a in enumerate(range(0, 50, 7))]
+    got = {r["doc_id"]: r["n_words"] for r in found(spark, docs, [(7, " ".join(item), "en")])}
+    assert got == {k: 60 for k in range(len(docs))}
+
+
 def test_positions_and_scripts(spark):
     text = "「第二の滑車531は軸受853を径方向に覆う。この状態で、ピストン366の縁と第二のピストン390は各軸受318を駆動する。」"
     got = found(spark, [(1, "前文。" + text + "後文。", None), (2, "前文" + text[4:18], None)], [(5, text, "ja")])

@@ -202,16 +202,16 @@ def cases(text: str, items: list[Item], automaton) -> Iterator[tuple[int, int, i
         item = items[k]
         if len(hits) < item.hits or len({i for _, i in hits}) < item.hits:
             continue  # fewer than any stretch that counts must have
-        words, least, seen = item.words, max(1, -(-len(item.words) // LEAST_SHARE)), -1
+        words, least, seen = item.words, max(1, -(-len(item.words) // LEAST_SHARE)), set()
         for start, i in hits:
-            if start < seen:
-                continue  # within what is aligned already
+            if (i, start) in seen:
+                continue  # aligned already
             here, at = [], start
             for j in range(i, i + item.run):
                 here.append((j, at, at + len(words[j])))
                 at += len(words[j])
             line = aligned(item, plain, i - 1, start, False)[::-1] + here + aligned(item, plain, i + item.run, at, True)
-            seen = line[-1][2] - len(words[line[-1][0]])
+            seen.update((j, a) for j, a, _ in line)
             if len(line) * WRONG_SHARE < least * (WRONG_SHARE - 1):
                 continue
             low = line[0][0]
