@@ -86,6 +86,10 @@ kept AS (SELECT * FROM live QUALIFY row_number() OVER (PARTITION BY kind, patent
 """
 ORACLES = {
     "p1_found": f"WITH {P1_RECORDS} SELECT doc_no, child, parent_pos::INT AS parent_pos, pos::INT AS pos FROM records",
+    "p1_variants": f"""WITH {P1_RECORDS}, v AS (SELECT doc_no, child, CASE child WHEN 'primitives' THEN CASE WHEN item->>'type' IN ('line', 'arc', 'circle', 'ellipse', 'polygon', 'polyline') THEN item->>'type' ELSE 'other' END
+        WHEN 'annotations' THEN item->>'removal_mode' WHEN 'points' THEN CASE WHEN json_array_length(item) = 2 THEN 'pair' ELSE 'other' END
+        ELSE CASE WHEN json_type(item->'p2') = 'ARRAY' AND json_type(item->'leader_to') = 'ARRAY' THEN 'targeted' WHEN json_type(item->'p2') = 'ARRAY' THEN 'segment' ELSE 'ray' END END AS variant FROM records)
+        SELECT child, variant, count(*) AS n_records, count(DISTINCT doc_no) AS n_docs FROM v GROUP BY ALL""",
     "p1_lines": f"""WITH {P1_RECORDS} SELECT doc_no, pos::INT AS pos, (item->>'edge_id')::INT AS edge_id, (item->>'$.p1[0]')::DOUBLE AS p1_0, (item->>'$.p1[1]')::DOUBLE AS p1_1,
         (item->>'$.p2[0]')::DOUBLE AS p2_0, (item->>'$.p2[1]')::DOUBLE AS p2_1, CASE WHEN isfinite(TRY_CAST(item->>'confidence' AS DOUBLE)) THEN TRY_CAST(item->>'confidence' AS DOUBLE) END AS confidence, item->>'style' AS style
         FROM records WHERE child = 'primitives' AND item->>'type' = 'line'""",
