@@ -346,10 +346,27 @@ def svg_lines(spark, d):
     return vec.svg_elements(p).select("doc_no", "pos", F.regexp_extract("element", '^(.*?) stroke-width', 1).alias("head"))
 
 
+def labels(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of every document with their leaders in order; ``place`` puts them after all primitives."""
+    s = written(shredded(spark, d).where("child in ('annotations', 'leader_lines')"), "labels")
+    at = lambda x: F.when(F.col("numbers")[f"{x}_0"].isNotNull() & F.col("numbers")[f"{x}_1"].isNotNull(), F.struct(F.col("numbers")[f"{x}_0"].alias("x"), F.col("numbers")[f"{x}_1"].alias("y")))
+    leaders = s.where("child = 'leader_lines'").select("doc_no", F.col("parent_pos").alias("pos"), F.struct(F.col("pos").alias("k"), at("p1").alias("p1"), at("p2").alias("p2")).alias("r")).where("r.p1 is not null and r.p2 is not null")
+    leaders = leaders.groupBy("doc_no", "pos").agg(F.array_sort(F.collect_list("r")).alias("leaders"))
+    a = s.where("child = 'annotations'").select("doc_no", "pos", F.coalesce(F.col("texts")["text"], F.lit("")).alias("label"), at("position").alias("at")).join(leaders, ["doc_no", "pos"], "left")
+    none = F.expr("cast(array() as array<struct<k: int, p1: struct<x: double, y: double>, p2: struct<x: double, y: double>>>)")
+    return a.withColumn("leaders", F.coalesce("leaders", none))
+
+
+def placed(primitives: DataFrame, annotations: DataFrame) -> DataFrame:
+    """Elements of both kinds with their place in the document: primitives first."""
+    parts = [df.select("doc_no", F.struct(F.lit(k).alias("kind"), "pos").alias("place"), "element") for k, df in enumerate((primitives, annotations))]
+    return parts[0].unionByName(parts[1])
+
+
 @query()
 def svg_documents(spark, d):
-    """The SVG text of every document."""
-    return vec.in_order(vec.svg_elements(drawn(spark, d)), "doc_no", "pos", "element")
+    """The SVG text of every document: its primitives, then its labels with their leaders."""
+    return vec.in_order(placed(vec.svg_elements(drawn(spark, d)), vec.svg_annotations(labels(spark, d))), "doc_no", "place", "element")
 
 
 @query()
@@ -360,9 +377,9 @@ def svg_round_trip(spark, d):
 
 @query()
 def dxf_documents(spark, d):
-    """DXF entities of every document."""
-    p = drawn(spark, d)
-    return vec.in_order(vec.dxf_entities(p, F.lit(3000.0)), "doc_no", "pos", "element", "")
+    """DXF entities of every document: its primitives, then its labels with their leaders."""
+    height = F.lit(3000.0)
+    return vec.in_order(placed(vec.dxf_entities(drawn(spark, d), height), vec.dxf_annotations(labels(spark, d), height)), "doc_no", "place", "element", "")
 
 
 @query()

@@ -42,8 +42,27 @@ def in_order(elements: DataFrame, by: str, order: str, text: str, between: str =
     return elements.groupBy(by).agg(F.array_join(parts, between).alias("body"), F.count("*").alias("n_elements"))
 
 
+def svg_annotations(a: DataFrame) -> DataFrame:
+    """Labels (``label``, ``at`` and ``leaders`` with ``p1``, ``p2``, as points ``x, y``) with their SVG elements: leaders, then the text."""
+    lines = F.transform("leaders", lambda r: F.concat(F.lit('<line x1="'), number(r["p1"]["x"]), F.lit('" y1="'), number(r["p1"]["y"]), F.lit('" x2="'), number(r["p2"]["x"]), F.lit('" y2="'), number(r["p2"]["y"]), F.lit('" stroke-width="0.70"/>')))
+    safe = F.replace(F.replace(F.replace("label", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    text = F.when((F.col("label") != "") & F.col("at").isNotNull(), F.concat(F.lit('<text x="'), number(F.col("at.x")), F.lit('" y="'), number(F.col("at.y")), F.lit('" font-size="14" font-family="Arial">'), safe, F.lit("</text>")))
+    return a.withColumn("element", F.concat(lines, F.array_compact(F.array(text)))).withColumn("element", F.when(F.size("element") > 0, F.array_join("element", "\n"))).where("element is not null")
+
+
+def dxf_annotations(a: DataFrame, height: Column) -> DataFrame:
+    """Labels (as for SVG) with their DXF entities: leaders on LEADER, the text on TEXT; line breaks of a label become spaces."""
+    pair = lambda code, c: F.concat(F.lit(f"{code}\n"), number(c), F.lit("\n"))
+    lines = F.transform("leaders", lambda r: F.concat(F.lit("0\nLINE\n8\nLEADER\n"), pair(10, r["p1"]["x"]), pair(20, height - r["p1"]["y"]), pair(11, r["p2"]["x"]), pair(21, height - r["p2"]["y"])))
+    text = F.when((F.col("label") != "") & F.col("at").isNotNull(), F.concat(F.lit("0\nMTEXT\n8\nTEXT\n"), pair(10, F.col("at.x")), pair(20, height - F.col("at.y")), pair(40, F.lit(14.0)), F.lit("1\n"), F.regexp_replace("label", r"[\r\n]+", " "), F.lit("\n")))
+    return a.withColumn("element", F.concat(lines, F.array_compact(F.array(text)))).withColumn("element", F.when(F.size("element") > 0, F.array_join("element", ""))).where("element is not null")
+
+
 def dxf_entities(p: DataFrame, height: Column) -> DataFrame:
-    """ASCII DXF entities of lines, circles and arcs on one layer per style; the Y axis is turned and arcs are mirrored."""
+    """ASCII DXF entities of all kinds of primitives on one layer per style; the Y axis is turned and arcs are mirrored.
+
+    Chains come with ``path`` (``x y L x y``); those of too few points for their kind have no entity.
+    """
     v = lambda k: F.col("numbers")[k]
     pair = lambda code, c: F.concat(F.lit(f"{code}\n"), number(c), F.lit("\n"))
     head = lambda name: F.concat(F.lit(f"0\n{name}\n8\n"), F.upper(style_of(F.col("style"))), F.lit("\n"))
@@ -51,6 +70,14 @@ def dxf_entities(p: DataFrame, height: Column) -> DataFrame:
     turned = lambda k: F.pmod(-v(k), F.lit(360.0))
     el = F.when(F.col("variant") == "line", F.concat(head("LINE"), pair(10, v("p1_0")), pair(20, height - v("p1_1")), pair(11, v("p2_0")), pair(21, height - v("p2_1"))))
     el = el.when(F.col("variant") == "circle", F.concat(head("CIRCLE"), *centre)).when(F.col("variant") == "arc", F.concat(head("ARC"), *centre, pair(50, turned("end_angle")), pair(51, turned("start_angle"))))
+    turn, wide = F.radians(-F.coalesce(v("angle"), F.lit(0.0))), v("a").cast("double")
+    ratio = F.when(wide > 0, F.greatest(F.least(v("b") / wide, F.lit(1.0)), F.lit(1e-6))).otherwise(F.lit(1.0))
+    el = el.when(F.col("variant") == "ellipse", F.concat(head("ELLIPSE"), *centre[:2], pair(11, wide * F.cos(turn)), pair(21, wide * F.sin(turn)), F.lit("40\n"), F.format_string("%.6f", ratio), F.lit("\n41\n0.000000\n42\n6.283185\n")))
+    corners = F.transform(F.split("path", " L "), lambda t: F.split(t, " "))
+    vertices = F.array_join(F.transform(corners, lambda q: F.concat(pair(10, q[0]), pair(20, height - q[1].cast("double")))), "")
+    closed = F.col("variant") == "polygon"
+    chain = F.col("variant").isin("polyline", "polygon") & (F.size(corners) >= F.when(closed, 3).otherwise(2))
+    el = el.when(chain, F.concat(head("LWPOLYLINE"), F.lit("90\n"), F.size(corners).cast("string"), F.lit("\n70\n"), F.when(closed, "1").otherwise("0"), F.lit("\n"), vertices))
     return p.withColumn("element", el).where("element is not null")
 
 
