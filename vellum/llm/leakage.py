@@ -128,6 +128,7 @@ def aligned(item: Item, text: str, i: int, at: int, forward: bool) -> list[tuple
     """
     out: list[tuple[int, int, int]] = []
     words, ends, n, end = item.words, item.ends, len(item.words), len(text)
+    ahead = max(LOOKAHEAD, n // WRONG_SHARE)  # all wrong words that a stretch of the item may have can be neighbours
     if forward:
         while i < n and at < end:
             w = words[i]
@@ -137,7 +138,7 @@ def aligned(item: Item, text: str, i: int, at: int, forward: bool) -> list[tuple
                 i, at = i + 1, stop
                 continue
             before = ends[i - 1] if i else 0
-            for s in range(1, min(LOOKAHEAD, n - 1 - i) + 1):
+            for s in range(1, min(ahead, n - 1 - i) + 1):
                 probe = item.ahead[i + s]
                 if len(probe) >= 3:
                     q = text.find(probe, at, at + ends[i + s - 1] - before + s * item.slack + len(probe))
@@ -159,7 +160,7 @@ def aligned(item: Item, text: str, i: int, at: int, forward: bool) -> list[tuple
             out.append((i, start, at))
             i, at = i - 1, start
             continue
-        for s in range(1, min(LOOKAHEAD, i) + 1):
+        for s in range(1, min(ahead, i) + 1):
             probe = item.behind[i - s]
             if len(probe) >= 3:
                 q = text.rfind(probe, max(0, at - (ends[i] - ends[i - s]) - s * item.slack - len(probe)), at)
