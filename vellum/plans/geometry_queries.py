@@ -321,7 +321,9 @@ def zero_shot(spark, d):
     unit = lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y)))
     means = e.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("v"))
     prompts = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("p")).select("label", unit(F.col("p")).alias("p"))
-    rows = [(r["label"], r["p"]) for r in prompts.orderBy("label").limit(64).collect()]  # a prompt per class
+    rows = [(r["label"], r["p"]) for r in prompts.orderBy("label").limit(65).collect()]  # a prompt per class
+    if len(rows) > 64:
+        raise ValueError("zero_shot has prompts for 64 classes at most")
     all_prompts = F.array(*[F.struct(F.lit(k).alias("label"), F.array(*map(F.lit, p)).alias("p")) for k, p in rows])
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     own = e.select("vec_id", unit(F.col("embedding")).alias("v")).withColumn("s", F.transform(all_prompts, lambda q: F.struct(F.exp(10.0 * dot(F.col("v"), q["p"])).alias("w"), q["label"].alias("label"))))
