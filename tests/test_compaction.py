@@ -46,15 +46,50 @@ def test_other_schemas_and_broken_files_are_refused():
 
 def test_many_small_files_become_few(spark, tmp_path):
     source = tmp_path / "small"
-    source.mkdir()
     for k in range(60):
-        (source / f"f{k}.parquet").write_bytes(block(list(range(k * 10, k * 10 + 10))))
-    report = compaction.compact_files(compaction.listed(spark, str(source)), str(tmp_path / "large"), 20_000).collect()
-    assert sum(r["n_files"] for r in report) == 60 and len(report) < 12 and sum(r["n_rows"] for r in report) == 600
+        (source / f"d{k % 7}" / "x").mkdir(parents=True, exist_ok=True)
+        (source / f"d{k % 7}" / "x" / f"f{k}.parquet").write_bytes(block(list(range(k * 10, k * 10 + 10))))
+    (source / "_SUCCESS").write_bytes(b"")
+    for _ in range(2):  # a second run replaces what the first has left
+        report = compaction.compact_files(compaction.listed(spark, str(source)), str(tmp_path / "large"), 20_000).collect()
+        assert sum(r["n_files"] for r in report) == 60 and len(report) < 12 and sum(r["n_rows"] for r in report) == 600
+        assert sorted(f.name for f in (tmp_path / "large").iterdir()) == sorted(r["path"].rsplit("/", 1)[1] for r in report)
     got = spark.read.parquet(*[r["path"] for r in report])
     assert sorted(r["id"] for r in got.collect()) == list(range(600))
 
 
+def test_one_source_is_open_at_a_time(tmp_path):
+    """3,000 files are joined with few handles to spare."""
+    import resource
+
+    paths = []
+    for k in range(3_000):
+        paths.append(str(tmp_path / f"f{k}.parquet"))
+        (tmp_path / f"f{k}.parquet").write_bytes(block([3 * k + 1]))
+    soft, hard = resource.getrlimit(resource.RLIMIT_NOFILE)
+    resource.setrlimit(resource.RLIMIT_NOFILE, (min(soft, 512), hard))
+    try:
+        out = io.BytesIO()
+        footer = join_files(compaction.one_by_one(paths, [(tmp_path / f"f{k}.parquet").stat().st_size for k in range(3_000)]), out)
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
+    assert footer.rows == footer.blocks == 3_000
+    assert pq.read_table(io.BytesIO(out.getvalue()), columns=["id"])["id"].to_pylist() == [3 * k + 1 for k in range(3_000)]
+
+
+def test_bodies_are_not_shuffled(spark, tmp_path):
+    rows = [(k, f"p{k}", "graph", "P", dt.datetime(2025, 1, 1), None, json.dumps({"sketch_id": f"F{k % 50}", "x": "y" * 200})) for k in range(400)]
+    spark.createDataFrame(rows, "file_no bigint, path string, kind string, patent_id string, created_at timestamp, deleted_at timestamp, body string").repartition(3).write.parquet(str(tmp_path / "t"))
+    scan = compaction.scanned(spark.read.parquet(str(tmp_path / "t")))
+    places = compaction.blocks_of(compaction.current_documents(scan))
+    text = places._jdf.queryExecution().executedPlan().toString()
+    assert all("body" not in line for line in text.splitlines() if "Exchange" in line)
+    small = compaction.encoded_pieces(places, str(tmp_path / "small"), 2_000).collect()
+    assert len(small) > 4
+    docs, report = compaction.compact_documents(spark.read.parquet(str(tmp_path / "t")))
+    assert sorted(r["file_no"] for r in docs.collect()) == list(range(350, 400)) and sum(r["n_files"] for r in report.collect()) == 3
+
+
 def files(spark, rows):
     return spark.createDataFrame(rows, "file_no bigint, path string, kind string, patent_id string, created_at timestamp, deleted_at timestamp, body string, sketch_id string")
 

@@ -1,15 +1,8 @@
 import pytest
 
-from vellum.llm.clusters import linkage_rounds
 from vellum.plans import geometry_queries
 
 
-def test_linkage_that_does_not_end_raises(spark):
-    links = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.85), (3, 4, 0.8)], "a bigint, b bigint, likeness double")
-    with pytest.raises(RuntimeError, match="rounds"):
-        linkage_rounds(links, one_task=0, rounds=1)
-
-
 def test_more_classes_than_prompts_raise(spark, tmp_path):
     rows = [(n, [1.0 + n, 2.0], n) for n in range(65)]
     spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")

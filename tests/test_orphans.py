@@ -40,6 +40,28 @@ def test_replay_agrees_with_brute_force_for_any_batches(spark):
         assert sum(r["n_refs"] for r in last.snapshot().collect()) == len(want)
 
 
+def test_a_batch_writes_what_it_touches(spark):
+    refs = [(n, f"k{n}", day(1)) for n in range(2_000)]
+    first = states(spark, refs, [(f"k{n}", day(0), None) for n in range(1_000)], 1)[-1][1]
+    p = spark.createDataFrame([(f"k{n}", day(100), None) for n in range(990, 1_010)], "k string, since timestamp, until timestamp")
+    events = orphans.parent_events(p, "s", F.col("k"), "since", "until").drop("at")
+    none = spark.createDataFrame([], "load_no bigint, k string, loaded_at timestamp")
+    later = first.advance(orphans.references(none, "t", "f", "s", F.col("k")), events)
+    assert later.index[-1].count() == 20 and later.refs[-1].count() == 0 and later.changes[-1].count() == 10 and later.index[0] is first.index[0]
+    assert first.orphans().count() == 1_000 and {(r["ref_state"], r["count"]) for r in later.orphans().groupBy("ref_state").count().collect()} == {("missing", 990), ("late", 10)}
+
+
+def test_folding_changes_nothing(spark, monkeypatch):
+    rng = random.Random(2)
+    refs = [(n % 90, f"k{rng.randrange(20)}", day(rng.randrange(300))) for n in range(100)]
+    parents = [(f"k{rng.randrange(18)}", day(rng.randrange(300)), None if rng.random() < 0.5 else day(rng.randrange(300, 360))) for _ in range(30)]
+    monkeypatch.setattr(orphans, "PARTS", 2)
+    folded = states(spark, refs, parents, 2)
+    assert len(folded[-1][1].index) <= 2
+    got = sorted((r["load_no"], r["ref_state"]) for r in folded[-1][1].orphans().collect())
+    assert got == sorted((no, s) for n, ref in enumerate(refs) for no, s in brute([ref], parents))
+
+
 def test_arrivals_resolve_and_deletions_reopen(spark):
     steps = states(spark, [(1, "a", day(40))], [("a", day(100), day(200)), ("b", day(1), None)], 1)
     seen = [[r["ref_state"] for r in s.orphans().collect()] for _, s in steps]

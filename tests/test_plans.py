@@ -5,7 +5,8 @@ import re
 
 import pytest
 
-from vellum.plans import corpus_queries, data_queries, geometry_queries
+from vellum.operators import nested
+from vellum.plans import chain_queries, corpus_queries, data_queries, export_queries, geometry_queries
 
 NOW = dt.datetime(2025, 3, 1)
 SCHEMAS = {
@@ -33,10 +34,16 @@ def plan(df):
 def test_scans_read_only_what_is_needed(spark, folder):
     text = plan(corpus_queries.page_class_counts(spark, folder))
     assert "filename" not in text and "removed_at" not in text and "skel_density" not in re.search(r"ReadSchema: (.*)", text)[1]
-    text = plan(data_queries.p1_found(spark, folder))
+    text = plan(nested.shred(spark.read.parquet(f"{folder}/primitive_docs.parquet")))
     assert "Exchange" not in text and re.search(r"PushedFilters: \[IsNotNull\(payload\)\]", text) and "struct<doc_no:bigint,payload:string>" in text
 
 
+@pytest.mark.parametrize("name", ["chain_lengths", "chain_directions", "line_fits", "circle_fits", "straight_or_round", "chain_types", "angular_gaps", "noise_loops", "line_like_chains", "encoded_chains", "vertex_kinds", "chain_statistics"])
+def test_chains_are_parsed_once_and_fits_need_no_shuffle(spark, folder, name):
+    text = plan(chain_queries.QUERIES[name](spark, folder))
+    assert text.count("MapInArrow") == 1 and (name in ("vertex_kinds", "chain_statistics") or "Exchange" not in text)
+
+
 def test_one_shuffle_for_one_aggregate(spark, folder):
     assert plan(corpus_queries.page_class_counts(spark, folder)).count("Exchange hashpartitioning") == 1
     assert plan(corpus_queries.paired_runs(spark, folder)).count("Exchange hashpartitioning") == 1
@@ -48,12 +55,15 @@ def test_joins_are_on_keys(spark, folder, name):
     assert not re.search("Cartesian|NestedLoop", plan(df)) and df.count() == 0
 
 
-@pytest.mark.parametrize("name", ["clear_figures", "line_fits", "circle_fits", "chain_types", "vertex_kinds", "degree_histogram"])
+GEOMETRY = geometry_queries.QUERIES | chain_queries.QUERIES | export_queries.QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(set(GEOMETRY) - {"zero_shot", "stage_attribution"}))
 def test_geometry_on_empty_tables(spark, folder, name):
-    df = geometry_queries.QUERIES[name](spark, folder)
+    df = GEOMETRY[name](spark, folder)
     assert not re.search("Cartesian|NestedLoop", plan(df)) and df.count() == 0
 
 
-@pytest.mark.parametrize("name", ["p1_variants", "p3_found", "p3_report", "p4_found"])
+@pytest.mark.parametrize("name", ["p1_found", "p1_variants", "p3_found", "p3_report", "p3_snapshots", "p4_found"])
 def test_general_operators_on_empty_tables(spark, folder, name):
     assert data_queries.QUERIES[name](spark, folder).count() == 0

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.operators import aggregates as agg
+from vellum.operators import labelling
 from vellum.operators import geometry as geo
 from vellum.operators import relational as rel
 from vellum.operators.components import components
@@ -80,13 +81,61 @@ def test_fits_of_known_shapes(spark):
     t = np.linspace(0, 1, 40)
     line = [(1, k, 10 + 30 * x, 5 + 40 * x) for k, x in enumerate(t)]
     arc = [(2, k, 50 + 20 * np.cos(x * 4), 60 + 20 * np.sin(x * 4)) for k, x in enumerate(t)]
-    rows = [(int(g), k, float(x), float(y)) for g, k, x, y in line + arc]
-    df = spark.createDataFrame(rows, "g int, k int, x double, y double")
-    fits = {r["g"]: r for r in geo.line_fits(df, ["g"]).collect()}
+    rows = [(g, [(k, float(x), float(y)) for _, k, x, y in points]) for g, points in ((1, line), (2, arc), (3, line[:1]), (4, [(4, k, 5.0, 5.0) for k in range(3)]))]
+    df = spark.createDataFrame(rows, "g int, pts array<struct<k:int,x:double,y:double>>")
+    fits = {r["g"]: r for r in geo.line_fits(df).collect()}
     assert abs(fits[1]["angle"] - np.degrees(np.arctan2(40, 30))) < 1e-9 and fits[1]["confidence"] > 0.999 and fits[2]["confidence"] < 0.3
-    circles = {r["g"]: r for r in geo.circle_fits(df, ["g"]).collect()}
-    assert 1 not in circles and abs(circles[2]["radius"] - 20) < 1e-6 and abs(circles[2]["cx"] - 50) < 1e-6
-    assert {r["g"]: r["type"] for r in geo.fit_choice(df, ["g"]).collect()} == {1: "line", 2: "arc"}
+    circles = {r["g"]: r for r in geo.circle_fits(df).collect()}
+    assert list(circles) == [2] and abs(circles[2]["radius"] - 20) < 1e-6 and abs(circles[2]["cx"] - 50) < 1e-6
+    assert {r["g"]: r["type"] for r in geo.fit_choice(df).collect()} == {1: "line", 2: "arc", 3: "polyline", 4: "line"}
+    span = geo.arc_spans(df).first()
+    assert abs(span["span"] - np.degrees(4)) < 1e-6 and abs(span["start"]) < 1e-6
+    ring = spark.createDataFrame([(1, [(k, float(50 + 9 * np.cos(a)), float(50 + 9 * np.sin(a))) for k, a in enumerate(np.linspace(0, 6.2, 30).tolist())]), (2, [(0, 0.0, 0.0), (1, 20.0, 0.0), (2, 20.0, 1.0), (3, 0.0, 1.0), (4, 10.0, 0.5), (5, 10.0, 0.4), (6, 10.0, 0.5), (7, 0.0, 0.0)])], "g int, pts array<struct<k:int,x:double,y:double>>")
+    assert {r["g"]: (r["round"], r["noise"]) for r in geo.circular(ring).collect()} == {1: (True, False), 2: (False, True)}
+    assert {r["g"]: r["type"] for r in geo.closed_choice(ring).collect()}[1] == "circle"
+
+
+def test_distances_of_boxes_and_segments(spark):
+    rows = [(0.0, 0.0, 10.0, 10.0, "through"), (-5.0, 3.0, -1.0, 3.0, "end"), (0.0, -20.0, 20.0, -4.0, "corner"), (3.0, -9.0, 3.0, 99.0, "across"), (2.0, 2.0, 2.0, 2.0, "inside"), (30.0, 0.0, 30.0, 0.0, "point")]
+    df = spark.createDataFrame(rows, "x1 double, y1 double, x2 double, y2 double, name string")
+    box = {"x": F.lit(1.0), "y": F.lit(1.0), "w": F.lit(4.0), "h": F.lit(4.0)}.__getitem__
+    got = {r["name"]: r["d"] for r in df.select("name", geo.segment_box(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), box).alias("d")).collect()}
+
+    def brute(x1, y1, x2, y2):
+        t = np.linspace(0, 1, 20_001)
+        x, y = x1 + t * (x2 - x1), y1 + t * (y2 - y1)
+        return float(np.hypot(np.maximum(0, np.maximum(1 - x, x - 5)), np.maximum(0, np.maximum(1 - y, y - 5))).min())
+
+    assert all(abs(got[n] - brute(*r)) < 1e-3 for *r, n in rows), got
+
+
+def test_leaders_and_clusters_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    boxes = [(1, k, float(x), float(y), 20.0, 12.0, 60.0) for k, (x, y) in enumerate(rng.uniform(0, 1500, (40, 2)))]
+    lines = [(1, k, *map(float, p)) for k, p in enumerate(rng.uniform(0, 1500, (60, 4)))]
+    b = spark.createDataFrame(boxes, "g int, pos int, x double, y double, w double, h double, area double")
+    s = spark.createDataFrame(lines, "g int, pos int, x1 double, y1 double, x2 double, y2 double").withColumns({"length": F.hypot(F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2")), "angle": F.pmod(F.degrees(F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))), F.lit(180.0))})
+    t = np.linspace(0, 1, 4001)
+    want = {}
+    for _, k, x, y, w, h, _ in boxes:
+        away = lambda px, py: np.hypot(np.maximum(0, np.maximum(x - px, px - x - w)), np.maximum(0, np.maximum(y - py, py - y - h)))  # noqa: B023, E731
+        scores = []
+        for _, n, x1, y1, x2, y2 in lines:
+            end, side = min(away(x1, y1), away(x2, y2)), away(x1 + t * (x2 - x1), y1 + t * (y2 - y1)).min()
+            if end <= 90 or side <= 40:
+                scores.append(((end if end <= 90 else side) + 0.015 * np.hypot(x2 - x1, y2 - y1), n))
+        want[k] = [n for _, n in sorted(scores)[:2]]
+    got = {}
+    for r in labelling.leaders(b.withColumnRenamed("pos", "label"), s, ["g"], "label", "pos", 90.0, 40.0, 0.015, 8.0, 8.0).orderBy("place").collect():
+        got.setdefault(r["label"], []).append(r["pos"])
+    assert sum(got.get(k) == v for k, v in want.items() if v) >= 0.95 * sum(bool(v) for v in want.values()) and set(got) == {k for k, v in want.items() if v}
+    root = list(range(40))
+    for i, (_, _, x, y, w, h, _) in enumerate(boxes):
+        for j, (_, _, u, v, _, _, _) in enumerate(boxes):
+            if i < j and max(0, abs(x - u) - w) <= 60 and abs(x - u) < 220 and (abs(y - v) <= 18 or max(0, h - abs(y - v)) / h >= 0.35):
+                a, c = sorted((root[i], root[j]))
+                root = [a if q == c else q for q in root]
+    assert {r["root"]: r["n"] for r in labelling.text_clusters(b, ["g"], "pos", 60.0, 18.0, 0.75, 220.0).collect()} == {r: root.count(r) for r in set(root)}
 
 
 def test_scores_are_null_where_undefined(spark):

@@ -95,12 +95,25 @@ def test_cubics_and_svg_table(spark):
 
 
 def test_export_values(spark):
-    doc = json.dumps({"primitives": [{"type": "arc", "center": [50, 500], "radius": 10, "start_angle": 10, "end_angle": 50}, {"type": "line", "p1": [0, 500], "p2": [1, 2], "style": "hidden"}]})
-    p = nested.shred(spark.createDataFrame([(1, doc)], "doc_no bigint, payload string")).withColumn("style", F.col("texts")["style"]).withColumn("path", F.lit(None).cast("string"))
-    dxf = {r["variant"]: r["element"] for r in vec.dxf_entities(p, F.lit(600.0)).collect()}
-    assert "20\n100.00\n" in dxf["arc"] and "50\n310.00\n51\n350.00\n" in dxf["arc"] and dxf["line"].startswith("0\nLINE\n8\nHIDDEN\n")
+    primitives = [{"type": "arc", "center": [50, 500], "radius": 10, "start_angle": 10, "end_angle": 50}, {"type": "line", "p1": [0, 500], "p2": [1, 2], "style": "hidden"}, {"type": "circle", "center": [100, 500], "radius": 20, "style": "odd"}]
+    p = nested.shred(spark.createDataFrame([(1, json.dumps({"primitives": primitives}))], "doc_no bigint, payload string"))
+    p = p.withColumns({"pts": F.lit(None).cast("array<struct<k:int,x:double,y:double>>"), "height": F.lit(600.0), "stroke_width": F.lit(None).cast("double")})
+    dxf = {r["variant"]: r["element"] for r in vec.dxf_entities(p).collect()}
+    assert "20\n100.0000\n" in dxf["arc"] and "50\n310.0000\n51\n350.0000\n" in dxf["arc"] and dxf["line"].startswith("0\nLINE\n8\nHIDDEN\n")
+    assert dxf["circle"].startswith("0\nCIRCLE\n8\nVISIBLE\n") and dxf["circle"].count("LINE\n8\nCENTER") == 2 and "10\n77.0000\n20\n100.0000\n11\n123.0000\n" in dxf["circle"]
     svg = {r["variant"]: r["element"] for r in vec.svg_elements(p).collect()}
-    assert 'stroke-dasharray="6,3"' in svg["line"] and svg["arc"].startswith('<path d="M 59.85 501.74 A 10.00 10.00 0 0 1 ')
+    assert 'stroke-width="1.00" fill="none" stroke-dasharray="8,4"' in svg["line"] and 'stroke-width="2.00"' in svg["circle"] and svg["arc"].startswith('<path d="M 59.85 501.74 A 10.00 10.00 0 0 1 ')
+    assert 'stroke-width="30.00"' in vec.svg_elements(p.withColumn("stroke_width", F.lit(99.0))).first()["element"]
+
+
+def test_labels_with_crops_and_lone_targets(spark):
+    point = "struct<x:double,y:double>"
+    rows = [(1, "7", (1.0, 2.0), (3.0, 4.0), [], b"png", [1.0, 2.0, 3.0, 4.0], 100.0), (2, "", None, (3.0, 4.0), [], None, None, 100.0), (3, "", (1.0, 2.0), None, [((0.0, 0.0), None)], None, None, 100.0)]
+    a = spark.createDataFrame(rows, f"pos int, label string, at {point}, leader_to {point}, leaders array<struct<p1:{point},p2:{point}>>, crop binary, box array<double>, height double")
+    got = {r["pos"]: r["element"] for r in vec.svg_annotations(a).collect()}
+    assert list(got) == [1] and got[1].split("\n")[0] == '<line x1="1.00" y1="2.00" x2="3.00" y2="4.00" stroke="black" stroke-width="0.7"/>'
+    assert 'href="data:image/png;base64,cG5n" x="1.00" y="2.00" width="3.00" height="4.00"' in got[1] and got[1].endswith(">7</text>")
+    assert vec.dxf_annotations(a).count() == 1
 
 
 def test_batch_gates_failures_and_resume(spark):

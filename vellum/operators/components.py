@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.session import written
+from vellum.session import discard, written
 
 #: Edges that one task may finish (about 10 MB).
 ONE_TASK_EDGES = 200_000
@@ -40,11 +40,14 @@ def union_find(frame: pd.DataFrame) -> pd.DataFrame:
             x = up
         return x
 
-    for a, b in zip(frame["a"], frame["b"]):
-        a, b = find(a), find(b)
+    pairs = list(zip(frame["a"], frame["b"]))
+    names = list(pairs[0][0]) if pairs and isinstance(pairs[0][0], dict) else None  # nodes of several fields
+    for a, b in pairs:
+        a, b = (find(tuple(x.values()) if names else x) for x in (a, b))
         if a != b:
             root[max(a, b)] = min(a, b)
-    return pd.DataFrame([(x, find(x)) for x in list(root)], columns=["node", "root"])
+    out = lambda x: dict(zip(names, x)) if names else x
+    return pd.DataFrame([(out(x), out(find(x))) for x in list(root)], columns=["node", "root"])
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", one_task: int = ONE_TASK_EDGES, rounds: int = 60) -> DataFrame:
@@ -58,8 +61,9 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", one_task: i
             return stars.groupBy(F.lit(0).alias("all")).applyInPandas(lambda frame: union_find(frame), f"node {kind}, root {kind}")
         if (count, mark) == before:
             break
-        before = count, mark
+        before, old = (count, mark), stars
         stars = written(hung(hung(stars, True), False), "stars")
+        discard(old)
     else:
         raise RuntimeError("components did not settle")
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

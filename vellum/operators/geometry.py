@@ -1,11 +1,16 @@
 """Geometry of point chains and primitives as native expressions: lengths, directions, fits from moments, distance joins.
 
-Tables of points have the columns of ``by``, a running number ``k`` and coordinates ``x, y``.
+A chain is one row with ``pts``, its points ``(k, x, y)`` in order.  Everything about one chain is computed from its array, so
+fits need no join, window or shuffle.  Distances between boxes and segments are columns over ``(x, y, w, h)`` and end points.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.operators.relational import nearest
@@ -13,8 +18,11 @@ from vellum.session import written
 
 #: Inlier distance, scale of the confidence, and the least confidences of the cascade (fixed values).
 INLIER, SCALE = 1.5, 3.0
-LINE_OK, ARC_OK, CIRCLE_OK = 0.75, 0.65, 0.65
+LINE_OK, ARC_OK, CIRCLE_OK, ELLIPSE_OK, BEST_OK, STRAIGHT_OK, POLYLINE = 0.75, 0.65, 0.65, 0.55, 0.2, 0.50, 0.3
 MIN_CHORD, MIN_SAGITTA, MIN_BEND = 5.0, 2.5, 0.05
+CIRCLE_POINTS, ARC_POINTS, ELLIPSE_POINTS, ELLIPSE_INLIER = 4, 5, 6, 2.0
+#: Line-like strokes: shortest and longest, least straightness, largest residual (fixed values).
+STROKE = (5.0, 80.0, 0.70, 2.2)
 
 
 def confidence(inliers: Column, rms: Column) -> Column:
@@ -28,88 +36,256 @@ def angle_delta(a: Column, b: Column) -> Column:
     return F.least(d, 180.0 - d)
 
 
-def steps(points: DataFrame, by: list[str]) -> DataFrame:
-    """Points with the length ``step`` from the point before and ``run`` from the first."""
-    w = Window.partitionBy(*by).orderBy("k")
-    step = F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w))
-    return points.withColumn("step", F.coalesce(step, F.lit(0.0))).withColumn("run", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def total(values: Column) -> Column:
+    """Sum of an array; 0 for an empty one."""
+    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+
+
+def chain_steps(pts: Column) -> Column:
+    """Distances between neighbouring points."""
+    n = F.greatest(F.size(pts) - 1, F.lit(0))
+    return F.zip_with(F.slice(pts, F.lit(1), n), F.slice(pts, F.lit(2), n), lambda a, b: F.hypot(a["x"] - b["x"], a["y"] - b["y"]))
+
+
+def first_point(pts: Column) -> Column:
+    return F.get(pts, F.lit(0))
+
+
+def last_point(pts: Column) -> Column:
+    return F.get(pts, F.size(pts) - 1)
+
+
+def chain_features(chains: DataFrame) -> DataFrame:
+    """Chains with number of points, arc length, chord and straightness."""
+    a, b = first_point(F.col("pts")), last_point(F.col("pts"))
+    out = chains.withColumns({"n": F.size("pts").cast("bigint"), "length": total(chain_steps(F.col("pts"))), "chord": F.hypot(a["x"] - b["x"], a["y"] - b["y"])})
+    return out.withColumn("straightness", F.coalesce(F.try_divide("chord", "length"), F.lit(0.0)))
+
+
+def far_point(pts: Column, baseline: float) -> Column:
+    """The first point at least ``baseline`` along a chain, else the last."""
+    start = F.struct(F.lit(0.0).alias("run"), first_point(pts).alias("at"), F.lit(False).alias("there"))
+
+    def walk(s: Column, p: Column) -> Column:
+        run = s["run"] + F.hypot(p["x"] - s["at"]["x"], p["y"] - s["at"]["y"])
+        return F.when(s["there"], s).otherwise(F.struct(run.alias("run"), p.alias("at"), (run >= baseline).alias("there")))
+
+    return F.aggregate(pts, start, walk, lambda s: s["at"])
+
 
+def leave_direction(pts: Column, baseline: float = 8.0) -> Column:
+    """Direction in degrees in which a chain leaves its first point, taken over ``baseline`` pixels."""
+    a, b = first_point(pts), far_point(pts, baseline)
+    return F.degrees(F.atan2(b["y"] - a["y"], b["x"] - a["x"]))
 
-def chain_features(points: DataFrame, by: list[str]) -> DataFrame:
-    """Arc length, chord and straightness of each chain."""
-    ends = steps(points, by).groupBy(*by).agg(F.count("*").alias("n"), F.sum("step").alias("length"), F.min_by(F.struct("x", "y"), "k").alias("a"), F.max_by(F.struct("x", "y"), "k").alias("b"))
-    chord = F.hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y"))
-    return ends.select(*by, "n", "length", chord.alias("chord"), F.coalesce(F.try_divide(chord, F.col("length")), F.lit(0.0)).alias("straightness"))
 
+def largest_gap(angles: Column) -> Column:
+    """``(gap, start, end)``: the largest gap between neighbouring directions of a circle; an arc over all others runs from start to end."""
+    ordered = F.array_sort(angles)
+    follow = F.concat(F.slice(ordered, F.lit(2), F.greatest(F.size(ordered) - 1, F.lit(0))), F.array(F.get(ordered, F.lit(0)) + 360.0))
+    gaps = F.zip_with(ordered, follow, lambda e, s: F.struct((s - e).alias("gap"), (-e).alias("e"), s.alias("s")))
+    best = F.array_max(gaps)
+    return F.struct(best["gap"].alias("gap"), F.pmod(best["s"], F.lit(360.0)).alias("start"), (-best["e"]).alias("end"))
 
-def leave_direction(points: DataFrame, by: list[str], baseline: float = 8.0) -> DataFrame:
-    """Direction in which a chain leaves its first point: towards the first point at least ``baseline`` along it, else the last."""
-    run = steps(points, by)
-    far = F.coalesce(F.min_by(F.when(F.col("run") >= baseline, F.struct("x", "y")), F.when(F.col("run") >= baseline, F.col("k"))), F.max_by(F.struct("x", "y"), "k"))
-    ends = run.groupBy(*by).agg(F.min_by(F.struct("x", "y"), "k").alias("a"), far.alias("b"))
-    return ends.select(*by, F.degrees(F.atan2(F.col("b.y") - F.col("a.y"), F.col("b.x") - F.col("a.x"))).alias("direction"))
 
+def centred(chains: DataFrame) -> DataFrame:
+    """Chains with ``n``, their mean ``mx, my`` and ``uv``, the points from there."""
+    own = chains.withColumns({"n": F.size("pts").cast("bigint"), "mx": total(F.transform("pts", lambda p: p["x"])) / F.size("pts"), "my": total(F.transform("pts", lambda p: p["y"])) / F.size("pts")})
+    return own.withColumn("uv", F.transform("pts", lambda p: F.struct((p["x"] - F.col("mx")).alias("u"), (p["y"] - F.col("my")).alias("v"))))
 
-def largest_gap(angles: DataFrame, by: list[str], angle: str = "angle") -> DataFrame:
-    """Largest gap between neighbouring directions around the circle, and where an arc over all the others starts and ends."""
-    w = Window.partitionBy(*by).orderBy(angle)
-    first = F.first(angle).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    follow = F.coalesce(F.lead(angle).over(w), first + 360.0)
-    rows = angles.select(*by, F.col(angle).alias("ends"), follow.alias("starts"))
-    best = rows.groupBy(*by).agg(F.max(F.struct((F.col("starts") - F.col("ends")).alias("gap"), (-F.col("ends")).alias("e"), "starts")).alias("m"))
-    return best.select(*by, F.col("m.gap").alias("gap"), F.pmod(F.col("m.starts"), F.lit(360.0)).alias("start"), (-F.col("m.e")).alias("end"))
 
+def sums(names: dict[str, Callable[[Column, Column], Column]]) -> Column:
+    """Sums of functions of ``u`` and ``v`` over the centred points, in one walk."""
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in names])
+    return F.aggregate("uv", zero, lambda s, p: F.struct(*[(s[k] + f(p["u"], p["v"])).alias(k) for k, f in names.items()]))
 
-def line_fits(points: DataFrame, by: list[str]) -> DataFrame:
-    """Total least squares line of each chain from its second moments, with inliers, residual and end points of the inliers."""
-    m = points.groupBy(*by).agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_pop("x").alias("sxx"), F.var_pop("y").alias("syy"), F.covar_pop("x", "y").alias("sxy"))
-    m = m.withColumn("theta", 0.5 * F.atan2(2 * F.col("sxy"), F.col("sxx") - F.col("syy")))
-    p = points.join(m, by).withColumn("u", (F.col("x") - F.col("mx")) * F.cos("theta") + (F.col("y") - F.col("my")) * F.sin("theta"))
-    p = p.withColumn("v", F.abs(-(F.col("x") - F.col("mx")) * F.sin("theta") + (F.col("y") - F.col("my")) * F.cos("theta")))
-    near = F.col("v") <= INLIER
-    out = p.groupBy(*by, "n", "mx", "my", "theta").agg(F.avg(near.cast("double")).alias("inliers"), F.sqrt(F.avg(F.col("v") * F.col("v"))).alias("rms"), F.count_if(near).alias("k"), F.min(F.when(near, F.col("u"))).alias("lo_in"), F.max(F.when(near, F.col("u"))).alias("hi_in"), F.min("u").alias("lo_all"), F.max("u").alias("hi_all"))
-    lo, hi = F.when(F.col("k") >= 2, F.col("lo_in")).otherwise(F.col("lo_all")), F.when(F.col("k") >= 2, F.col("hi_in")).otherwise(F.col("hi_all"))
+
+MOMENTS = {"uu": lambda u, v: u * u, "uv": lambda u, v: u * v, "vv": lambda u, v: v * v, "uuu": lambda u, v: u * u * u, "uvv": lambda u, v: u * v * v, "vvv": lambda u, v: v * v * v, "vuu": lambda u, v: v * u * u}
+
+
+def with_moments(chains: DataFrame) -> DataFrame:
+    return centred(chains).withColumn("s", sums(MOMENTS))
+
+
+def share_within(off: str, reach: float = INLIER) -> Column:
+    return F.size(F.filter(off, lambda d: F.abs(d) <= reach)) / F.size(off)
+
+
+def root_mean_square(off: str) -> Column:
+    return F.sqrt(total(F.transform(off, lambda d: d * d)) / F.size(off))
+
+
+def with_lines(chains: DataFrame) -> DataFrame:
+    """Chains with moments and their total least squares line: ``theta``, line residuals, ``line_inliers``, ``line_rms``, ``line`` (confidence)."""
+    own = chains.withColumn("theta", 0.5 * F.atan2(2 * F.col("s.uv"), F.col("s.uu") - F.col("s.vv")))
+    own = own.withColumns({"line_off": F.transform("uv", lambda p: -p["u"] * F.sin("theta") + p["v"] * F.cos("theta")), "along": F.transform("uv", lambda p: p["u"] * F.cos("theta") + p["v"] * F.sin("theta"))})
+    own = own.withColumns({"line_inliers": share_within("line_off"), "line_rms": root_mean_square("line_off")})
+    return own.withColumn("line", confidence(F.col("line_inliers"), F.col("line_rms")))
+
+
+def line_fits(chains: DataFrame) -> DataFrame:
+    """Total least squares line of each chain, with inliers, residual, confidence and the end points of the inliers.
+
+    Fewer than two inliers: the end points of all points.
+    """
+    own = with_lines(with_moments(chains))
+    on = F.transform(F.filter(F.arrays_zip("line_off", "along"), lambda p: F.abs(p["line_off"]) <= INLIER), lambda p: p["along"])
+    own = own.withColumn("on", on).withColumn("on", F.when(F.size("on") >= 2, F.col("on")).otherwise(F.col("along")))
     at = lambda c, u: F.col(f"m{c}") + u * (F.cos("theta") if c == "x" else F.sin("theta"))
-    return out.select(*by, "n", F.pmod(F.degrees("theta"), F.lit(180.0)).alias("angle"), "inliers", "rms", confidence(F.col("inliers"), F.col("rms")).alias("confidence"), at("x", lo).alias("x1"), at("y", lo).alias("y1"), at("x", hi).alias("x2"), at("y", hi).alias("y2"))
-
-
-def circle_fits(points: DataFrame, by: list[str]) -> DataFrame:
-    """Algebraic circle of each chain from centred moment sums; collinear chains and radii of 0 have none."""
-    m = points.groupBy(*by).agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    p = points.join(m, by).withColumn("u", F.col("x") - F.col("mx")).withColumn("v", F.col("y") - F.col("my"))
-    u, v = F.col("u"), F.col("v")
-    sums = {"uu": u * u, "uv": u * v, "vv": v * v, "uuu": u * u * u, "uvv": u * v * v, "vvv": v * v * v, "vuu": v * u * u}
-    s = p.groupBy(*by, "n", "mx", "my").agg(*[F.sum(c).alias(k) for k, c in sums.items()])
-    det = F.col("uu") * F.col("vv") - F.col("uv") * F.col("uv")
-    right = (F.col("uuu") + F.col("uvv")) / 2, (F.col("vvv") + F.col("vuu")) / 2
-    a = F.try_divide(right[0] * F.col("vv") - right[1] * F.col("uv"), det)
-    b = F.try_divide(right[1] * F.col("uu") - right[0] * F.col("uv"), det)
-    c = s.where(F.abs(det) > 1e-9 * (F.col("uu") + F.col("vv")) * (F.col("uu") + F.col("vv"))).select(*by, "n", "mx", "my", a.alias("a"), b.alias("b"), ((F.col("uu") + F.col("vv")) / F.col("n")).alias("w"))
-    c = c.select(*by, "n", (F.col("mx") + F.col("a")).alias("cx"), (F.col("my") + F.col("b")).alias("cy"), F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b") + F.col("w")).alias("radius")).where("radius > 1e-3")
-    off = F.abs(F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")) - F.col("radius"))
-    q = points.join(c, by).withColumn("off", off)
-    out = q.groupBy(*by, "n", "cx", "cy", "radius").agg(F.avg((F.col("off") <= INLIER).cast("double")).alias("inliers"), F.sqrt(F.avg(F.col("off") * F.col("off"))).alias("rms"))
-    return out.withColumn("confidence", confidence(F.col("inliers"), F.col("rms")))
-
-
-def arc_spans(points: DataFrame, circles: DataFrame, by: list[str]) -> DataFrame:
-    """Span of each chain around its fitted centre: 360 less the largest gap."""
-    p = points.join(circles.select(*by, "cx", "cy"), by)
-    angle = F.pmod(F.degrees(F.atan2(F.col("y") - F.col("cy"), F.col("x") - F.col("cx"))), F.lit(360.0))
-    return largest_gap(p.select(*by, angle.alias("angle")), by).select(*by, "start", "end", (360.0 - F.col("gap")).alias("span"))
-
-
-def fit_choice(points: DataFrame, by: list[str]) -> DataFrame:
-    """Type and confidence of each open chain: line, else arc (unless it hardly bends), else the better one, else polyline."""
-    lines = line_fits(points, by).select(*by, "n", F.col("confidence").alias("line"), F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("chord"))
-    circles = circle_fits(points, by)
-    spans = arc_spans(points, circles, by)
-    arcs = circles.join(spans, by).select(*by, F.col("confidence").alias("arc"), (F.col("radius") * (1 - F.cos(F.radians(F.least(F.col("span"), F.lit(180.0)) / 2)))).alias("sagitta"))
-    both = lines.join(arcs, by, "left").withColumn("arc", F.coalesce("arc", F.lit(0.0)))
-    bends = (F.col("sagitta") >= MIN_SAGITTA) & (F.col("sagitta") >= MIN_BEND * F.col("chord"))
-    flat = (F.col("chord") > MIN_CHORD) & ~F.coalesce(bends, F.lit(False)) & (F.col("line") >= 0.5)
-    kind = F.when(F.col("line") >= LINE_OK, "line").when((F.col("arc") >= ARC_OK) & flat, "line").when(F.col("arc") >= ARC_OK, "arc").when(F.greatest("arc", "line") > 0.2, F.when(F.col("arc") > F.col("line"), "arc").otherwise("line")).otherwise("polyline")
-    return both.select(*by, "n", kind.alias("type"), F.when(kind == "polyline", F.lit(0.3)).when(kind == "arc", F.col("arc")).otherwise(F.col("line")).alias("confidence"))
+    lo, hi = F.array_min("on"), F.array_max("on")
+    out = own.withColumns({"angle": F.pmod(F.degrees("theta"), F.lit(180.0)), "x1": at("x", lo), "y1": at("y", lo), "x2": at("x", hi), "y2": at("y", hi)})
+    return out.select(*chains.columns, "n", "angle", F.col("line_inliers").alias("inliers"), F.col("line_rms").alias("rms"), F.col("line").alias("confidence"), "x1", "y1", "x2", "y2")
+
+
+def with_circles(chains: DataFrame) -> DataFrame:
+    """Chains with moments and their algebraic circle: ``cx, cy, radius, circle_inliers, circle_rms, circle``; nulls if there is none."""
+    s = lambda k: F.col("s")[k]
+    det = s("uu") * s("vv") - s("uv") * s("uv")
+    right = (s("uuu") + s("uvv")) / 2, (s("vvv") + s("vuu")) / 2
+    good = F.abs(det) > 1e-9 * (s("uu") + s("vv")) * (s("uu") + s("vv"))
+    own = chains.withColumns({"ca": F.when(good, F.try_divide(right[0] * s("vv") - right[1] * s("uv"), det)), "cb": F.when(good, F.try_divide(right[1] * s("uu") - right[0] * s("uv"), det))})
+    radius = F.sqrt(F.col("ca") * F.col("ca") + F.col("cb") * F.col("cb") + (s("uu") + s("vv")) / F.col("n"))
+    own = own.withColumn("radius", F.when(radius > 1e-3, radius)).withColumns({"cx": F.when(F.col("radius").isNotNull(), F.col("mx") + F.col("ca")), "cy": F.when(F.col("radius").isNotNull(), F.col("my") + F.col("cb"))})
+    own = own.withColumn("circle_off", F.when(F.col("radius").isNotNull(), F.transform("uv", lambda p: F.hypot(p["u"] - F.col("ca"), p["v"] - F.col("cb")) - F.col("radius"))))
+    own = own.withColumns({"circle_inliers": F.when(F.col("radius").isNotNull(), share_within("circle_off")), "circle_rms": F.when(F.col("radius").isNotNull(), root_mean_square("circle_off"))})
+    return own.withColumn("circle", confidence(F.col("circle_inliers"), F.col("circle_rms")))
+
+
+def circle_fits(chains: DataFrame) -> DataFrame:
+    """Algebraic circle of each chain that has one; collinear chains and radii of 0 have no row."""
+    out = with_circles(with_moments(chains)).where("radius is not null")
+    return out.select(*chains.columns, "n", "cx", "cy", "radius", F.col("circle_inliers").alias("inliers"), F.col("circle_rms").alias("rms"), F.col("circle").alias("confidence"))
+
+
+def arc_spans(chains: DataFrame) -> DataFrame:
+    """Start, end and span of the arc that each chain's inliers (all its points, if fewer than five) cover around its circle."""
+    own = with_circles(with_moments(chains)).where("radius is not null")
+    angle = lambda p: F.pmod(F.degrees(F.atan2(p["v"] - F.col("cb"), p["u"] - F.col("ca"))), F.lit(360.0))
+    on = F.transform(F.filter(F.arrays_zip("uv", "circle_off"), lambda p: F.abs(p["circle_off"]) <= INLIER), lambda p: p["uv"])
+    own = own.withColumn("on", on).withColumn("on", F.when(F.size("on") >= ARC_POINTS, F.col("on")).otherwise(F.col("uv")))
+    own = own.withColumn("arc", largest_gap(F.transform("on", angle)))
+    return own.select(*chains.columns, "cx", "cy", "radius", "arc.start", "arc.end", (360.0 - F.col("arc.gap")).alias("span"))
+
+
+def ellipse_confidence(pts: pd.Series) -> pd.Series:
+    """Confidence of the ellipse through each chain, null without one; chains that are null are not tried."""
+    from vellum.operators.strokes import ellipse_fit, ellipse_offsets
+
+    def one(p: object) -> float | None:
+        if p is None:
+            return None
+        xy = np.array([(q["x"], q["y"]) for q in p], float)
+        fit = ellipse_fit(xy)
+        if fit is None:
+            return None
+        off = ellipse_offsets(xy, fit)
+        return float((off <= ELLIPSE_INLIER).mean() * max(0.0, 1 - np.sqrt((off**2).mean()) / SCALE))
+
+    return pd.Series([one(p) for p in pts], dtype="float64")
+
+
+def fit_choice(chains: DataFrame, ellipses: bool = True) -> DataFrame:
+    """Type and confidence of each open chain by the cascade of fits: line, arc, ellipse, the better of arc and line, polyline.
+
+    An arc that hardly bends over its chord is a line if the line fits somewhat.  Arcs need five points, ellipses six.  Ellipses
+    are fitted in Arrow batches, and only where line and arc have failed; a single point is a polyline of confidence 0.
+    """
+    own = with_circles(with_lines(with_moments(chains)))
+    a, b = first_point(F.col("pts")), last_point(F.col("pts"))
+    own = own.withColumns({"chord": F.hypot(a["x"] - b["x"], a["y"] - b["y"]), "arc": F.when(F.col("n") >= ARC_POINTS, F.coalesce("circle", F.lit(0.0))).otherwise(F.lit(0.0))})
+    bulge = F.array_max(F.transform("pts", lambda p: F.abs((p["x"] - a["x"]) * (a["y"] - b["y"]) - (p["y"] - a["y"]) * (a["x"] - b["x"]))))
+    own = own.withColumn("sagitta", F.when(F.col("chord") > MIN_CHORD, bulge / F.col("chord")))
+    bends = (F.col("sagitta") >= MIN_BEND * F.col("chord")) & (F.col("sagitta") >= MIN_SAGITTA)
+    own = own.withColumn("flat", F.coalesce((F.col("chord") > MIN_CHORD) & ~bends & (F.col("line") >= STRAIGHT_OK), F.lit(False)))
+    arc = F.when(F.col("flat"), "line").otherwise("arc")
+    own = own.withColumn("first", F.when(F.col("n") < 2, "polyline").when(F.col("line") >= LINE_OK, "line").when(F.col("arc") >= ARC_OK, arc))
+    tried = F.pandas_udf(ellipse_confidence, "double")(F.when(F.col("first").isNull() & (F.col("n") >= ELLIPSE_POINTS), F.col("pts")))
+    own = own.withColumn("ellipse", F.coalesce(tried, F.lit(0.0)) if ellipses else F.lit(0.0))
+    better = F.when((F.col("n") < ARC_POINTS) | (F.col("line") > F.col("arc")), "line").otherwise(arc)
+    kind = F.coalesce("first", F.when(F.col("ellipse") >= ELLIPSE_OK, "ellipse"), F.when(F.greatest("arc", "line") > BEST_OK, better), F.lit("polyline"))
+    own = own.withColumn("type", kind)
+    sure = F.when(F.col("n") < 2, F.lit(0.0)).when(F.col("type") == "polyline", F.lit(POLYLINE)).when(F.col("type") == "arc", F.col("arc")).when(F.col("type") == "ellipse", F.col("ellipse")).otherwise(F.col("line"))
+    return own.select(*chains.columns, "n", "type", sure.alias("confidence"))
+
+
+def closed_choice(chains: DataFrame) -> DataFrame:
+    """Type and confidence of each closed chain: circle, else ellipse, else polygon, else polyline; those that are no circle are fitted in Arrow batches."""
+    from vellum.operators.strokes import closed_fit
+
+    own = with_circles(with_moments(chains))
+    own = own.withColumn("circle", F.when(F.col("n") >= CIRCLE_POINTS, F.coalesce("circle", F.lit(0.0))).otherwise(F.lit(0.0)))
+
+    def rest(pts: pd.Series) -> pd.DataFrame:
+        found = [(None, None) if p is None else closed_fit([(q["x"], q["y"]) for q in p], circles=False) for p in pts]
+        return pd.DataFrame(found, columns=["type", "confidence"])
+
+    tried = F.pandas_udf(rest, "type string, confidence double")(F.when(F.col("circle") < CIRCLE_OK, F.col("pts")))
+    own = own.withColumn("fit", tried)
+    return own.select(*chains.columns, "n", F.coalesce("fit.type", F.lit("circle")).alias("type"), F.coalesce("fit.confidence", "circle").alias("confidence"))
+
+
+def line_like(length: Column, straightness: Column, rms: Column, limits: tuple[float, float, float, float] = STROKE) -> Column:
+    """Whether a stroke can belong to a hachure."""
+    return length.between(limits[0], limits[1]) & (straightness >= limits[2]) & (rms <= limits[3])
+
+
+def circular(chains: DataFrame, most: float = 80.0) -> DataFrame:
+    """Closed chains with ``noise``: shorter than ``most`` and not circular.
+
+    Circular are chains of six points or more whose mean distance to their centre is a pixel or more and spreads by less than
+    0.55 of it below twelve pixels, else by less than 0.30.
+    """
+    own = centred(chain_features(chains)).withColumn("reach", F.transform("uv", lambda p: F.hypot(p["u"], p["v"])))
+    own = own.withColumn("r", total(F.col("reach")) / F.size("reach"))
+    own = own.withColumn("spread", F.sqrt(total(F.transform("reach", lambda d: (d - F.col("r")) * (d - F.col("r")))) / F.size("reach")))
+    is_round = (F.size("pts") >= 6) & (F.col("r") >= 1) & (F.col("spread") < F.col("r") * F.when(F.col("r") < 12, 0.55).otherwise(0.30))
+    return own.select(*chains.columns, "length", "r", "spread", is_round.alias("round"), ((F.col("length") < most) & ~is_round).alias("noise"))
+
+
+# --- boxes and segments
+
+
+def point_box(x: Column, y: Column, box: Callable[[str], Column]) -> Column:
+    """Distance of a point to a box ``(x, y, w, h)``; 0 inside."""
+    dx = F.greatest(box("x") - x, F.lit(0.0), x - box("x") - box("w"))
+    dy = F.greatest(box("y") - y, F.lit(0.0), y - box("y") - box("h"))
+    return F.hypot(dx, dy)
+
+
+def point_segment(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Distance of a point to a segment; a segment of no length is a point."""
+    n = (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1), n), F.lit(0.0))))
+    return F.hypot(x - x1 - t * (x2 - x1), y - y1 - t * (y2 - y1))
+
+
+def meets_box(x1: Column, y1: Column, x2: Column, y2: Column, box: Callable[[str], Column]) -> Column:
+    """Whether a segment and a box have a point in common: the parts of the segment between each pair of sides overlap."""
+
+    def within(a: Column, b: Column, low: Column, high: Column) -> tuple[Column, Column]:
+        p, q = F.try_divide(low - a, b - a), F.try_divide(high - a, b - a)
+        still = a.between(low, high)
+        return F.coalesce(F.least(p, q), F.when(still, F.lit(0.0)).otherwise(F.lit(2.0))), F.coalesce(F.greatest(p, q), F.when(still, F.lit(1.0)).otherwise(F.lit(-1.0)))
+
+    ax, bx = within(x1, x2, box("x"), box("x") + box("w"))
+    ay, by_ = within(y1, y2, box("y"), box("y") + box("h"))
+    return F.greatest(ax, ay, F.lit(0.0)) <= F.least(bx, by_, F.lit(1.0))
+
+
+def segment_box(x1: Column, y1: Column, x2: Column, y2: Column, box: Callable[[str], Column]) -> Column:
+    """Distance of a segment to a box: 0 if they meet, else the least of the ends to the box and the corners to the segment."""
+    corners = [(box("x") + i * box("w"), box("y") + j * box("h")) for i in (0, 1) for j in (0, 1)]
+    apart = F.least(point_box(x1, y1, box), point_box(x2, y2, box), *[point_segment(x, y, x1, y1, x2, y2) for x, y in corners])
+    return F.when(meets_box(x1, y1, x2, y2, box), F.lit(0.0)).otherwise(apart)
+
+
+def overlap(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """Common area of two boxes."""
+    side = lambda p, s: F.greatest(F.lit(0.0), F.least(a(p) + a(s), b(p) + b(s)) - F.greatest(a(p), b(p)))
+    return side("x", "w") * side("y", "h")
+
+
+# --- distance joins
 
 
 def near_pairs(left: DataFrame, right: DataFrame, by: list[str], cutoff: float) -> DataFrame:
@@ -122,23 +298,33 @@ def near_pairs(left: DataFrame, right: DataFrame, by: list[str], cutoff: float)
     return a.join(b, [*by, "cx", "cy"]).withColumn("distance", gap).where(F.col("distance") <= cutoff).drop("cx", "cy")
 
 
-def chamfer(a: DataFrame, b: DataFrame, by: list[str], reach: float = 64.0) -> DataFrame:
-    """Mean nearest distance from ``a`` to ``b`` in each group, by widening cells: points without a partner within ``reach`` look again at twice the reach.
-
-    Groups in which either side has no point have no row.
-    """
+def nearest_distances(a: DataFrame, b: DataFrame, by: list[str], reach: float = 64.0) -> DataFrame:
+    """``(by, distance)`` of every point of ``a`` to its nearest of ``b`` in the group, by widening cells: points without a partner within
+    ``reach`` look again at four times the reach.  Groups in which either side has no point have no row."""
     both = a.select(*by).distinct().join(b.select(*by).distinct(), by, "left_semi")
-    left = a.join(both, by, "left_semi").select(*by, "x", "y").withColumn("one", F.monotonically_increasing_id())
-    left, found = written(left, "chamfer"), None
-    right = b.select(*by, "x", "y").withColumn("other", F.lit(0))
+    left = written(a.join(both, by, "left_semi").select(*by, "x", "y").withColumn("one", F.monotonically_increasing_id()), "nearest")
+    right = written(b.join(both, by, "left_semi").select(*by, "x", "y", F.lit(0).alias("other")), "nearest")
+    found = None
     while left.take(1):
-        part = written(nearest(left, right, by, "one", "other", reach).select(*by, "one", "distance"), "chamfer")
+        part = written(nearest(left, right, by, "one", "other", reach).select(*by, "one", "distance"), "nearest")
         found = part if found is None else found.unionByName(part)
-        left = written(left.join(part.select("one"), "one", "left_anti"), "chamfer")
+        left = written(left.join(part.select("one"), "one", "left_anti"), "nearest")
         reach *= 4
-    if found is None:
-        return both.select(*by, F.lit(0.0).alias("mean"), F.lit(0).cast("bigint").alias("n")).limit(0)
-    return found.groupBy(*by).agg(F.avg("distance").alias("mean"), F.count("*").alias("n"))
+    return left.select(*by, F.lit(0.0).alias("distance")) if found is None else found.select(*by, "distance")
+
+
+def chamfer(a: DataFrame, b: DataFrame, by: list[str], reach: float = 64.0) -> DataFrame:
+    """Mean nearest distance from ``a`` to ``b`` in each group."""
+    return nearest_distances(a, b, by, reach).groupBy(*by).agg(F.avg("distance").alias("mean"), F.count("*").alias("n"))
+
+
+def chamfer_both(a: DataFrame, b: DataFrame, by: list[str], reach: float = 64.0) -> DataFrame:
+    """Mean nearest distance ``there`` and ``back``, their mean ``chamfer`` and the 95th percentile over both, in one run of the join."""
+    way = lambda df, n: df.select(*by, "x", "y", F.lit(n).alias("way"))
+    d = nearest_distances(way(a, 0).unionByName(way(b, 1)), way(b, 0).unionByName(way(a, 1)), [*by, "way"], reach)
+    mean = lambda n: F.avg(F.when(F.col("way") == n, F.col("distance")))
+    out = d.groupBy(*by).agg(mean(0).alias("there"), mean(1).alias("back"), F.percentile("distance", F.lit(0.95)).alias("p95"))
+    return out.withColumn("chamfer", (F.col("there") + F.col("back")) / 2)
 
 
 def crossing_numbers(pixels: DataFrame, by: list[str]) -> DataFrame:

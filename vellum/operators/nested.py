@@ -1,26 +1,33 @@
 """Deeply nested documents to flat, typed tables with parent links.
 
-A bottom-up tree automaton walks every document once: leaves get scalar states, arrays and objects get the state
-of the first rule whose fields accept the states of their children.  The state is the record's *variant*; each variant
-has its own typed table, while the keys ``doc, child, parent_pos, pos`` are common to all (the supertype).
+A bottom-up tree automaton gives every node of a document a state.  Scalars get theirs from their value, arrays from the
+states of their elements, and objects from the states of their fields, by the first rule that fits the field they stand in.
+So the state of a child record reaches its parent: a chain of well-formed points is a ``polyline``, one without a ``pointless``;
+a label whose leaders are recognised is ``leadered``, one without ``leadered_bare``.
+
+The state of a record is its *variant*.  Each variant, also ``other`` for records that fit no rule, has its own table with typed
+columns; the keys ``doc, parent_pos, pos`` are common to all (the supertype) and link every row to its parent.
+``subtype_tables`` writes them in one pass, a folder per kind of record and variant.
 
 Defined results: a null, empty or unreadable document has no rows; a document may be wrapped in any number of JSON
 strings and carry a byte order mark; a null element is no record but keeps its position; a lone object stands for an
-array of one; a scalar where an array is due is no record; a record that fits no rule has the variant
-``other``; NaN and infinite numbers, written as numbers or as texts, are null in the typed tables.
+array of one; a scalar where an array is due is no record; ``other`` keeps the record as JSON text; NaN and infinite
+numbers, written as numbers or as texts, are null in the typed tables; repeated documents give repeated rows.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.session import fresh_path
+
 CHUNK = 50_000
 
 
@@ -34,20 +41,25 @@ class Rule:
 
 
 NUM, TEXT, PAIR, BOX = frozenset({"num", "numtext"}), frozenset({"text", "numtext"}), frozenset({"pair"}), frozenset({"quad"})
-LIST = frozenset({"list", "pair", "quad", "empty", "null"})
+#: Chains of points and sets of leaders as their elements make them; a lone one stands for an array of one.
+CHAIN, LEADERS = frozenset({"pairs", "pair"}), frozenset({"leaders", "targeted", "segment", "ray"})
 
-#: Subtypes of each kind of record, in the order in which they are tried.
+#: Transitions of objects by the field that they stand in, in the order in which they are tried.
 RULES: dict[str, list[Rule]] = {
     "primitives": [
         Rule("line", {"p1": PAIR, "p2": PAIR}, {"type": "line"}),
         Rule("arc", {"center": PAIR, "radius": NUM, "start_angle": NUM, "end_angle": NUM}, {"type": "arc"}),
         Rule("circle", {"center": PAIR, "radius": NUM}, {"type": "circle"}),
         Rule("ellipse", {"center": PAIR, "a": NUM, "b": NUM, "angle": NUM}, {"type": "ellipse"}),
-        Rule("polygon", {"points": LIST}, {"type": "polygon"}),
-        Rule("polyline", {"points": LIST}, {"type": "polyline"}),
+        Rule("polygon", {"points": CHAIN}, {"type": "polygon"}),
+        Rule("polyline", {"points": CHAIN}, {"type": "polyline"}),
+        Rule("pointless", {}, {"type": "polygon"}),
+        Rule("pointless", {}, {"type": "polyline"}),
     ],
     "annotations": [
-        Rule("leadered", {"bbox": BOX}, {"removal_mode": "leadered"}),
+        Rule("leadered", {"bbox": BOX, "leader_lines": LEADERS}, {"removal_mode": "leadered"}),
+        Rule("leadered_bare", {"bbox": BOX}, {"removal_mode": "leadered"}),
+        Rule("unleadered_lined", {"bbox": BOX, "leader_lines": LEADERS}, {"removal_mode": "unleadered"}),
         Rule("unleadered", {"bbox": BOX}, {"removal_mode": "unleadered"}),
     ],
     "leader_lines": [
@@ -55,25 +67,44 @@ RULES: dict[str, list[Rule]] = {
         Rule("segment", {"p1": PAIR, "p2": PAIR}),
         Rule("ray", {"p1": PAIR}),
     ],
-    "points": [],
+    "hachure": [Rule("group_note", {"pass": TEXT, "length": NUM})],
 }
+#: Transitions of arrays: the state if all elements that are not null have one of these states.  Numbers alone go by their count.
+ARRAYS: list[tuple[str, frozenset[str]]] = [("pairs", PAIR), ("leaders", frozenset({"targeted", "segment", "ray"}))]
+COUNTED = {2: "pair", 4: "quad"}
 #: Which field of which record nests which kind of child.
 NESTED = {"primitives": "points", "annotations": "leader_lines"}
-#: Typed columns of the subtype tables.
+OTHER = "other"
+
+XY = lambda *names: [f"{n}_{i}" for n in names for i in (0, 1)]
+NOTE = ["confidence", "edge_id", "hachure.length"]
+BOXED = [f"bbox_{i}" for i in range(4)] + XY("position", "leader_to")
+#: Numbers of the subtype tables: a field, or a place in an array of numbers.
 SUBTYPES: dict[str, dict[str, list[str]]] = {
     "primitives": {
-        "line": ["p1_0", "p1_1", "p2_0", "p2_1", "confidence", "edge_id"],
-        "arc": ["center_0", "center_1", "radius", "start_angle", "end_angle", "confidence", "edge_id"],
-        "circle": ["center_0", "center_1", "radius", "confidence", "edge_id"],
-        "ellipse": ["center_0", "center_1", "a", "b", "angle", "confidence", "edge_id"],
-        "polygon": ["confidence", "edge_id"],
-        "polyline": ["confidence", "edge_id"],
+        "line": [*XY("p1", "p2"), *NOTE],
+        "arc": [*XY("center"), "radius", "start_angle", "end_angle", *NOTE],
+        "circle": [*XY("center"), "radius", *NOTE],
+        "ellipse": [*XY("center"), "a", "b", "angle", *NOTE],
+        "polygon": NOTE,
+        "polyline": NOTE,
+        "pointless": NOTE,
+        OTHER: NOTE,
     },
-    "annotations": {"leadered": ["bbox_0", "bbox_1", "bbox_2", "bbox_3"], "unleadered": ["bbox_0", "bbox_1", "bbox_2", "bbox_3"]},
-    "leader_lines": {"targeted": ["p1_0", "p1_1", "p2_0", "p2_1", "leader_to_0", "leader_to_1"], "segment": ["p1_0", "p1_1", "p2_0", "p2_1"], "ray": ["p1_0", "p1_1"]},
-    "points": {"pair": ["0", "1"]},
+    "annotations": {v: BOXED for v in ("leadered", "leadered_bare", "unleadered_lined", "unleadered", OTHER)},
+    "leader_lines": {"targeted": XY("p1", "p2", "leader_to"), "segment": XY("p1", "p2"), "ray": XY("p1"), OTHER: []},
+    "points": {"pair": ["x", "y"], OTHER: []},
 }
-WORDS = ["type", "style", "source", "id", "text", "kind", "removal_mode"]
+#: Texts of the subtype tables.
+WORDS = {"primitives": ["type", "style", "source", "hachure.pass"], "annotations": ["id", "text", "kind", "removal_mode", "source"], "leader_lines": [], "points": []}
+
+
+def column(name: str) -> str:
+    return name.replace(".", "_")
+
+
+NUMBERS = list(dict.fromkeys(column(c) for kinds in SUBTYPES.values() for names in kinds.values() for c in names))
+TEXTS = list(dict.fromkeys(column(c) for names in WORDS.values() for c in names)) + ["raw"]
 
 
 def read_document(payload: object) -> dict | None:
@@ -83,15 +114,29 @@ def read_document(payload: object) -> dict | None:
         if seen > 32:
             return None
         try:
-            payload = json.loads(payload.removeprefix("\ufeff") if isinstance(payload, str) else payload)
+            payload = json.loads(payload.removeprefix("﻿") if isinstance(payload, str) else payload)
         except (ValueError, RecursionError):
             return None
         seen += 1
     return payload if isinstance(payload, dict) else None
 
 
-def leaf_state(value: object) -> str:
-    """State of a node from its value and, for arrays of numbers, the states of its elements."""
+def array_state(states: list[str]) -> str:
+    """State of an array from those of its elements."""
+    if not states:
+        return "empty"
+    present = set(states)
+    if present == {"num"}:
+        return COUNTED.get(len(states), "list")
+    known = present - {"null"}
+    for state, members in ARRAYS:
+        if known and known <= members:
+            return state
+    return "list"
+
+
+def state_of(value: object, symbol: str = "") -> str:
+    """State of a node that stands in the field ``symbol``, from the leaves up."""
     if value is None:
         return "null"
     if isinstance(value, bool):
@@ -104,111 +149,231 @@ def leaf_state(value: object) -> str:
         except ValueError:
             return "text"
     if isinstance(value, list):
-        if not value:
-            return "empty"
-        if all(isinstance(x, (int, float)) and not isinstance(x, bool) for x in value):
-            return {2: "pair", 4: "quad"}.get(len(value), "list")
-        return "list"
-    return "object"
+        return array_state([state_of(x, symbol) for x in value])
+    rules = RULES.get(symbol)
+    return object_state(symbol, value, {k: state_of(v, k) for k, v in value.items()}) if rules else "object"
 
 
-def variant_of(kind: str, record: object) -> str:
-    """State that the automaton gives a record of this kind."""
-    if not isinstance(record, dict):
-        state = leaf_state(record)
-        return state if kind == "points" and state == "pair" else "other"
-    states = {k: leaf_state(v) for k, v in record.items()}
-    for rule in RULES[kind]:
+def object_state(symbol: str, record: dict, states: dict[str, str]) -> str:
+    """State of an object from those of its fields."""
+    for rule in RULES[symbol]:
         if all(record.get(k) == v for k, v in rule.equal.items()) and all(states.get(k, "null") in s for k, s in rule.fields.items()):
             return rule.state
-    return "other"
+    return OTHER
 
 
 def elements(kind: str, value: object) -> list:
     """The array that a field stands for; a lone object or a lone point is an array of one."""
     if isinstance(value, list):
-        return [value] if kind == "points" and leaf_state(value) == "pair" else value
+        return [value] if kind == "points" and state_of(value) == "pair" else value
     return [value] if isinstance(value, dict) else []
 
 
-def records(document: dict) -> Iterator[tuple[str, int, int, object]]:
-    """All child records as ``(child, parent_pos, pos, value)``."""
-    for kind, below in NESTED.items():
+def variant_of(kind: str, record: object) -> str:
+    """The variant of a record of this kind: its state, if its kind has a table for it."""
+    state = state_of(record, kind)
+    return state if state in SUBTYPES[kind] else OTHER
+
+
+Record = tuple[str, int, int, str, object]
+
+
+def classified(kind: str, record: object, pos: int, out: list[Record]) -> str:
+    """State of a first-level record; its child records, classified before it, go to ``out`` with their states."""
+    if not isinstance(record, dict):
+        return OTHER
+    below, states = NESTED[kind], {}
+    for k, v in record.items():
+        if k != below:
+            states[k] = state_of(v, k)
+            continue
+        own = elements(below, v)
+        found = [state_of(x, below) for x in own]
+        states[k] = array_state(found) if own or isinstance(v, list) else state_of(v, k)
+        tables = SUBTYPES[below]
+        out.extend((below, pos, i, s if s in tables else OTHER, x) for i, (s, x) in enumerate(zip(found, own)) if x is not None)
+    return object_state(kind, record, states)
+
+
+def records(document: dict) -> Iterator[Record]:
+    """All child records as ``(child, parent_pos, pos, variant, value)``, children before their parents."""
+    for kind in NESTED:
         for pos, record in enumerate(elements(kind, document.get(kind))):
             if record is None:
                 continue
-            yield kind, -1, pos, record
-            if isinstance(record, dict):
-                for k, child in enumerate(elements(below, record.get(below))):
-                    if child is not None:
-                        yield below, pos, k, child
+            out: list[Record] = []
+            variant = classified(kind, record, pos, out)
+            yield from out
+            yield kind, -1, pos, variant, record
 
 
-def typed_fields(record: object) -> tuple[dict[str, float], dict[str, str]]:
-    """Numbers (arrays of numbers by position) and texts of a record."""
-    numbers: dict[str, float] = {}
-    texts: dict[str, str] = {}
+def number_at(record: object, path: str) -> float | None:
+    """A finite number of a record: a field, a field of a nested object (``a.b``), or a place in an array of numbers (``a_0``)."""
+    if isinstance(record, list):
+        value = record["xy".index(path)]
+    elif path in record:
+        value = record[path]
+    elif "." in path:
+        a, b = path.split(".")
+        value = record[a].get(b) if isinstance(record.get(a), dict) else None
+    else:
+        array = record.get(path[:-2]) if path[-2:-1] == "_" else None
+        value = array[int(path[-1])] if isinstance(array, list) and len(array) in COUNTED and int(path[-1]) < len(array) and array_state([state_of(x) for x in array]) != "list" else None
+    if value is None or isinstance(value, (bool, list, dict)):
+        return None
+    try:
+        x = float(value)
+    except (ValueError, OverflowError):
+        return None  # a text that is no number, or an integer beyond a double
+    return x if math.isfinite(x) else None
+
+
+def text_at(record: object, path: str) -> str | None:
+    a, _, b = path.partition(".")
+    value = record.get(a) if isinstance(record, dict) else None
+    value = value.get(b) if b and isinstance(value, dict) else None if b else value
+    return value if isinstance(value, str) else None
 
-    def number(key: str, value: object) -> None:
-        try:
-            if math.isfinite(float(value)):
-                numbers[key] = float(value)
-        except OverflowError:
-            pass  # an integer beyond a double has no number
 
-    for k, v in record.items() if isinstance(record, dict) else [("", record)]:
-        state = leaf_state(v)
-        if state in ("num", "numtext"):
-            number(k, v)
-        if state in ("pair", "quad"):
-            for i, x in enumerate(v):
-                number(f"{k}_{i}".lstrip("_"), x)
-        if state in ("text", "numtext"):
-            texts[k] = v
-    return numbers, texts
+KEYS = ["child", "variant", "parent_pos", "pos"]
+KEY_TYPES = [pa.string(), pa.string(), pa.int32(), pa.int32()]
+KEY_DDL = "doc bigint, child string, variant string, parent_pos int, pos int"
 
 
-KEYS = "child string, parent_pos int, pos int"
-KEY_SCHEMA = [("child", pa.string()), ("parent_pos", pa.int32()), ("pos", pa.int32())]
+def documents_of(docs: DataFrame, doc_key: str, payload: str) -> DataFrame:
+    return docs.select(F.col(doc_key).cast("bigint").alias("doc"), F.col(payload).alias("payload")).where("payload is not null")
 
 
-def shred(docs: DataFrame, doc_key: str = "doc_no", payload: str = "payload", fields: bool = True) -> DataFrame:
-    """One row per child record of every document: keys, variant and (if asked) its typed fields.
+def shred(docs: DataFrame, doc_key: str = "doc_no", payload: str = "payload", kinds: Iterable[str] = ("primitives", "annotations", "points", "leader_lines"), fields: bool = True) -> DataFrame:
+    """One row per child record of the wanted kinds: keys, variant and (if asked) the typed columns of all subtypes.
 
     One narrow pass without a shuffle; rows leave in chunks, so a document with millions of points needs little memory.
+    Columns that a variant lacks are null blocks and cost next to nothing.
     """
-    schema = pa.schema([("doc", pa.int64()), *KEY_SCHEMA, ("variant", pa.string())] + ([("numbers", pa.map_(pa.string(), pa.float64())), ("texts", pa.map_(pa.string(), pa.string()))] if fields else []))
+    kinds = frozenset(kinds)
+    typed = [(c, pa.float64()) for c in NUMBERS] + [(c, pa.string()) for c in TEXTS] if fields else []
+    schema = pa.schema([("doc", pa.int64()), *zip(KEYS, KEY_TYPES), *typed])
+
+    def batch_of(child: str, variant: str, rows: list[tuple]) -> pa.RecordBatch:
+        docs, parents, places, values = zip(*rows)
+        n = len(rows)
+        columns = {"doc": pa.array(docs, pa.int64()), "child": pa.repeat(child, n), "variant": pa.repeat(variant, n), "parent_pos": pa.array(parents, pa.int32()), "pos": pa.array(places, pa.int32())}
+        if fields:
+            columns |= {column(c): pa.array([number_at(v, c) if isinstance(v, (dict, list)) else None for v in values], pa.float64()) for c in SUBTYPES[child][variant]}
+            columns |= {column(c): pa.array([text_at(v, c) for v in values], pa.string()) for c in WORDS[child]}
+            if variant == OTHER:
+                columns["raw"] = pa.array([json.dumps(v, ensure_ascii=False) for v in values], pa.string())
+        return pa.RecordBatch.from_arrays([columns[c.name] if c.name in columns else pa.nulls(n, c.type) for c in schema], schema=schema)
 
     def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[] for _ in schema]
+        held: dict[tuple[str, str], list[tuple]] = {}
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                document = read_document(text)
+                for child, parent, pos, variant, record in records(document) if document else ():
+                    if child in kinds:
+                        rows = held.setdefault((child, variant), [])
+                        rows.append((doc, parent, pos, record if fields else None))
+                        if len(rows) >= CHUNK:
+                            yield batch_of(child, variant, held.pop((child, variant)))
+            for key in list(held):
+                yield batch_of(*key, held.pop(key))
 
-        def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, schema)], schema=schema)
-            for c in out:
-                c.clear()
-            return batch
+    ddl = KEY_DDL + "".join(f", `{c}` double" for c in NUMBERS) + "".join(f", `{c}` string" for c in TEXTS) if fields else KEY_DDL
+    return documents_of(docs, doc_key, payload).mapInArrow(shape, ddl).withColumnRenamed("doc", doc_key)
+
+
+def typed_table(shredded: DataFrame, child: str, variant: str, doc_key: str = "doc_no") -> DataFrame:
+    """Typed table of one variant, with the common keys first."""
+    numbers = [F.col(column(c)).try_cast("int").alias(c) if c == "edge_id" else F.col(column(c)) for c in SUBTYPES[child][variant]]
+    raw = ["raw"] if variant == OTHER else []
+    return shredded.where((F.col("child") == child) & (F.col("variant") == variant)).select(doc_key, "parent_pos", "pos", *numbers, *map(column, WORDS[child]), *raw)
 
+
+class SubtypeTables:
+    """The typed tables of documents, written in one pass: a folder per kind of record and variant in the shared folder."""
+
+    def __init__(self, docs: DataFrame, doc_key: str = "doc_no", payload: str = "payload"):
+        rows = shred(docs, doc_key, payload)
+        self.doc_key, self.path = doc_key, fresh_path(docs.sparkSession, "subtypes")
+        rows.write.partitionBy("child", "variant").parquet(self.path)
+        self.all = docs.sparkSession.read.schema(rows.schema).parquet(self.path)
+
+    def table(self, child: str, variant: str) -> DataFrame:
+        """One typed table; only its folder is read."""
+        return typed_table(self.all, child, variant, self.doc_key)
+
+    def supertype(self) -> DataFrame:
+        """Common keys of the union of all typed tables."""
+        return self.all.select(self.doc_key, *KEYS)
+
+
+def chains(docs: DataFrame, doc_key: str = "doc_no", payload: str = "payload") -> DataFrame:
+    """``(doc, prim, closed, pts)``: one row per primitive with its well-formed points ``(k, x, y)`` in order; one narrow pass.
+
+    Primitives without such points have no row; ``k`` is a point's position in the document's array; polygons are closed.
+    """
+    point = pa.struct([("k", pa.int32()), ("x", pa.float64()), ("y", pa.float64())])
+    schema = pa.schema([("doc", pa.int64()), ("prim", pa.int32()), ("closed", pa.bool_()), ("pts", pa.list_(point))])
+
+    def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            keys, prims, closed, ends, k, x, y = [], [], [], [0], [], [], []
+
+            def flush() -> pa.RecordBatch:
+                values = pa.StructArray.from_arrays([pa.array(k, pa.int32()), pa.array(x, pa.float64()), pa.array(y, pa.float64())], fields=list(point))
+                pts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+                return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(prims, pa.int32()), pa.array(closed, pa.bool_()), pts.cast(schema.field("pts").type)], schema=schema)
+
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 document = read_document(text)
-                for child, parent, pos, record in records(document) if document else ():
-                    row = [doc, child, parent, pos, variant_of(child, record)]
-                    if fields:
-                        row += [list(x.items()) for x in typed_fields(record)]
-                    for c, v in zip(out, row):
-                        c.append(v)
-                    if len(out[0]) >= CHUNK:
+                for pos, record in enumerate(elements("primitives", document.get("primitives")) if document else ()):
+                    own = [(i, number_at(p, "x"), number_at(p, "y")) for i, p in enumerate(elements("points", record.get("points"))) if state_of(p) == "pair"] if isinstance(record, dict) else []
+                    own = [p for p in own if p[1] is not None and p[2] is not None]
+                    if not own:
+                        continue
+                    for column_, values in zip((k, x, y), zip(*own)):
+                        column_.extend(values)
+                    keys.append(doc)
+                    prims.append(pos)
+                    closed.append(record.get("type") == "polygon")
+                    ends.append(len(k))
+                    if len(k) >= CHUNK:
                         yield flush()
-            if out[0]:
+                        keys, prims, closed, ends, k, x, y = [], [], [], [0], [], [], []
+            if keys:
                 yield flush()
 
-    ddl = f"doc bigint, {KEYS}, variant string" + (", numbers map<string,double>, texts map<string,string>" if fields else "")
-    rows = docs.select(F.col(doc_key).cast("bigint").alias("doc"), F.col(payload).alias("payload")).where("payload is not null")
-    return rows.mapInArrow(shape, ddl).withColumnRenamed("doc", doc_key)
+    return documents_of(docs, doc_key, payload).mapInArrow(shape, "doc bigint, prim int, closed boolean, pts array<struct<k:int,x:double,y:double>>").withColumnRenamed("doc", doc_key)
 
 
-def subtype_table(shredded: DataFrame, child: str, variant: str, doc_key: str = "doc_no") -> DataFrame:
-    """Typed table of one variant, with the common keys first."""
-    typed = [F.col("numbers").getItem(c).cast("int" if c == "edge_id" else "double").alias(c if not c.isdigit() else "xy"[int(c)]) for c in SUBTYPES[child][variant]]
-    words = [F.col("texts").getItem(c).alias(c) for c in WORDS if child in NESTED and (c != "type" or child == "primitives")]
-    return shredded.where((F.col("child") == child) & (F.col("variant") == variant)).select(doc_key, "parent_pos", "pos", *typed, *words)
+def headers(docs: DataFrame, doc_key: str = "doc_no", payload: str = "payload") -> DataFrame:
+    """``(doc, width, height, stroke_width, stage2_scale)`` of every document that can be read; what is missing or mistyped is null."""
+    names = ["image_size_0", "image_size_1", "stroke_width", "stage2_scale"]
+    schema = pa.schema([("doc", pa.int64()), ("width", pa.float64()), ("height", pa.float64()), ("stroke_width", pa.float64()), ("stage2_scale", pa.float64())])
+
+    def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            read = [(doc, read_document(text)) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            read = [(doc, d) for doc, d in read if d]
+            yield pa.RecordBatch.from_arrays([pa.array([doc for doc, _ in read], pa.int64()), *[pa.array([number_at(d, c) for _, d in read], pa.float64()) for c in names]], schema=schema)
+
+    return documents_of(docs, doc_key, payload).mapInArrow(shape, "doc bigint, width double, height double, stroke_width double, stage2_scale double").withColumnRenamed("doc", doc_key)
+
+
+def label_counts(docs: DataFrame, doc_key: str = "doc_no", payload: str = "payload") -> DataFrame:
+    """``(doc, n_annotations, n_leaders)`` of every readable document; leaders that are marked as not removed don't count."""
+    schema = pa.schema([("doc", pa.int64()), ("n_annotations", pa.int64()), ("n_leaders", pa.int64())])
+
+    def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                document = read_document(text)
+                if document:
+                    own = [(c, r) for c, _, _, _, r in records(document) if c in ("annotations", "leader_lines")]
+                    kept = sum(c == "leader_lines" and not (isinstance(r, dict) and r.get("removed") is False) for c, r in own)
+                    rows.append((doc, sum(c == "annotations" for c, _ in own), kept))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], schema=schema)
+
+    return documents_of(docs, doc_key, payload).mapInArrow(shape, "doc bigint, n_annotations bigint, n_leaders bigint").withColumnRenamed("doc", doc_key)

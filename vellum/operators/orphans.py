@@ -1,21 +1,26 @@
 """References to records that do not exist, kept as incremental keyed state.
 
-Two state tables are carried from batch to batch:
+The state is a log of written tables; nothing is rewritten:
 
-* the *parent index*, a counter per ``(space, key, live_from)``: rows seen and rows alive.  Arrivals and deletions are both
-  additions to it, so hot keys are combined before the shuffle and a deletion can reopen what an earlier row had resolved;
-* the *references*, each with the state that the index gave it last.
+* the *parent index*, additions to a counter per ``(space, key, live_from)``: rows seen and rows alive.  Arrivals and deletions are both
+  additions, so hot keys are combined before the shuffle and a deletion can reopen what an earlier row had resolved;
+* the *references*, each with the state that the index gave it when it came;
+* the *changes*, references whose state a later batch has changed.
 
-A batch of events merges its counts into the index, probes the index for its new references and for those old references
-whose key it touched, and leaves all others as they are.  State is a written table in the shared folder.
+A batch adds its own counts and references.  It probes its new references and those old ones whose key it touches, against the part of
+the index that holds these keys, and logs the states that differ.  So a batch writes in proportion to what it touches, and only that
+is shuffled: where the keys asked for are few, which is counted, they are sent to the state's scans.  After ``PARTS`` batches the log is
+folded into one table each.
 
 Defined results: references with a null key are no references; a key's state is ``missing`` without any row, ``deleted`` if no
-row is alive, ``late`` if the earliest live row starts after the reference, else ``resolved``; a null start counts as earliest.
+row is alive, ``late`` if the earliest live row starts after the reference, else ``resolved``; a null start counts as earliest;
+repeated references are references each.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +31,10 @@ from vellum.session import table, written
 KEY = ["space", "key"]
 REFERENCE = ["ref_table", "ref_field", "load_no", "ref_at", *KEY]
 INDEX = [*KEY, "live_from", "n_rows", "n_live"]
+#: A reference's own number: the batch it came with and its place there.
+OWN = ["batch", "n"]
+#: Keys that are sent to every task instead of shuffling the state (some MB); parts of the log before it is folded.
+FEW_KEYS, PARTS = 50_000, 8
 
 
 def parent_events(rows: DataFrame, space: str, key: F.Column, since: str, until: str) -> DataFrame:
@@ -59,48 +68,80 @@ def probed(refs: DataFrame, index: DataFrame) -> DataFrame:
         .when(F.col("first_live") > F.col("ref_at"), "late")
         .otherwise("resolved")
     )
-    return refs.join(keys, KEY, "left").select(*REFERENCE, state.alias("ref_state"))
+    return refs.join(keys, KEY, "left").select(*refs.columns, state.alias("ref_state"))
+
+
+def union(parts: tuple[DataFrame, ...] | list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def of_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows with one of the distinct keys; the keys are written, so they are counted at no cost."""
+    return rows.join(F.broadcast(keys) if keys.count() <= FEW_KEYS else keys, KEY, "left_semi")
 
 
 @dataclass
 class OrphanState:
-    """State after the batches so far; ``advance`` gives the next one."""
+    """State after the batches so far; ``advance`` gives the next one and leaves this one as it is."""
 
-    index: DataFrame | None = None
-    refs: DataFrame | None = None
+    index: tuple[DataFrame, ...] = ()
+    refs: tuple[DataFrame, ...] = ()
+    changes: tuple[DataFrame, ...] = ()
+    batches: int = 0
 
     def advance(self, new_refs: DataFrame, events: DataFrame) -> OrphanState:
         """Take in one batch: arriving parents resolve waiting orphans, deletions reopen resolved references."""
-        delta = merged(events)
-        index = delta if self.index is None else merged(self.index.unionByName(delta))
-        index = written(index, "orphan-index")
-        if self.refs is None:
-            return OrphanState(index, written(probed(new_refs, index), "orphan-refs"))
-        touched = written(delta.select(*KEY).distinct(), "orphan-touched")
-        again = self.refs.join(touched, KEY, "left_semi").select(*REFERENCE)
-        same = self.refs.join(touched, KEY, "left_anti").select(*REFERENCE, "ref_state")
-        return OrphanState(index, written(probed(new_refs.select(*REFERENCE).unionByName(again), index).unionByName(same), "orphan-refs"))
+        number = self.batches + 1
+        delta = written(merged(events), "orphan-index")
+        index = (*self.index, delta)
+        asked = new_refs.select(*REFERENCE).withColumns({"batch": F.lit(number), "n": F.monotonically_increasing_id(), "before": F.lit(None).cast("string")})
+        if self.refs:
+            touched = written(delta.select(*KEY).distinct(), "orphan-keys")
+            asked = asked.unionByName(of_keys(self.latest(), touched).withColumnRenamed("ref_state", "before"))
+        asked = written(asked, "orphan-asked")
+        keys = written(asked.select(*KEY).distinct(), "orphan-keys")
+        found = written(probed(asked, merged(of_keys(union(index), keys))), "orphan-found")
+        new = found.where("before is null").drop("before")
+        changed = found.where("before <> ref_state").select(*OWN, "ref_state", F.lit(number).alias("at_batch"))
+        changes = (*self.changes, written(changed, "orphan-changes")) if self.refs else self.changes
+        return OrphanState(index, (*self.refs, new), changes, number).folded()
+
+    def latest(self) -> DataFrame:
+        """All references with their state now."""
+        rows = union(self.refs)
+        if not self.changes:
+            return rows
+        last = union(self.changes).groupBy(*OWN).agg(F.max(F.struct("at_batch", "ref_state")).alias("m")).select(*OWN, F.col("m.ref_state").alias("now"))
+        last = written(last, "orphan-changed")
+        return rows.join(F.broadcast(last) if last.count() <= FEW_KEYS else last, OWN, "left").withColumn("ref_state", F.coalesce("now", "ref_state")).drop("now")
+
+    def folded(self) -> OrphanState:
+        """The same state with one part of each kind, once there are many."""
+        if len(self.index) <= PARTS:
+            return self
+        return OrphanState((written(merged(union(self.index)), "orphan-index"),), (written(self.latest(), "orphan-refs"),), (), self.batches)
 
     def orphans(self) -> DataFrame:
         """All references that have no target now."""
-        return self.refs.where("ref_state <> 'resolved'").select("ref_table", "ref_field", "load_no", utc_month(F.col("ref_at")).alias("ref_month"), "ref_state")
+        return self.latest().where("ref_state <> 'resolved'").select("ref_table", "ref_field", "load_no", utc_month(F.col("ref_at")).alias("ref_month"), "ref_state")
 
     def snapshot(self) -> DataFrame:
         """Counts per table, field, month and state."""
         return self.orphans().groupBy("ref_table", "ref_field", "ref_month", "ref_state").agg(F.count("*").alias("n_refs"))
 
 
+def period(at: str, months: int) -> F.Column:
+    """Number of the period of so many months; nulls are in the first."""
+    return F.coalesce(F.floor((F.year(at) * 12 + F.month(at) - 1) / months), F.lit(0))
+
+
 def replay(refs: DataFrame, events: DataFrame, months: int = 6) -> list[tuple[str, OrphanState]]:
     """State after each period of ``months`` months, fed in order of time; the last holds for all events.
 
     The number of batches follows from the span of time, not from the rows.
     """
-
-    def period(at: str) -> F.Column:
-        return F.coalesce(F.floor((F.year(at) * 12 + F.month(at) - 1) / months), F.lit(0))
-
-    refs = written(refs.withColumn("period", period("ref_at")), "orphan-new-refs", "period")
-    events = written(events.withColumn("period", period("at")).groupBy(*KEY, "live_from", "period").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_live").alias("n_live")), "orphan-events", "period")
+    refs = written(refs.withColumn("period", period("ref_at", months)), "orphan-new-refs", "period")
+    events = written(events.withColumn("period", period("at", months)).groupBy(*KEY, "live_from", "period").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_live").alias("n_live")), "orphan-events", "period")
     found = sorted(r[0] for r in refs.select("period").union(events.select("period")).distinct().collect())  # one row per period
     states, state = [], OrphanState()
     for p in found or [0]:
@@ -109,6 +150,11 @@ def replay(refs: DataFrame, events: DataFrame, months: int = 6) -> list[tuple[st
     return states
 
 
+def snapshots(states: list[tuple[str, OrphanState]]) -> DataFrame:
+    """Orphans per period, table, field, month and state, as they stood at each period's end."""
+    return union([state.snapshot().select(F.lit(name).alias("period"), "*") for name, state in states])
+
+
 def corpus_references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """References and parent events of the run folder and the page manifest."""
     manifest, results = table(spark, sf_dir, "training_manifest"), table(spark, sf_dir, "results")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.operators.components import components
 from vellum.session import written
 
 
@@ -69,8 +70,8 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str], left_id: str, righ
     cell = lambda c: F.floor(F.col(c) / F.lit(cutoff)).cast("bigint")
     a = left.select(*by, left_id, F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("cx"), cell("y").alias("cy"))
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    b = right.select(*by, right_id, F.col("x").alias("bx"), F.col("y").alias("by_"), cell("x").alias("c"), cell("y").alias("d"), F.explode(steps).alias("s"))
-    b = b.select(*by, right_id, "bx", "by_", (F.col("c") + F.col("s.i")).alias("cx"), (F.col("d") + F.col("s.j")).alias("cy"))
+    b = right.select(*by, right_id, F.col("x").alias("bx"), F.col("y").alias("by_"), cell("x").alias("_c"), cell("y").alias("_d"), F.explode(steps).alias("_s"))
+    b = b.select(*by, right_id, "bx", "by_", (F.col("_c") + F.col("_s.i")).alias("cx"), (F.col("_d") + F.col("_s.j")).alias("cy"))
     gap = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by_"))
     pairs = a.join(b, [*by, "cx", "cy"]).select(*by, left_id, right_id, gap.alias("distance")).where(F.col("distance") <= cutoff)
     best = pairs.groupBy(*by, left_id).agg(F.min(F.struct("distance", right_id)).alias("best"))
@@ -80,3 +81,13 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str], left_id: str, righ
 def matched(pairs: DataFrame, by: list[str], gold_id: str) -> DataFrame:
     """True positives of one-to-one matching where only the nearest gold point counts: the distinct nearest ones."""
     return pairs.groupBy(*by).agg(F.countDistinct(gold_id).alias("tp"))
+
+
+def grouped_within(pairs: DataFrame, by: str, left: str, right: str) -> DataFrame:
+    """``(by, left, root)``: connected members of each group of ``by``, named by their smallest; members without a partner have no row.
+
+    Members are whole numbers of at most 64 bits; the pair of group and member is one node, so nothing can collide.
+    """
+    key = lambda c: F.struct(F.col(by).alias("g"), F.col(c).alias("m"))
+    roots = components(pairs.select(key(left).alias("src"), key(right).alias("dst")))
+    return roots.select(F.col("node.g").alias(by), F.col("node.m").alias(left), F.col("root.m").alias("root"))

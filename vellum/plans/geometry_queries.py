@@ -1,4 +1,4 @@
-"""Queries of the geometry and graph layer over the primitive and graph documents, with their SQL."""
+"""Queries over lines, circles and labels of the primitive documents, and over the graph documents, with their SQL."""
 
 from __future__ import annotations
 
@@ -6,186 +6,246 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.operators import geometry as geo
-from vellum.operators import graphs, nested
+from vellum.operators import graphs, labelling, nested
 from vellum.operators import relational as rel
 from vellum.operators.components import components
+from vellum.plans.chain_queries import points, rounded
 from vellum.plans.data_queries import P1_RECORDS
+from vellum.plans.registry import registry
 from vellum.session import table, written
-from vellum.sources import vector_text as vec
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-#: Parallel strokes (degrees, pixels, strokes, total length) and leader assignment (pixels, weight of length).
-ANGLE, NEAR, GROUP, TOTAL = 12.0, 95.0, 4, 35.0
-LEADER, LEADER_WEIGHT, LEADERS = 120.0, 0.015, 2
+QUERIES, ORACLES, query = registry()
+#: The strokes of the documents are about ten times as long as those of a raster, for which the limits below are made.
+UNIT = 10.0
+#: Parallel strokes (degrees, pixels, strokes, total length, largest share removed).
+ANGLE, NEAR, GROUP, TOTAL, MOST = 12.0, 95.0 * UNIT, 4, 35.0 * UNIT, 0.75
+#: Leaders (pixels from an end and from the stroke to the label, weight of length, leaders of a label, likeness in pixels and degrees).
+LEADER_END, LEADER_SIDE, LEADER_WEIGHT, ALIKE, ALIKE_ANGLE = 18.0 * UNIT, 12.0 * UNIT, 0.015, 8.0, 8.0
+#: Edges of the graph documents join random nodes, so a spur of six pixels is one of 900 there.
+SPUR = 900.0
 
+SQL_LINES = f"""WITH {P1_RECORDS},
+ln AS (SELECT doc_no, pos, item->>'style' AS style, (item->>'$.p1[0]')::DOUBLE AS x1, (item->>'$.p1[1]')::DOUBLE AS y1, (item->>'$.p2[0]')::DOUBLE AS x2, (item->>'$.p2[1]')::DOUBLE AS y2 FROM records WHERE child = 'primitives' AND item->>'type' = 'line'),
+lines AS (SELECT *, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y, sqrt((x1-x2)*(x1-x2) + (y1-y2)*(y1-y2)) AS length, (degrees(atan2(y2 - y1, x2 - x1)) + 360) % 180 AS angle FROM ln)"""
+SQL_BOXES = f"""WITH {P1_RECORDS},
+bx AS (SELECT doc_no, pos, item->>'kind' AS kind, (item->>'$.bbox[0]')::DOUBLE AS x, (item->>'$.bbox[1]')::DOUBLE AS y, (item->>'$.bbox[2]')::DOUBLE AS w, (item->>'$.bbox[3]')::DOUBLE AS h FROM records WHERE child = 'annotations')"""
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
 
-    return add
+def records(spark: SparkSession, d: str, *kinds: str) -> DataFrame:
+    """Records of the wanted kinds with typed columns; one parse."""
+    return nested.shred(table(spark, d, "primitive_docs"), kinds=kinds)
 
 
-NUM = "({0}->>'{1}')::DOUBLE".format
-SQL_POINTS = f"WITH {P1_RECORDS}, pts AS (SELECT doc_no, parent_pos AS prim, pos AS k, (item->>0)::DOUBLE AS x, (item->>1)::DOUBLE AS y FROM records WHERE child = 'points')"
-SQL_LINES = f"WITH {P1_RECORDS}, ln AS (SELECT doc_no, pos, (item->>'$.p1[0]')::DOUBLE AS x1, (item->>'$.p1[1]')::DOUBLE AS y1, (item->>'$.p2[0]')::DOUBLE AS x2, (item->>'$.p2[1]')::DOUBLE AS y2 FROM records WHERE child = 'primitives' AND item->>'type' = 'line'), lines AS (SELECT *, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y, sqrt((x1-x2)*(x1-x2) + (y1-y2)*(y1-y2)) AS length, (degrees(atan2(y2 - y1, x2 - x1)) + 360) % 180 AS angle FROM ln)"
-SQL_BOXES = f"WITH {P1_RECORDS}, bx AS (SELECT doc_no, pos, item->>'kind' AS kind, (item->>'$.bbox[0]')::DOUBLE AS x, (item->>'$.bbox[1]')::DOUBLE AS y, (item->>'$.bbox[2]')::DOUBLE AS w, (item->>'$.bbox[3]')::DOUBLE AS h FROM records WHERE child = 'annotations')"
+def with_measures(t: DataFrame) -> DataFrame:
+    """Lines ``(x1, y1, x2, y2)`` with their middle, length and angle."""
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    return t.withColumns({"x": (F.col("x1") + F.col("x2")) / 2, "y": (F.col("y1") + F.col("y2")) / 2, "length": F.hypot(dx, dy), "angle": F.pmod(F.degrees(F.atan2(dy, dx)), F.lit(180.0))})
 
 
-def shredded(spark: SparkSession, d: str) -> DataFrame:
-    return nested.shred(table(spark, d, "primitive_docs"))
+def lines_of(t: DataFrame) -> DataFrame:
+    t = nested.typed_table(t, "primitives", "line")
+    return with_measures(t.select("doc_no", "pos", "style", F.col("p1_0").alias("x1"), F.col("p1_1").alias("y1"), F.col("p2_0").alias("x2"), F.col("p2_1").alias("y2")))
 
 
-def points(spark: SparkSession, d: str) -> DataFrame:
-    return shredded(spark, d).where("child = 'points' and variant = 'pair'").select("doc_no", F.col("parent_pos").alias("prim"), F.col("pos").alias("k"), F.col("numbers")["0"].alias("x"), F.col("numbers")["1"].alias("y"))
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    return lines_of(records(spark, d, "primitives"))
 
 
-def lines(spark: SparkSession, d: str) -> DataFrame:
-    t = nested.subtype_table(shredded(spark, d), "primitives", "line")
-    t = t.select("doc_no", "pos", F.col("p1_0").alias("x1"), F.col("p1_1").alias("y1"), F.col("p2_0").alias("x2"), F.col("p2_1").alias("y2"))
-    return t.select("*", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"), F.hypot(F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2")).alias("length"), F.pmod(F.degrees(F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))), F.lit(180.0)).alias("angle"))
+def boxes_of(rows: DataFrame) -> DataFrame:
+    return rows.where("child = 'annotations'").select("doc_no", "pos", "kind", *[F.col(f"bbox_{i}").alias(c) for i, c in enumerate("xywh")])
 
 
 def boxes(spark: SparkSession, d: str) -> DataFrame:
-    rows = shredded(spark, d).where("child = 'annotations'")
-    return rows.select("doc_no", "pos", F.col("texts")["kind"].alias("kind"), *[F.col("numbers")[f"bbox_{i}"].alias(c) for i, c in enumerate("xywh")])
+    return boxes_of(records(spark, d, "annotations"))
 
 
-def rounded(df: DataFrame, *cols: str, to: int = 4) -> DataFrame:
-    return df.withColumns({c: F.round(c, to) for c in cols})
+# --- labels
 
 
-BY = ["doc_no", "prim"]
+@query(f"{SQL_BOXES} SELECT doc_no, count(*) AS n_boxes, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h, sum(w * h) AS area FROM bx GROUP BY doc_no")
+def box_unions(spark, d):
+    """Union of each document's annotation boxes."""
+    edge = lambda a, s: F.max(F.col(a) + F.col(s)) - F.min(a)
+    return boxes(spark, d).groupBy("doc_no").agg(F.count("*").alias("n_boxes"), F.min("x").alias("x"), F.min("y").alias("y"), edge("x", "w").alias("w"), edge("y", "h").alias("h"), F.sum(F.col("w") * F.col("h")).alias("area"))
 
 
-@query(f"{SQL_POINTS}, s AS (SELECT *, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS step FROM pts WINDOW w AS (PARTITION BY doc_no, prim ORDER BY k)) SELECT doc_no, prim::INT AS prim, count(*) AS n, round(coalesce(sum(step), 0), 4) AS length FROM s GROUP BY ALL")
-def chain_lengths(spark, d):
-    """Arc length of every point chain."""
-    return rounded(geo.chain_features(points(spark, d), BY).select(*BY, "n", "length"), "length")
+@query(f"""{SQL_BOXES}
+SELECT doc_no, pos::INT AS pos FROM bx a WHERE kind = 'figure' AND NOT EXISTS (SELECT 1 FROM bx b WHERE b.kind = 'label' AND a.doc_no = b.doc_no
+  AND greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) > 0.35 * a.w * a.h)""")
+def clear_figures(spark, d):
+    """Figure boxes that no label of the document covers by more than a third; boxes meet over cells of 256 pixels."""
+    b = written(boxes(spark, d), "boxes")
+    covered = labelling.covering(b.where("kind = 'figure'"), b.where("kind = 'label'"), ["doc_no"], 0.35).select("doc_no", "pos")
+    return b.where("kind = 'figure'").select("doc_no", "pos").join(covered, ["doc_no", "pos"], "left_anti")
 
 
-@query(f"{SQL_POINTS}, s AS (SELECT *, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS step FROM pts WINDOW w AS (PARTITION BY doc_no, prim ORDER BY k)), l AS (SELECT doc_no, prim, coalesce(sum(step), 0) AS length FROM s GROUP BY ALL) SELECT doc_no, count(*) AS n_chains, round(median(length), 4) AS median_length, round(avg((length < 600)::INT), 6) AS micro, round(avg((length < 1500)::INT), 6) AS short FROM l GROUP BY doc_no")
-def chain_statistics(spark, d):
-    """Median length and shares of short chains per document."""
-    own = geo.chain_features(points(spark, d), BY)
-    share = lambda most: F.round(F.avg((F.col("length") < most).cast("int")), 6)
-    return own.groupBy("doc_no").agg(F.count("*").alias("n_chains"), F.round(F.median("length"), 4).alias("median_length"), share(600).alias("micro"), share(1500).alias("short"))
+@query(f"""{SQL_BOXES},
+o AS (SELECT a.doc_no, a.pos, b.pos AS other FROM bx a JOIN bx b ON a.doc_no = b.doc_no AND b.pos < a.pos
+  AND greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) > 0.65 * a.w * a.h)
+SELECT doc_no, pos::INT AS pos FROM bx WHERE (doc_no, pos) NOT IN (SELECT (doc_no, pos) FROM o)""")
+def distinct_boxes(spark, d):
+    """Boxes that no earlier box of the document covers by more than 0.65 of their area."""
+    b = written(boxes(spark, d), "boxes")
+    return b.select("doc_no", "pos").join(labelling.covering(b, b, ["doc_no"], 0.65).where("other < pos").select("doc_no", "pos"), ["doc_no", "pos"], "left_anti")
 
 
-@query(f"{SQL_POINTS}, s AS (SELECT *, coalesce(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2), 0) AS step FROM pts WINDOW w AS (PARTITION BY doc_no, prim ORDER BY k)), r AS (SELECT *, sum(step) OVER (PARTITION BY doc_no, prim ORDER BY k) AS run FROM s), e AS (SELECT doc_no, prim, arg_min(x, k) AS ax, arg_min(y, k) AS ay, coalesce(arg_min(x, k) FILTER (run >= 900), arg_max(x, k)) AS bx, coalesce(arg_min(y, k) FILTER (run >= 900), arg_max(y, k)) AS by_ FROM r GROUP BY ALL) SELECT doc_no, prim::INT AS prim, round(degrees(atan2(by_ - ay, bx - ax)), 4) AS direction FROM e")
-def chain_directions(spark, d):
-    """Direction in which each chain leaves its first point."""
-    return rounded(geo.leave_direction(points(spark, d), BY, 900.0), "direction")
+PB = "sqrt(greatest(b.x - {0}, 0, {0} - b.x - b.w) ** 2 + greatest(b.y - {1}, 0, {1} - b.y - b.h) ** 2)".format
+PS = "sqrt(({0} - x1 - {2} * (x2 - x1)) ** 2 + ({1} - y1 - {2} * (y2 - y1)) ** 2)".format
 
 
-@query(f"{SQL_POINTS}, m AS (SELECT doc_no, prim, count(*) AS n, avg(x) AS mx, avg(y) AS my, 0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) AS t FROM pts GROUP BY ALL), v AS (SELECT m.*, abs(-(x - mx) * sin(t) + (y - my) * cos(t)) AS v FROM pts JOIN m USING (doc_no, prim)) SELECT doc_no, prim::INT AS prim, n, round(avg((v <= 1.5)::INT), 4) AS inliers, round(sqrt(avg(v * v)), 4) AS rms, round(avg((v <= 1.5)::INT) * greatest(0, 1 - sqrt(avg(v * v)) / 3.0), 4) AS confidence FROM v GROUP BY ALL")
-def line_fits(spark, d):
-    """Total least squares line of every chain."""
-    return rounded(geo.line_fits(points(spark, d), BY).select(*BY, "n", "inliers", "rms", "confidence"), "inliers", "rms", "confidence")
+def sql_corner(x: str, y: str) -> str:
+    t = f"greatest(0, least(1, coalesce((({x}) - x1) * (x2 - x1) + (({y}) - y1) * (y2 - y1), 0) / nullif((x2 - x1) ** 2 + (y2 - y1) ** 2, 0)))"
+    return PS(f"({x})", f"({y})", f"coalesce({t}, 0)")
 
 
-@query(f"""{SQL_POINTS}, m AS (SELECT doc_no, prim, count(*) AS n, avg(x) AS mx, avg(y) AS my FROM pts GROUP BY ALL), c AS (SELECT pts.*, n, mx, my, x - mx AS u, y - my AS v FROM pts JOIN m USING (doc_no, prim)),
-s AS (SELECT doc_no, prim, n, mx, my, sum(u*u) AS uu, sum(u*v) AS uv, sum(v*v) AS vv, (sum(u*u*u) + sum(u*v*v)) / 2 AS r1, (sum(v*v*v) + sum(v*u*u)) / 2 AS r2 FROM c GROUP BY ALL),
-f AS (SELECT *, uu * vv - uv * uv AS det FROM s) SELECT doc_no, prim::INT AS prim, n, round(mx + (r1 * vv - r2 * uv) / det, 3) AS cx, round(my + (r2 * uu - r1 * uv) / det, 3) AS cy FROM f WHERE abs(det) > 1e-2 * (uu + vv) * (uu + vv)""")
-def circle_fits(spark, d):
-    """Algebraic circle of every chain that is not nearly straight."""
-    p = points(spark, d)
-    m = p.groupBy(*BY).agg(F.var_pop("x").alias("uu"), F.var_pop("y").alias("vv"), F.covar_pop("x", "y").alias("uv"))
-    round_ones = m.where("abs(uu * vv - uv * uv) > 1e-2 * (uu + vv) * (uu + vv)").select(*BY)
-    return rounded(geo.circle_fits(p.join(round_ones, BY, "left_semi"), BY).select(*BY, "n", "cx", "cy"), "cx", "cy", to=3)
+def sql_within(a: str, b: str, low: str, high: str) -> str:
+    return f"""CASE WHEN {a} = {b} THEN CASE WHEN {a} BETWEEN {low} AND {high} THEN [0.0, 1.0] ELSE [2.0, -1.0] END
+    ELSE [least(({low} - {a}) / ({b} - {a}), ({high} - {a}) / ({b} - {a})), greatest(({low} - {a}) / ({b} - {a}), ({high} - {a}) / ({b} - {a}))] END"""
 
 
-@query()
-def chain_types(spark, d):
-    """Line, arc or polyline for every chain, by the cascade of fits."""
-    return rounded(geo.fit_choice(points(spark, d), BY), "confidence")
+SQL_LEADERS = f"""{SQL_LINES}, {SQL_BOXES[SQL_BOXES.index('bx AS'):]},
+near AS (SELECT l.doc_no, l.pos, b.pos AS label_pos, l.length, l.angle, x1, y1, x2, y2, least({PB('x1', 'y1')}, {PB('x2', 'y2')}) AS d_end,
+  {sql_within('x1', 'x2', 'b.x', '(b.x + b.w)')} AS tx, {sql_within('y1', 'y2', 'b.y', '(b.y + b.h)')} AS ty,
+  least({sql_corner('b.x', 'b.y')}, {sql_corner('b.x + b.w', 'b.y')}, {sql_corner('b.x', 'b.y + b.h')}, {sql_corner('b.x + b.w', 'b.y + b.h')}) AS d_corner
+  FROM lines l JOIN bx b USING (doc_no)),
+sided AS (SELECT *, CASE WHEN greatest(tx[1], ty[1], 0.0) <= least(tx[2], ty[2], 1.0) THEN 0.0 ELSE least(d_end, d_corner) END AS d_side FROM near),
+cand AS (SELECT *, CASE WHEN d_end <= {LEADER_END} THEN d_end ELSE d_side END AS dist, CASE WHEN d_end <= {LEADER_END} THEN 'endpoint' ELSE 'segment' END AS match FROM sided WHERE d_end <= {LEADER_END} OR d_side <= {LEADER_SIDE}),
+ranked AS (SELECT *, row_number() OVER w AS place, first(x1) OVER w AS fx1, first(y1) OVER w AS fy1, first(x2) OVER w AS fx2, first(y2) OVER w AS fy2, first(angle) OVER w AS fa FROM cand
+  WINDOW w AS (PARTITION BY doc_no, label_pos ORDER BY round(dist + {LEADER_WEIGHT} * length, 6), pos)),
+like_first AS (SELECT *, least(abs(angle - fa) % 180, 180 - abs(angle - fa) % 180) <= {ALIKE_ANGLE} AND least(greatest(sqrt((x1 - fx1) ** 2 + (y1 - fy1) ** 2), sqrt((x2 - fx2) ** 2 + (y2 - fy2) ** 2)), greatest(sqrt((x1 - fx2) ** 2 + (y1 - fy2) ** 2), sqrt((x2 - fx1) ** 2 + (y2 - fy1) ** 2))) <= {ALIKE} AS alike FROM ranked),
+second AS (SELECT *, row_number() OVER (PARTITION BY doc_no, label_pos, alike ORDER BY place) AS r FROM like_first)"""
 
 
-@query(f"{SQL_POINTS}, m AS (SELECT doc_no, prim, avg(x) AS mx, avg(y) AS my FROM pts GROUP BY ALL), a AS (SELECT doc_no, prim, (degrees(atan2(y - my, x - mx)) + 360) % 360 AS angle FROM pts JOIN m USING (doc_no, prim)), g AS (SELECT doc_no, prim, coalesce(lead(angle) OVER w, first(angle) OVER w2 + 360) - angle AS gap FROM a WINDOW w AS (PARTITION BY doc_no, prim ORDER BY angle), w2 AS (PARTITION BY doc_no, prim ORDER BY angle ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) SELECT doc_no, prim::INT AS prim, round(max(gap), 4) AS gap FROM g GROUP BY ALL")
-def angular_gaps(spark, d):
-    """Largest angular gap of each chain's points around their mean."""
-    p = points(spark, d)
-    m = p.groupBy(*BY).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    a = p.join(m, BY).select(*BY, F.pmod(F.degrees(F.atan2(F.col("y") - F.col("my"), F.col("x") - F.col("mx"))), F.lit(360.0)).alias("angle"))
-    return rounded(geo.largest_gap(a, BY).select(*BY, "gap"), "gap")
+@query(f"{SQL_LEADERS} SELECT doc_no, label_pos::INT AS label_pos, pos::INT AS pos, CASE WHEN place = 1 THEN 1 ELSE 2 END::INT AS place, match, round(dist, 4) AS dist FROM second WHERE place = 1 OR (NOT alike AND r = 1)")
+def label_leaders(spark, d):
+    """The best two strokes that end near each label or pass by it, the second unlike the first."""
+    rows = written(records(spark, d, "primitives", "annotations"), "leader-records")
+    found = labelling.leaders(boxes_of(rows).withColumnRenamed("pos", "label_pos"), lines_of(rows), ["doc_no"], "label_pos", "pos", LEADER_END, LEADER_SIDE, LEADER_WEIGHT, ALIKE, ALIKE_ANGLE)
+    return rounded(found.select("doc_no", "label_pos", "pos", "place", "match", "dist"), "dist")
 
 
-@query(f"{SQL_BOXES} SELECT doc_no, count(*) AS n_boxes, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h, sum(w * h) AS area FROM bx GROUP BY doc_no")
-def box_unions(spark, d):
-    """Union of each document's annotation boxes."""
-    edge = lambda a, s: F.max(F.col(a) + F.col(s)) - F.min(a)
-    return boxes(spark, d).groupBy("doc_no").agg(F.count("*").alias("n_boxes"), F.min("x").alias("x"), F.min("y").alias("y"), edge("x", "w").alias("w"), edge("y", "h").alias("h"), F.sum(F.col("w") * F.col("h")).alias("area"))
+GAP, LINE_OFF, LINE_PART, SPAN_X, FILL = 22.0 * UNIT, 18.0 * UNIT, 0.75, 220.0 * UNIT, 0.4
+SQL_CLUSTERS = f"""WITH RECURSIVE {SQL_BOXES[5:]},
+pr AS (SELECT a.doc_no, a.pos AS p, b.pos AS q FROM bx a JOIN bx b ON a.doc_no = b.doc_no AND a.pos <> b.pos
+  WHERE greatest(0, b.x - a.x - a.w, a.x - b.x - b.w) <= {GAP} AND abs(a.x + a.w / 2 - b.x - b.w / 2) < {SPAN_X}
+  AND (abs(a.y + a.h / 2 - b.y - b.h / 2) <= greatest({LINE_OFF}, {LINE_PART} * greatest(a.h, b.h)) OR greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) / greatest(1, least(a.h, b.h)) >= 0.35)),
+reach AS (SELECT doc_no, p, q FROM pr UNION SELECT r.doc_no, r.p, pr.q FROM reach r JOIN pr ON r.doc_no = pr.doc_no AND r.q = pr.p),
+roots AS (SELECT doc_no, p AS pos, least(p, min(q)) AS root FROM reach GROUP BY doc_no, p),
+cl AS (SELECT doc_no, coalesce(root, pos) AS root, count(*) AS n, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h, sum({FILL} * w * h) AS ink FROM bx LEFT JOIN roots USING (doc_no, pos) GROUP BY ALL),
+clusters AS (SELECT *, ink / greatest(1, w * h) AS density FROM cl)"""
 
 
-@query(f"{SQL_BOXES} SELECT doc_no, pos::INT AS pos FROM bx a WHERE kind = 'figure' AND NOT EXISTS (SELECT 1 FROM bx b WHERE b.kind = 'label' AND a.doc_no = b.doc_no AND greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) > 0.35 * a.w * a.h)")
-def clear_figures(spark, d):
-    """Figure boxes that no label of the document covers by more than a third; boxes meet over cells of 256 pixels."""
-    b = boxes(spark, d)
-    span = lambda a, s: F.sequence(F.floor(F.col(a) / 256).cast("int"), F.floor((F.col(a) + F.col(s)) / 256).cast("int"))
-    spread = b.select("*", F.explode(span("x", "w")).alias("cx")).select("*", F.explode(span("y", "h")).alias("cy"))
-    a, o = spread.where("kind = 'figure'"), spread.where("kind = 'label'").select("doc_no", "cx", "cy", *[F.col(c).alias(f"o{c}") for c in "xywh"])
-    side = lambda p, s: F.greatest(F.lit(0.0), F.least(F.col(p) + F.col(s), F.col(f"o{p}") + F.col(f"o{s}")) - F.greatest(F.col(p), F.col(f"o{p}")))
-    covered = a.join(o, ["doc_no", "cx", "cy"]).where(side("x", "w") * side("y", "h") > 0.35 * F.col("w") * F.col("h")).select("doc_no", "pos")
-    return b.where("kind = 'figure'").select("doc_no", "pos").join(covered, ["doc_no", "pos"], "left_anti")
+def clustered(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of annotation boxes that stand on one line; a box counts as two fifths full of ink."""
+    b = written(boxes(spark, d).withColumn("area", FILL * F.col("w") * F.col("h")), "label-boxes")
+    return labelling.text_clusters(b, ["doc_no"], "pos", GAP, LINE_OFF, LINE_PART, SPAN_X)
 
 
-@query(f"{SQL_LINES}, bx AS (SELECT doc_no, pos AS label_pos, (item->>'$.position[0]')::DOUBLE AS lx, (item->>'$.position[1]')::DOUBLE AS ly FROM records WHERE child = 'annotations'), e AS (SELECT doc_no, pos, length, x1 AS ex, y1 AS ey FROM lines UNION ALL SELECT doc_no, pos, length, x2, y2 FROM lines), s AS (SELECT doc_no, label_pos, pos, min(sqrt((lx-ex)*(lx-ex) + (ly-ey)*(ly-ey))) AS dist, any_value(length) AS length FROM bx JOIN e USING (doc_no) WHERE sqrt((lx-ex)*(lx-ex) + (ly-ey)*(ly-ey)) <= {LEADER} GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_no, label_pos ORDER BY dist + {LEADER_WEIGHT} * length, pos) AS place FROM s) SELECT doc_no, label_pos::INT AS label_pos, pos::INT AS pos, place::INT AS place, round(dist, 4) AS dist FROM r WHERE place <= {LEADERS}")
-def label_leaders(spark, d):
-    """The best strokes that end near each label, by distance and length."""
-    s = written(shredded(spark, d), "shredded")
-    labels = s.where("child = 'annotations'").select("doc_no", F.col("pos").alias("label_pos"), F.col("numbers")["position_0"].alias("x"), F.col("numbers")["position_1"].alias("y"))
-    ends = lines(spark, d).select("doc_no", "pos", "length", F.inline(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))))
-    near = geo.near_pairs(labels, ends, ["doc_no"], LEADER).groupBy("doc_no", "label_pos", "pos").agg(F.min("distance").alias("dist"), F.first("length").alias("length"))
-    place = F.row_number().over(Window.partitionBy("doc_no", "label_pos").orderBy(F.col("dist") + LEADER_WEIGHT * F.col("length"), "pos"))
-    return rounded(near.withColumn("place", place).where(F.col("place") <= LEADERS).select("doc_no", "label_pos", "pos", "place", "dist"), "dist")
+@query(f"{SQL_CLUSTERS} SELECT doc_no, root::INT AS root, n, round(x, 3) AS x, round(y, 3) AS y, round(w, 3) AS w, round(h, 3) AS h, round(density, 6) AS density FROM clusters WHERE n <= 6 AND density BETWEEN 0.06 AND 0.80")
+def text_clusters(spark, d):
+    """Groups of boxes side by side on one line with their union; crowded, empty and full ones are no labels."""
+    own = clustered(spark, d).where("n <= 6 and density between 0.06 and 0.80")
+    return rounded(rounded(own.select("doc_no", "root", "n", "x", "y", "w", "h", "density"), "x", "y", "w", "h", to=3), "density", to=6)
+
+
+SQL_SIZES = "sizes AS (SELECT doc_no, (body->>'$.image_size[0]')::DOUBLE AS width, (body->>'$.image_size[1]')::DOUBLE AS height FROM good)"
+
+
+@query(f"""{SQL_CLUSTERS}, {SQL_SIZES}
+SELECT doc_no, root::INT AS root FROM clusters JOIN sizes USING (doc_no) WHERE n BETWEEN 1 AND 6 AND w BETWEEN 4 AND 150 AND h BETWEEN 7 AND 95 AND w * h <= 6500 AND ink <= 2200 AND density BETWEEN 0.05 AND 0.78
+  AND (n > 1 OR (density >= 0.18 AND w * h <= 3000 AND ink <= 1400 AND (x + w / 2 <= 0.24 * width OR x + w / 2 >= width - 0.24 * width OR y + h / 2 <= 0.24 * height OR y + h / 2 >= height - 0.24 * height)))""")
+def unleadered_labels(spark, d):
+    """Clusters that look like labels without a leader: limits of size and ink, and for a single component a place near the margin."""
+    sizes = nested.headers(table(spark, d, "primitive_docs")).select("doc_no", "width", "height")
+    return clustered(spark, d).join(sizes, "doc_no").where(labelling.looks_unleadered()).select("doc_no", "root")
+
+
+@query(f"""WITH {P1_RECORDS}, files AS (SELECT file_no, patent_id, body->>'sketch_id' AS sketch_id, json_array_length(body->'primitives') AS n_primitives FROM artifact_files WHERE kind = 'primitives' AND deleted_at IS NULL AND json_valid(body) AND json_type(body) = 'OBJECT'),
+keyed AS (SELECT doc_no, left(upper(regexp_replace(patent_id, '[^A-Za-z0-9]', '', 'g')), 9) AS patent_id, sketch_id FROM primitive_docs),
+last AS (SELECT k.patent_id, k.sketch_id, max(k.doc_no) AS doc_no FROM keyed k JOIN good USING (doc_no) GROUP BY ALL),
+a AS (SELECT doc_no, count(*) AS n FROM records WHERE child = 'annotations' GROUP BY doc_no), l AS (SELECT doc_no, count(*) AS n FROM records WHERE child = 'leader_lines' AND coalesce(item->>'removed', 'true') <> 'false' GROUP BY doc_no)
+SELECT file_no, n_primitives::INT AS n_primitives, coalesce(a.n, 0) AS n_annotations, coalesce(l.n, 0) AS n_leaders FROM files LEFT JOIN last USING (patent_id, sketch_id) LEFT JOIN a USING (doc_no) LEFT JOIN l USING (doc_no)""")
+def attached_references(spark, d):
+    """Primitive files with the labels of their sketch's last document attached; leaders that were not removed are dropped."""
+    return labelling.attached(table(spark, d, "artifact_files"), table(spark, d, "primitive_docs"))
+
+
+# --- parallel strokes
 
 
-def parallels(spark: SparkSession, d: str) -> DataFrame:
+def strokes_of(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that a hachure could be made of."""
+    return lines(spark, d).where(F.col("length").between(geo.STROKE[0] * UNIT, geo.STROKE[1] * UNIT))
+
+
+def parallels(t: DataFrame) -> DataFrame:
     """Pairs of strokes of a document, nearly parallel and near each other."""
-    t = lines(spark, d).select("doc_no", "pos", "x", "y", "angle")
-    pairs = geo.near_pairs(t, t.withColumnsRenamed({"pos": "other", "angle": "other_angle"}), ["doc_no"], NEAR).where("pos < other")
+    a = t.select("doc_no", "pos", "x", "y", "angle")
+    pairs = geo.near_pairs(a, a.withColumnsRenamed({"pos": "other", "angle": "other_angle"}), ["doc_no"], NEAR).where("pos < other")
     return pairs.where(geo.angle_delta(F.col("angle"), F.col("other_angle")) <= ANGLE).select("doc_no", "pos", "other")
 
 
-SQL_PARALLEL = f"pr AS (SELECT a.doc_no, a.pos, b.pos AS other FROM lines a JOIN lines b ON a.doc_no = b.doc_no AND a.pos < b.pos WHERE sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) <= {NEAR} AND least(abs(a.angle - b.angle) % 180, 180 - abs(a.angle - b.angle) % 180) <= {ANGLE})"
+SQL_PARALLEL = f"""strokes AS (SELECT * FROM lines WHERE length BETWEEN {geo.STROKE[0] * UNIT} AND {geo.STROKE[1] * UNIT}),
+pr AS (SELECT a.doc_no, a.pos, b.pos AS other FROM strokes a JOIN strokes b ON a.doc_no = b.doc_no AND a.pos < b.pos
+  WHERE sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) <= {NEAR} AND least(abs(a.angle - b.angle) % 180, 180 - abs(a.angle - b.angle) % 180) <= {ANGLE})"""
+SQL_GROUPS = f"""WITH RECURSIVE {(SQL_LINES + ', ' + SQL_PARALLEL)[5:]},
+both_ways AS (SELECT doc_no, pos AS a, other AS b FROM pr UNION SELECT doc_no, other, pos FROM pr),
+reach AS (SELECT doc_no, a, b FROM both_ways UNION SELECT r.doc_no, r.a, o.b FROM reach r JOIN both_ways o ON r.doc_no = o.doc_no AND r.b = o.a),
+roots AS (SELECT doc_no, a AS pos, least(a, min(b)) AS root FROM reach GROUP BY doc_no, a),
+big AS (SELECT doc_no, root, count(*) AS n, sum(length) AS total FROM roots JOIN lines USING (doc_no, pos) GROUP BY doc_no, root)"""
 
 
 @query(f"{SQL_LINES}, {SQL_PARALLEL} SELECT doc_no, pos::INT AS pos, other::INT AS other FROM pr")
 def parallel_strokes(spark, d):
     """Band join of strokes."""
-    return parallels(spark, d)
+    return parallels(strokes_of(spark, d))
+
 
+def grouped(t: DataFrame) -> DataFrame:
+    """Strokes with the root of their group; strokes without a partner have no row."""
+    return rel.grouped_within(parallels(t), "doc_no", "pos", "other").join(t.select("doc_no", "pos", "length"), ["doc_no", "pos"])
 
-@query(f"WITH RECURSIVE {(SQL_LINES + ', ' + SQL_PARALLEL)[5:]}, both_ways AS (SELECT doc_no, pos AS a, other AS b FROM pr UNION SELECT doc_no, other, pos FROM pr), reach AS (SELECT doc_no, a, b FROM both_ways UNION SELECT r.doc_no, r.a, o.b FROM reach r JOIN both_ways o ON r.doc_no = o.doc_no AND r.b = o.a), roots AS (SELECT doc_no, a AS pos, least(a, min(b)) AS root FROM reach GROUP BY doc_no, a) SELECT doc_no, root::INT AS root, count(*) AS n_strokes, round(sum(length), 4) AS total FROM roots JOIN lines USING (doc_no, pos) GROUP BY doc_no, root")
+
+@query(f"{SQL_GROUPS} SELECT doc_no, root::INT AS root, n AS n_strokes, round(total, 4) AS total FROM big")
 def parallel_groups(spark, d):
-    """Groups of parallel strokes (connected pairs) with size and total length; hachures are those over the limits."""
-    pairs = written(parallels(spark, d), "parallels")
-    key = lambda c: F.concat_ws(":", F.lpad(F.col("doc_no").cast("string"), 19, "0"), F.lpad(F.col(c).cast("string"), 9, "0"))
-    roots = components(pairs.select(key("pos").alias("src"), key("other").alias("dst")))
-    own = roots.select(F.split("node", ":")[0].cast("bigint").alias("doc_no"), F.split("node", ":")[1].cast("int").alias("pos"), F.split("root", ":")[1].cast("int").alias("root"))
-    return rounded(own.join(lines(spark, d).select("doc_no", "pos", "length"), ["doc_no", "pos"]).groupBy("doc_no", "root").agg(F.count("*").alias("n_strokes"), F.sum("length").alias("total")), "total")
+    """Groups of parallel strokes (connected pairs) with size and total length."""
+    own = grouped(written(strokes_of(spark, d), "strokes"))
+    return rounded(own.groupBy("doc_no", "root").agg(F.count("*").alias("n_strokes"), F.sum("length").alias("total")), "total")
 
 
-@query(f"WITH RECURSIVE {(SQL_LINES + ', ' + SQL_PARALLEL)[5:]}, both_ways AS (SELECT doc_no, pos AS a, other AS b FROM pr UNION SELECT doc_no, other, pos FROM pr), reach AS (SELECT doc_no, a, b FROM both_ways UNION SELECT r.doc_no, r.a, o.b FROM reach r JOIN both_ways o ON r.doc_no = o.doc_no AND r.b = o.a), roots AS (SELECT doc_no, a AS pos, least(a, min(b)) AS root FROM reach GROUP BY doc_no, a), big AS (SELECT doc_no, root FROM roots JOIN lines USING (doc_no, pos) GROUP BY doc_no, root HAVING count(*) >= 2 AND sum(length) >= {TOTAL}), cut AS (SELECT doc_no, count(*) AS n FROM roots JOIN big USING (doc_no, root) GROUP BY doc_no) SELECT doc_no, count(*) AS n_lines, coalesce(any_value(n), 0) AS n_hachures, coalesce(any_value(n), 0) / count(*) <= 0.75 AS removed FROM lines LEFT JOIN cut USING (doc_no) GROUP BY doc_no")
+@query(f"""{SQL_GROUPS},
+cut AS (SELECT doc_no, sum(n) AS n FROM big WHERE n >= {GROUP} AND total >= {TOTAL} GROUP BY doc_no),
+kept AS (SELECT l.doc_no, l.length, r.root IS NOT NULL AS hachure FROM lines l LEFT JOIN (SELECT roots.* FROM roots JOIN big USING (doc_no, root) WHERE n >= {GROUP} AND total >= {TOTAL}) r USING (doc_no, pos))
+SELECT doc_no, count(*) AS n_lines, count(*) FILTER (hachure) AS n_hachures, count(*) FILTER (hachure) / count(*) <= {MOST} AS removed,
+  count(*) FILTER (hachure) >= {GROUP} AND count(*) FILTER (hachure) / count(*) <= {MOST} AS prunes, count(*) FILTER (NOT hachure AND length < {6 * UNIT}) AS n_crumbs FROM kept GROUP BY doc_no""")
 def hachure_layers(spark, d):
-    """How many lines of each document would go to the hachure layer, and whether the guard lets them."""
-    groups = parallel_groups(spark, d).where((F.col("n_strokes") >= 2) & (F.col("total") >= TOTAL)).groupBy("doc_no").agg(F.sum("n_strokes").alias("n"))
-    counts = lines(spark, d).groupBy("doc_no").agg(F.count("*").alias("n_lines"))
-    n = F.coalesce("n", F.lit(0))
-    return counts.join(groups, "doc_no", "left").select("doc_no", "n_lines", n.alias("n_hachures"), (n / F.col("n_lines") <= 0.75).alias("removed"))
+    """Lines of each document that go to the hachure layer: strokes in groups of four or more of enough length; whether the guard lets them, and the
+    crumbs that are pruned once so many are gone."""
+    all_lines = written(lines(spark, d).select("doc_no", "pos", "x", "y", "angle", "length"), "lines")
+    own = grouped(all_lines.where(F.col("length").between(geo.STROKE[0] * UNIT, geo.STROKE[1] * UNIT)))
+    w = Window.partitionBy("doc_no", "root")
+    chosen = own.withColumns({"n": F.count("*").over(w), "total": F.sum("length").over(w)}).where((F.col("n") >= GROUP) & (F.col("total") >= TOTAL)).select("doc_no", "pos", F.lit(True).alias("hachure"))
+    rows = all_lines.join(chosen, ["doc_no", "pos"], "left").withColumn("hachure", F.coalesce("hachure", F.lit(False)))
+    n, m = F.count_if("hachure"), F.count("*")
+    return rows.groupBy("doc_no").agg(m.alias("n_lines"), n.alias("n_hachures"), (n / m <= MOST).alias("removed"), ((n >= GROUP) & (n / m <= MOST)).alias("prunes"), F.count_if(~F.col("hachure") & (F.col("length") < 6 * UNIT)).alias("n_crumbs"))
+
 
+# --- centres and confidences
 
-SQL_CENTRES = f"WITH {P1_RECORDS}, cc AS (SELECT doc_no, pos AS circle_pos, (item->>'$.center[0]')::DOUBLE AS x, (item->>'$.center[1]')::DOUBLE AS y FROM records WHERE child = 'primitives' AND item->>'type' IN ('circle')), pp AS (SELECT doc_no, pos AS arc_pos, (item->>'$.center[0]')::DOUBLE AS x, (item->>'$.center[1]')::DOUBLE AS y FROM records WHERE child = 'primitives' AND item->>'type' = 'arc'), nn AS (SELECT a.doc_no, arc_pos, circle_pos, sqrt((a.x-c.x)**2 + (a.y-c.y)**2) AS distance FROM pp a JOIN cc c USING (doc_no) QUALIFY row_number() OVER (PARTITION BY a.doc_no, arc_pos ORDER BY distance, circle_pos) = 1)"
+SQL_CENTRES = f"""WITH {P1_RECORDS},
+cc AS (SELECT doc_no, pos AS circle_pos, (item->>'$.center[0]')::DOUBLE AS x, (item->>'$.center[1]')::DOUBLE AS y FROM records WHERE child = 'primitives' AND item->>'type' IN ('circle')),
+pp AS (SELECT doc_no, pos AS arc_pos, (item->>'$.center[0]')::DOUBLE AS x, (item->>'$.center[1]')::DOUBLE AS y FROM records WHERE child = 'primitives' AND item->>'type' = 'arc'),
+nn AS (SELECT a.doc_no, arc_pos, circle_pos, sqrt((a.x-c.x)**2 + (a.y-c.y)**2) AS distance FROM pp a JOIN cc c USING (doc_no) QUALIFY row_number() OVER (PARTITION BY a.doc_no, arc_pos ORDER BY distance, circle_pos) = 1)"""
+
+
+def centres(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    s = written(records(spark, d, "primitives").where("variant in ('circle', 'arc')").select("doc_no", "variant", "pos", F.col("center_0").alias("x"), F.col("center_1").alias("y")), "centres")
+    at = lambda v, name: s.where(F.col("variant") == v).select("doc_no", F.col("pos").alias(name), "x", "y")
+    return at("arc", "arc_pos"), at("circle", "circle_pos")
 
 
 def centre_pairs(spark: SparkSession, d: str) -> DataFrame:
-    s = written(shredded(spark, d).where("child = 'primitives' and variant in ('circle', 'arc')"), "centres")
-    at = lambda v, name: s.where(F.col("variant") == v).select("doc_no", F.col("pos").alias(name), F.col("numbers")["center_0"].alias("x"), F.col("numbers")["center_1"].alias("y"))
-    return rel.nearest(at("arc", "arc_pos"), at("circle", "circle_pos"), ["doc_no"], "arc_pos", "circle_pos", 300.0)
+    return rel.nearest(*centres(spark, d), ["doc_no"], "arc_pos", "circle_pos", 300.0)
 
 
 @query(f"{SQL_CENTRES} SELECT doc_no, arc_pos::INT AS arc_pos, circle_pos::INT AS circle_pos, round(distance, 4) AS distance FROM nn WHERE distance <= 300")
@@ -200,70 +260,120 @@ def matched_centres(spark, d):
     return rel.matched(centre_pairs(spark, d), ["doc_no"], "circle_pos")
 
 
-@query(f"{SQL_POINTS}, g AS (SELECT doc_no, prim, k, round(x / 50)::BIGINT AS gx, round(y / 50)::BIGINT AS gy FROM pts), e AS (SELECT doc_no, gx, gy, lead(gx) OVER w AS hx, lead(gy) OVER w AS hy FROM g WINDOW w AS (PARTITION BY doc_no, prim ORDER BY k)), s AS (SELECT doc_no, gx AS x, gy AS y FROM e WHERE hx IS NOT NULL UNION ALL SELECT doc_no, hx, hy FROM e WHERE hx IS NOT NULL), v AS (SELECT doc_no, x, y, count(*) AS degree FROM s GROUP BY ALL) SELECT doc_no, CASE WHEN degree = 1 THEN 'endpoint' WHEN degree >= 3 THEN 'junction' ELSE 'corner' END AS kind, count(*) AS n FROM v GROUP BY ALL")
-def vertex_kinds(spark, d):
-    """End points, corners and junctions of the chains' vertices merged on a grid."""
-    g = points(spark, d).withColumn("gx", F.round(F.col("x") / 50).cast("bigint")).withColumn("gy", F.round(F.col("y") / 50).cast("bigint"))
-    w = Window.partitionBy(*BY).orderBy("k")
-    e = g.withColumn("hx", F.lead("gx").over(w)).withColumn("hy", F.lead("gy").over(w)).where("hx is not null")
-    v = e.select("doc_no", F.inline(F.array(F.struct(F.col("gx").alias("x"), F.col("gy").alias("y")), F.struct(F.col("hx").alias("x"), F.col("hy").alias("y"))))).groupBy("doc_no", "x", "y").agg(F.count("*").alias("degree"))
-    return v.groupBy("doc_no", F.when(F.col("degree") == 1, "endpoint").when(F.col("degree") >= 3, "junction").otherwise("corner").alias("kind")).agg(F.count("*").alias("n"))
+@query(f"{SQL_CENTRES} SELECT doc_no, arc_pos::INT AS arc_pos FROM pp WHERE (doc_no, arc_pos) NOT IN (SELECT (doc_no, arc_pos) FROM nn WHERE distance <= 300)")
+def far_arcs(spark, d):
+    """Arcs that no circle's centre is near: a distance anti join over cells."""
+    arcs, circles = centres(spark, d)
+    near = geo.near_pairs(arcs, circles, ["doc_no"], 300.0).select("doc_no", "arc_pos")
+    return arcs.select("doc_no", "arc_pos").join(near, ["doc_no", "arc_pos"], "left_anti")
 
 
-@query(f"{SQL_POINTS}, n AS (SELECT doc_no, prim, max(k) + 1 AS n FROM pts GROUP BY ALL) SELECT pts.doc_no, pts.prim::INT AS prim, (CASE WHEN n.n <= 6 THEN pts.k ELSE t END)::INT AS slot, pts.x, pts.y FROM pts JOIN n USING (doc_no, prim) LEFT JOIN range(6) r(t) ON n.n > 6 AND pts.k = t * (n.n - 1) // 5 WHERE n.n <= 6 OR t IS NOT NULL")
-def encoded_chains(spark, d):
-    """Chains in six slots: short ones as they are, long ones thinned evenly."""
-    p = points(spark, d)
-    n = p.groupBy(*BY).agg((F.max("k") + 1).alias("n"))
-    slots = F.filter(F.sequence(F.lit(0), F.lit(5)), lambda t: F.floor(t * (F.col("n") - 1) / 5) == F.col("k"))
-    own = p.join(n, BY).withColumn("slot", F.explode(F.when(F.col("n") <= 6, F.array(F.col("k"))).otherwise(slots)))
-    return own.select(*BY, F.col("slot").cast("int").alias("slot"), "x", "y")
+@query(f"{SQL_CENTRES}, s AS (SELECT doc_no, round(x / 300)::BIGINT AS gx, round(y / 300)::BIGINT AS gy, min(arc_pos) AS arc_pos FROM pp GROUP BY ALL) SELECT doc_no, arc_pos::INT AS arc_pos FROM s")
+def first_of_place(spark, d):
+    """Arcs of one place count once: the first stays."""
+    arcs, _ = centres(spark, d)
+    g = lambda c: F.round(F.col(c) / 300).cast("bigint")
+    return arcs.groupBy("doc_no", g("x").alias("gx"), g("y").alias("gy")).agg(F.min("arc_pos").alias("arc_pos")).select("doc_no", "arc_pos")
 
 
-@query(f"WITH {P1_RECORDS}, c AS (SELECT doc_no, CASE WHEN isfinite(TRY_CAST(item->>'confidence' AS DOUBLE)) THEN TRY_CAST(item->>'confidence' AS DOUBLE) END AS conf, coalesce(item->>'style', '') AS style FROM records WHERE child = 'primitives') SELECT doc_no, count(*) AS n_primitives, count(*) FILTER (style = 'hachure') AS n_hachures, coalesce(sum(round(conf * 10000)::BIGINT * 100) FILTER (style <> 'hachure') // nullif(count(conf) FILTER (style <> 'hachure'), 0), 0)::BIGINT AS mean_conf_ppm, round(coalesce(avg((conf < 0.6)::INT) FILTER (style <> 'hachure' AND conf IS NOT NULL), 0), 6) AS low_ratio FROM c GROUP BY doc_no")
+@query(f"""WITH {P1_RECORDS},
+c AS (SELECT doc_no, CASE WHEN isfinite(TRY_CAST(item->>'confidence' AS DOUBLE)) THEN TRY_CAST(item->>'confidence' AS DOUBLE) END AS conf, coalesce(item->>'style', '') AS style FROM records WHERE child = 'primitives')
+SELECT doc_no, count(*) AS n_primitives, count(*) FILTER (style = 'hachure') AS n_hachures,
+  coalesce(sum(round(conf * 10000)::BIGINT * 100) FILTER (style <> 'hachure') // nullif(count(conf) FILTER (style <> 'hachure'), 0), 0)::BIGINT AS mean_conf_ppm,
+  round(coalesce(avg((conf < 0.6)::INT) FILTER (style <> 'hachure' AND conf IS NOT NULL), 0), 6) AS low_ratio FROM c GROUP BY doc_no""")
 def document_confidence(spark, d):
     """Mean confidence and share of low ones per document, hachures left out."""
-    p = shredded(spark, d).where("child = 'primitives'").select("doc_no", F.col("numbers")["confidence"].alias("conf"), F.coalesce(F.col("texts")["style"], F.lit("")).alias("style"))
+    p = records(spark, d, "primitives").select("doc_no", F.col("confidence").alias("conf"), F.coalesce("style", F.lit("")).alias("style"))
     main = F.when(F.col("style") != "hachure", F.col("conf"))
-    return p.groupBy("doc_no").agg(F.count("*").alias("n_primitives"), F.count_if(F.col("style") == "hachure").alias("n_hachures"), F.coalesce(F.expr("sum(cast(round(case when style <> 'hachure' then conf end * 10000) as bigint) * 100) div nullif(count(case when style <> 'hachure' then conf end), 0)"), F.lit(0)).alias("mean_conf_ppm"), F.round(F.coalesce(F.avg((main < 0.6).cast("int")), F.lit(0.0)), 6).alias("low_ratio"))
+    mean = F.expr("sum(cast(round(case when style <> 'hachure' then conf end * 10000) as bigint) * 100) div nullif(count(case when style <> 'hachure' then conf end), 0)")
+    low = F.round(F.coalesce(F.avg((main < 0.6).cast("int")), F.lit(0.0)), 6)
+    return p.groupBy("doc_no").agg(F.count("*").alias("n_primitives"), F.count_if(F.col("style") == "hachure").alias("n_hachures"), F.coalesce(mean, F.lit(0)).alias("mean_conf_ppm"), low.alias("low_ratio"))
+
+
+# --- graph documents
 
+SQL_GRAPH = """WITH g AS (SELECT file_no, body::JSON AS body FROM artifact_files WHERE kind = 'graph' AND json_valid(body) AND json_type(body) = 'OBJECT'),
+e AS (SELECT file_no, (i->>'id')::INT AS edge, (i->>'source')::INT AS source, (i->>'target')::INT AS target, (i->>'is_closed')::BOOL AS is_closed FROM (SELECT file_no, unnest((body->'edges')::JSON[]) AS i FROM g)),
+n AS (SELECT file_no, (i->>'id')::INT AS node, (i->>'x')::DOUBLE AS x, (i->>'y')::DOUBLE AS y, i->>'type' AS type FROM (SELECT file_no, unnest((body->'nodes')::JSON[]) AS i FROM g)),
+dg AS (SELECT file_no, node, count(*) AS degree FROM (SELECT file_no, source AS node FROM e WHERE NOT is_closed UNION ALL SELECT file_no, target FROM e WHERE NOT is_closed) GROUP BY ALL)"""
 
-SQL_GRAPH = "WITH g AS (SELECT file_no, body::JSON AS body FROM artifact_files WHERE kind = 'graph' AND json_valid(body) AND json_type(body) = 'OBJECT'), e AS (SELECT file_no, (i->>'id')::INT AS edge, (i->>'source')::INT AS source, (i->>'target')::INT AS target, (i->>'is_closed')::BOOL AS is_closed FROM (SELECT file_no, unnest((body->'edges')::JSON[]) AS i FROM g)), n AS (SELECT file_no, (i->>'id')::INT AS node, (i->>'x')::DOUBLE AS x, (i->>'y')::DOUBLE AS y, i->>'type' AS type FROM (SELECT file_no, unnest((body->'nodes')::JSON[]) AS i FROM g)), dg AS (SELECT file_no, node, count(*) AS degree FROM (SELECT file_no, source AS node FROM e WHERE NOT is_closed UNION ALL SELECT file_no, target FROM e WHERE NOT is_closed) GROUP BY ALL)"
+
+def graph_tables(spark: SparkSession, d: str) -> graphs.Graphs:
+    return graphs.Graphs(table(spark, d, "artifact_files"))
 
 
 @query(f"{SQL_GRAPH} SELECT type, coalesce(degree, 0) AS degree, count(*) AS n_nodes FROM n LEFT JOIN dg USING (file_no, node) GROUP BY ALL")
 def degree_histogram(spark, d):
     """Nodes by type and degree over all graph documents."""
-    f = table(spark, d, "artifact_files")
-    return graphs.nodes(f).join(graphs.degrees(graphs.edges(f)), ["file_no", "node"], "left").groupBy("type", F.coalesce("degree", F.lit(0)).alias("degree")).agg(F.count("*").alias("n_nodes"))
+    g = graph_tables(spark, d)
+    return g.nodes_with_degree().groupBy("type", "degree").agg(F.count("*").alias("n_nodes"))
+
+
+SQL_LENGTHS = f"""{SQL_GRAPH},
+l AS (SELECT e.*, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS length, p.degree AS dp, q.degree AS dq FROM e JOIN n a ON a.file_no = e.file_no AND a.node = source JOIN n b ON b.file_no = e.file_no AND b.node = target
+  JOIN dg p ON p.file_no = e.file_no AND p.node = source JOIN dg q ON q.file_no = e.file_no AND q.node = target)"""
 
 
-@query(f"{SQL_GRAPH}, l AS (SELECT e.*, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS length, p.degree AS dp, q.degree AS dq FROM e JOIN n a ON a.file_no = e.file_no AND a.node = source JOIN n b ON b.file_no = e.file_no AND b.node = target JOIN dg p ON p.file_no = e.file_no AND p.node = source JOIN dg q ON q.file_no = e.file_no AND q.node = target) SELECT file_no, edge, round(length, 4) AS length FROM l WHERE NOT is_closed AND length < 900 AND least(dp, dq) = 1 AND greatest(dp, dq) >= 3")
+@query(f"{SQL_LENGTHS} SELECT file_no, edge, round(length, 4) AS length FROM l WHERE NOT is_closed AND length < {SPUR} AND least(dp, dq) = 1 AND greatest(dp, dq) >= 2")
 def graph_spurs(spark, d):
-    """Short loose ends at junctions."""
-    f = table(spark, d, "artifact_files")
-    return rounded(graphs.spurs(graphs.edges(f), graphs.nodes(f), 900.0), "length")
+    """Short loose ends; the graphs of the tables are paths, so an end at a node of two edges counts already."""
+    return rounded(graph_tables(spark, d).spurs(SPUR, 2).select("file_no", "edge", "length"), "length")
+
+
+@query(f"{SQL_GRAPH}, kept AS (SELECT e.* FROM e JOIN n a ON a.file_no = e.file_no AND a.node = source JOIN n b ON b.file_no = e.file_no AND b.node = target WHERE is_closed OR sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) >= {SPUR}) SELECT file_no, node FROM n WHERE EXISTS (SELECT 1 FROM kept k WHERE k.file_no = n.file_no AND (k.source = n.node OR k.target = n.node))")
+def used_nodes(spark, d):
+    """Nodes that still have an edge after the short ones are gone."""
+    g = graph_tables(spark, d)
+    return g.used(g.edges_with_length().where(F.col("is_closed") | (F.col("length") >= SPUR)))
 
 
-@query(f"WITH RECURSIVE {SQL_GRAPH[5:]}, w AS (SELECT file_no, source AS a, target AS b FROM e WHERE source <> target UNION SELECT file_no, target, source FROM e WHERE source <> target), reach AS (SELECT file_no, a, b FROM w UNION SELECT r.file_no, r.a, w.b FROM reach r JOIN w ON r.file_no = w.file_no AND r.b = w.a), r AS (SELECT file_no, a AS node, least(a, min(b)) AS root FROM reach GROUP BY file_no, a) SELECT file_no, count(DISTINCT coalesce(root, n.node)) AS n_components, count(*) AS n_nodes FROM n LEFT JOIN r USING (file_no, node) GROUP BY file_no")
+@query(f"""{SQL_GRAPH}, o AS (SELECT file_no, source AS node, target AS other FROM e WHERE NOT is_closed UNION ALL SELECT file_no, target, source FROM e WHERE NOT is_closed),
+u AS (SELECT o.file_no, o.node, (b.x - a.x) / nullif(sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2), 0) AS dx, (b.y - a.y) / nullif(sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2), 0) AS dy FROM o JOIN n a ON a.file_no = o.file_no AND a.node = o.node JOIN n b ON b.file_no = o.file_no AND b.node = o.other),
+s AS (SELECT file_no, node, count(*) AS degree, greatest(-1, least(1, (sum(dx) ** 2 + sum(dy) ** 2 - sum(dx * dx + dy * dy)) / 2)) AS dot FROM u GROUP BY ALL)
+SELECT file_no, node, round(degrees(acos(dot)), 2) AS angle FROM s WHERE degree = 2""")
+def through_angles(spark, d):
+    """Angle between the two edges at each node of degree two; 180 degrees is straight on."""
+    return rounded(graph_tables(spark, d).through_angles(), "angle", to=2)
+
+
+@query(f"""WITH RECURSIVE {SQL_GRAPH[5:]},
+w AS (SELECT file_no, source AS a, target AS b FROM e WHERE source <> target UNION SELECT file_no, target, source FROM e WHERE source <> target),
+reach AS (SELECT file_no, a, b FROM w UNION SELECT r.file_no, r.a, w.b FROM reach r JOIN w ON r.file_no = w.file_no AND r.b = w.a),
+r AS (SELECT file_no, a AS node, least(a, min(b)) AS root FROM reach GROUP BY file_no, a)
+SELECT file_no, count(DISTINCT coalesce(root, n.node)) AS n_components, count(*) AS n_nodes FROM n LEFT JOIN r USING (file_no, node) GROUP BY file_no""")
 def graph_components(spark, d):
     """Connected components per graph document."""
-    f = table(spark, d, "artifact_files")
-    key = lambda c: F.col("file_no") * 1_000_000 + F.col(c)
-    roots = components(graphs.edges(f).select(key("source").alias("src"), key("target").alias("dst")))
-    own = graphs.nodes(f).withColumn("key", key("node")).join(roots.withColumnRenamed("node", "key"), "key", "left")
-    return own.groupBy("file_no").agg(F.countDistinct(F.coalesce("root", "key")).alias("n_components"), F.count("*").alias("n_nodes"))
+    g = graph_tables(spark, d)
+    roots = rel.grouped_within(g.edges().select("file_no", "source", "target"), "file_no", "source", "target").withColumnRenamed("source", "node")
+    own = g.nodes().join(roots, ["file_no", "node"], "left")
+    return own.groupBy("file_no").agg(F.countDistinct(F.coalesce("root", "node")).alias("n_components"), F.count("*").alias("n_nodes"))
+
+
+# --- pixel sets
+
+#: Pixels of the evaluation are cells of so many pixels of the document.
+CELL = 40
+SQL_CELLS = """WITH {0},
+pts AS (SELECT doc_no, parent_pos AS prim, (item->>0)::DOUBLE AS x, (item->>1)::DOUBLE AS y FROM records WHERE child = 'points'),
+t AS (SELECT DISTINCT doc_no, prim % {1} AS s, round(x / {2})::INT AS x, round(y / {2})::INT AS y FROM pts)""".format
+SQL_SIDES = f"{SQL_CELLS(P1_RECORDS, 2, CELL)}, a AS (SELECT doc_no, x, y FROM t WHERE s = 0), b AS (SELECT doc_no, x, y FROM t WHERE s = 1)"
 
 
-SQL_SIDES = f"{SQL_POINTS}, a AS (SELECT DISTINCT doc_no, round(x / 40)::INT AS x, round(y / 40)::INT AS y FROM pts WHERE prim % 2 = 0), b AS (SELECT DISTINCT doc_no, round(x / 40)::INT AS x, round(y / 40)::INT AS y FROM pts WHERE prim % 2 = 1)"
+def cells(spark: SparkSession, d: str, parts: int) -> DataFrame:
+    """Distinct cells of all points; the chains of a document are dealt to ``parts`` pixel sets that are compared with each other."""
+    cell = lambda c: F.round(F.col(c) / CELL).cast("int").alias(c)
+    return written(points(spark, d).select("doc_no", (F.col("prim") % parts).alias("s"), cell("x"), cell("y")).distinct(), "cells")
 
 
 def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    p = written(points(spark, d).select("doc_no", (F.col("prim") % 2).alias("side"), F.round(F.col("x") / 40).cast("int").alias("x"), F.round(F.col("y") / 40).cast("int").alias("y")).distinct(), "sides")
-    return p.where("side = 0").drop("side"), p.where("side = 1").drop("side")
+    p = cells(spark, d, 2)
+    return p.where("s = 0").drop("s"), p.where("s = 1").drop("s")
 
 
-@query(f"{SQL_SIDES}, u AS (SELECT doc_no, x, y, max(s) AS s, count(*) AS c FROM (SELECT *, 1 AS s FROM a UNION ALL SELECT *, 2 FROM b) GROUP BY ALL) SELECT doc_no, round(count(*) FILTER (c = 2) / count(*)::DOUBLE, 6) AS iou, round(coalesce(count(*) FILTER (c = 2) / nullif(count(*) FILTER (c = 2 OR s = 1), 0)::DOUBLE, 0), 6) AS precision, round(coalesce(count(*) FILTER (c = 2) / nullif(count(*) FILTER (c = 2 OR s = 2), 0)::DOUBLE, 0), 6) AS recall FROM u GROUP BY doc_no")
+@query(f"""{SQL_SIDES},
+u AS (SELECT doc_no, x, y, max(s) AS s, count(*) AS c FROM (SELECT *, 1 AS s FROM a UNION ALL SELECT *, 2 FROM b) GROUP BY ALL)
+SELECT doc_no, round(count(*) FILTER (c = 2) / count(*)::DOUBLE, 6) AS iou, round(coalesce(count(*) FILTER (c = 2) / nullif(count(*) FILTER (c = 2 OR s = 1), 0)::DOUBLE, 0), 6) AS precision,
+  round(coalesce(count(*) FILTER (c = 2) / nullif(count(*) FILTER (c = 2 OR s = 2), 0)::DOUBLE, 0), 6) AS recall FROM u GROUP BY doc_no""")
 def pixel_overlap(spark, d):
     """IoU, precision and recall of two pixel sets per document; one aggregation instead of a full outer join."""
     a, b = sides(spark, d)
@@ -273,6 +383,13 @@ def pixel_overlap(spark, d):
     return u.groupBy("doc_no").agg(share(F.count("*")).alias("iou"), share(first).alias("precision"), share(second).alias("recall"))
 
 
+@query(f"{SQL_SIDES} SELECT doc_no, x, y FROM a UNION SELECT doc_no, x, y FROM b")
+def mask_unions(spark, d):
+    """All pixels of two masks of a document, each once."""
+    a, b = sides(spark, d)
+    return a.unionByName(b).distinct()
+
+
 @query(f"{SQL_SIDES} SELECT a.doc_no, count(*) AS n_pixels, round(avg((b.x IS NULL)::INT), 6) AS isolation FROM a LEFT JOIN b ON a.doc_no = b.doc_no AND a.x = b.x AND a.y = b.y GROUP BY a.doc_no")
 def isolation_ratios(spark, d):
     """Share of each document's foreground that no stroke covers."""
@@ -281,39 +398,69 @@ def isolation_ratios(spark, d):
     return own.groupBy("doc_no").agg(F.count("*").alias("n_pixels"), F.round(F.avg(F.col("covered").isNull().cast("int")), 6).alias("isolation"))
 
 
-@query(f"{SQL_SIDES}, m AS (SELECT a.doc_no, a.x, a.y, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS d FROM a JOIN b USING (doc_no) GROUP BY ALL), k AS (SELECT b.doc_no, b.x, b.y, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS d FROM b JOIN a USING (doc_no) GROUP BY ALL) SELECT doc_no, round(p, 6) AS there, round(q, 6) AS back, round((p + q) / 2, 6) AS chamfer FROM (SELECT doc_no, avg(d) AS p FROM m GROUP BY 1) JOIN (SELECT doc_no, avg(d) AS q FROM k GROUP BY 1) USING (doc_no)")
+NEAREST = "SELECT a.doc_no, a.x, a.y, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS d FROM {0} a JOIN {1} b USING (doc_no) GROUP BY ALL".format
+
+
+@query(f"""{SQL_SIDES}, m AS ({NEAREST('a', 'b')}), k AS ({NEAREST('b', 'a')}), z AS (SELECT doc_no, quantile_cont(d, 0.95) AS p95 FROM (SELECT doc_no, d FROM m UNION ALL SELECT doc_no, d FROM k) GROUP BY 1)
+SELECT doc_no, round(p, 6) AS there, round(q, 6) AS back, round((p + q) / 2, 6) AS chamfer, round(p95, 6) AS p95 FROM (SELECT doc_no, avg(d) AS p FROM m GROUP BY 1) JOIN (SELECT doc_no, avg(d) AS q FROM k GROUP BY 1) USING (doc_no) JOIN z USING (doc_no)""")
 def chamfer_distances(spark, d):
-    """Directed and symmetric Chamfer distance of two pixel sets per document."""
-    a, b = sides(spark, d)
-    p, q = (geo.chamfer(x, y, ["doc_no"], 8.0).select("doc_no", F.col("mean").alias(n)) for x, y, n in ((a, b, "p"), (b, a, "q")))
-    return p.join(q, "doc_no").select("doc_no", F.round("p", 6).alias("there"), F.round("q", 6).alias("back"), F.round((F.col("p") + F.col("q")) / 2, 6).alias("chamfer"))
+    """Directed and symmetric Chamfer distance of two pixel sets per document, and the 95th percentile over both directions."""
+    own = geo.chamfer_both(*sides(spark, d), ["doc_no"], 8.0)
+    return rounded(own.select("doc_no", "there", "back", "chamfer", "p95"), "there", "back", "chamfer", "p95", to=6)
 
 
-SQL_THIRDS = f"{SQL_POINTS}, t AS (SELECT DISTINCT doc_no, prim % 3 AS s, round(x / 40)::INT AS x, round(y / 40)::INT AS y FROM pts), m AS (SELECT a.doc_no, b.s, a.x, a.y, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS d FROM t a JOIN t b ON a.doc_no = b.doc_no AND a.s = 0 AND b.s > 0 GROUP BY ALL), p AS (SELECT doc_no, s, avg(d) AS d FROM m GROUP BY ALL)"
+SQL_STAGES = f"""{SQL_CELLS(P1_RECORDS, 4, CELL)},
+m AS (SELECT a.doc_no, b.s, a.x, a.y, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS d FROM t a JOIN t b ON a.doc_no = b.doc_no AND a.s = 0 AND b.s > 0 GROUP BY ALL),
+k AS (SELECT b.doc_no, b.s, b.x, b.y, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS d FROM t a JOIN t b ON a.doc_no = b.doc_no AND a.s = 0 AND b.s > 0 GROUP BY ALL),
+c AS (SELECT doc_no, s, (p + q) / 2 AS c FROM (SELECT doc_no, s, avg(d) AS p FROM m GROUP BY ALL) JOIN (SELECT doc_no, s, avg(d) AS q FROM k GROUP BY ALL) USING (doc_no, s)),
+w AS (SELECT doc_no, max(c) FILTER (s = 1) AS s1, max(c) FILTER (s = 2) AS s2, max(c) FILTER (s = 3) AS s3 FROM c GROUP BY doc_no)"""
 
 
-@query(f"{SQL_THIRDS} SELECT a.doc_no, round(a.d, 6) AS first_stage, round(b.d, 6) AS second_stage, round(b.d - a.d, 6) AS added FROM p a JOIN p b ON a.doc_no = b.doc_no AND a.s = 1 AND b.s = 2")
+@query(f"""{SQL_STAGES} SELECT coalesce(doc_no::VARCHAR, '__ALL__') AS doc, round(avg(s1), 6) AS first_stage, round(avg(s2), 6) AS second_stage, round(avg(s3), 6) AS third_stage, round(avg(s2 - s1), 6) AS second_added, round(avg(s3 - s2), 6) AS third_added
+FROM w GROUP BY ROLLUP (doc_no)""")
 def stage_attribution(spark, d):
-    """Distance of the truth to the results of two stages, and what the second stage added."""
-    p = written(points(spark, d).select("doc_no", (F.col("prim") % 3).alias("s"), F.round(F.col("x") / 40).cast("int").alias("x"), F.round(F.col("y") / 40).cast("int").alias("y")).distinct(), "thirds")
-    truth = p.where("s = 0")
-    a, b = (geo.chamfer(truth, p.where(F.col("s") == k), ["doc_no"], 8.0).select("doc_no", F.col("mean").alias(n)) for k, n in ((1, "a"), (2, "b")))
-    return a.join(b, "doc_no").select("doc_no", F.round("a", 6).alias("first_stage"), F.round("b", 6).alias("second_stage"), F.round(F.col("b") - F.col("a"), 6).alias("added"))
+    """Chamfer distance of the truth to the results of three stages, and what the later stages added; with the mean over all documents."""
+    p = cells(spark, d, 4)
+    later = p.where("s > 0")
+    truth = p.where("s = 0").drop("s").join(later.select("doc_no", "s").distinct(), "doc_no")
+    own = geo.chamfer_both(truth, later, ["doc_no", "s"], 8.0)
+    at = lambda s: F.max(F.when(F.col("s") == s, F.col("chamfer"))).alias(f"s{s}")
+    wide = own.groupBy("doc_no").agg(at(1), at(2), at(3))
+    mean = lambda c: F.round(F.avg(F.expr(c)), 6)
+    doc = F.coalesce(F.col("doc_no").cast("string"), F.lit("__ALL__"))
+    return wide.rollup("doc_no").agg(doc.alias("doc"), mean("s1").alias("first_stage"), mean("s2").alias("second_stage"), mean("s3").alias("third_stage"), mean("s2 - s1").alias("second_added"), mean("s3 - s2").alias("third_added")).drop("doc_no")
+
 
+RING = [(0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1)]
 
-@query("WITH p AS (SELECT DISTINCT l_linenumber AS grid, (l_partkey % 61)::INT AS x, (l_suppkey % 53)::INT AS y FROM lineitem WHERE l_quantity <= 8), b AS (SELECT p.*, " + ", ".join(f"EXISTS (SELECT 1 FROM p q WHERE q.grid = p.grid AND q.x = p.x + ({i}) AND q.y = p.y + ({j}))::INT AS n{k}" for k, (i, j) in enumerate([(0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1)])) + " FROM p) SELECT grid, x, y, (" + " + ".join(f"abs(n{k} - n{(k + 1) % 8})" for k in range(8)) + ")::INT // 2 AS crossing FROM b")
+
+@query(f"""{SQL_CELLS(P1_RECORDS, 1, 100)}, p AS (SELECT DISTINCT doc_no AS grid, x, y FROM t), b AS (SELECT p.*, """ + ", ".join(f"EXISTS (SELECT 1 FROM p q WHERE q.grid = p.grid AND q.x = p.x + ({i}) AND q.y = p.y + ({j}))::INT AS n{k}" for k, (i, j) in enumerate(RING)) + " FROM p) SELECT grid, x, y, (" + " + ".join(f"abs(n{k} - n{(k + 1) % 8})" for k in range(8)) + ")::INT // 2 AS crossing FROM b")
 def crossing_numbers(spark, d):
-    """Crossing number of every pixel of some grids."""
-    p = table(spark, d, "lineitem").where("l_quantity <= 8").select(F.col("l_linenumber").alias("grid"), (F.col("l_partkey") % 61).cast("int").alias("x"), (F.col("l_suppkey") % 53).cast("int").alias("y"))
+    """Crossing number of every pixel of the documents' coarse point masks."""
+    cell = lambda c: F.round(F.col(c) / 100).cast("int").alias(c)
+    p = points(spark, d).select(F.col("doc_no").alias("grid"), cell("x"), cell("y"))
     return geo.crossing_numbers(p, ["grid"]).select("grid", "x", "y", "crossing")
 
 
-@query("""WITH v AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS v FROM embeddings, range(1, 65) t(i) GROUP BY label, i), p AS (SELECT label, list(v ORDER BY i) AS p FROM v GROUP BY label),
-w AS (SELECT vec_id, p.label, exp(10 * list_cosine_similarity(embedding::DOUBLE[], p)) AS w FROM embeddings e, p), z AS (SELECT vec_id, label, w / sum(w) OVER (PARTITION BY vec_id) AS s FROM w),
-b AS (SELECT vec_id, arg_max(label, s) FILTER (label < 4) AS pos_label, max(s) FILTER (label < 4) AS p, arg_max(label, s) FILTER (label >= 4) AS neg_label, max(s) FILTER (label >= 4) AS n FROM z GROUP BY vec_id)
-SELECT vec_id, pos_label, round(p, 6) AS pos_score, neg_label, round(n, 6) AS neg_score, CASE WHEN n >= 0.05 AND p - n <= 0.45 THEN 'reject' ELSE 'keep' END AS decision FROM b""")
+# --- zero-shot curation
+
+#: Classes of prompts, the scale of the softmax, and the general gate.  Fixed values.
+POSITIVE, SCALE, NEGATIVE_AT, MARGIN, PROMPTS = 4, 100.0, 0.05, 0.45, 64
+#: Negative classes that are refused from a score of their own on, whatever the positive one.  Fixed values.  The embeddings' labels
+#: from ``POSITIVE`` on stand for them in this order.
+HARD = {
+    "line_plot": 0.04, "xy_plot": 0.045, "frequency_plot": 0.035, "chart_axes": 0.06, "bar_chart": 0.12,
+    "timeline_chart": 0.03, "table_text": 0.08, "ui_screen": 0.09, "block_diagram": 0.075, "flowchart": 0.075,
+}
+
+
+@query(f"""WITH v AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS v FROM embeddings, range(1, 65) t(i) GROUP BY label, i), p AS (SELECT label, list(v ORDER BY i) AS p FROM v GROUP BY label),
+c AS (SELECT vec_id, p.label, {SCALE} * list_cosine_similarity(embedding::DOUBLE[], p) AS c FROM embeddings e, p), w AS (SELECT vec_id, label, exp(c - max(c) OVER (PARTITION BY vec_id)) AS w FROM c),
+z AS (SELECT vec_id, label, w / sum(w) OVER (PARTITION BY vec_id) AS s FROM w),
+b AS (SELECT vec_id, arg_max(label, s) FILTER (label < {POSITIVE}) AS pos_label, max(s) FILTER (label < {POSITIVE}) AS p, arg_max(label, s) FILTER (label >= {POSITIVE}) AS neg_label, max(s) FILTER (label >= {POSITIVE}) AS n FROM z GROUP BY vec_id)
+SELECT vec_id, pos_label, round(p, 5) AS pos_score, neg_label, round(n, 5) AS neg_score, CASE {" ".join(f"WHEN neg_label = {POSITIVE + k} AND n >= {v} THEN 'hard_{c}'" for k, (c, v) in enumerate(HARD.items()))} WHEN n >= {NEGATIVE_AT} AND p - n <= {MARGIN} THEN 'soft_' || neg_label ELSE 'keep' END AS decision FROM b""")
 def zero_shot(spark, d):
-    """Best positive and negative class prompt of every embedding, and the decision by its margin.
+    """Best positive and negative class prompt of every embedding, and the decision: the class's own limit, then the general gate.
 
     The prompts are the class means; scores are a softmax over scaled cosine likeness.
     """
@@ -321,71 +468,20 @@ def zero_shot(spark, d):
     unit = lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y)))
     means = e.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("v"))
     prompts = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("p")).select("label", unit(F.col("p")).alias("p"))
-    rows = [(r["label"], r["p"]) for r in prompts.orderBy("label").limit(65).collect()]  # a prompt per class
-    if len(rows) > 64:
-        raise ValueError("zero_shot has prompts for 64 classes at most")
+    rows = [(r["label"], r["p"]) for r in prompts.orderBy("label").limit(PROMPTS + 1).collect()]  # a prompt per class
+    if len(rows) > PROMPTS:
+        raise ValueError(f"zero_shot has prompts for {PROMPTS} classes at most")
     all_prompts = F.array(*[F.struct(F.lit(k).alias("label"), F.array(*map(F.lit, p)).alias("p")) for k, p in rows])
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    own = e.select("vec_id", unit(F.col("embedding")).alias("v")).withColumn("s", F.transform(all_prompts, lambda q: F.struct(F.exp(10.0 * dot(F.col("v"), q["p"])).alias("w"), q["label"].alias("label"))))
+    own = e.select("vec_id", unit(F.col("embedding")).alias("v")).withColumn("s", F.transform(all_prompts, lambda q: F.struct((SCALE * dot(F.col("v"), q["p"])).alias("w"), q["label"].alias("label"))))
+    own = own.withColumn("top", F.array_max("s")["w"]).withColumn("s", F.transform("s", lambda x: F.struct(F.exp(x["w"] - F.col("top")).alias("w"), x["label"].alias("label"))))
     own = own.withColumn("z", F.aggregate("s", F.lit(0.0), lambda t, x: t + x["w"]))
-    top = lambda keep: F.array_max(F.filter("s", keep))
-    own = own.withColumn("pos", top(lambda x: x["label"] < 4)).withColumn("neg", top(lambda x: x["label"] >= 4))
+    best = lambda keep: F.array_max(F.filter("s", keep))
+    own = own.withColumn("pos", best(lambda x: x["label"] < POSITIVE)).withColumn("neg", best(lambda x: x["label"] >= POSITIVE))
     p, n = F.col("pos.w") / F.col("z"), F.col("neg.w") / F.col("z")
-    return own.select("vec_id", F.col("pos.label").alias("pos_label"), F.round(p, 6).alias("pos_score"), F.col("neg.label").alias("neg_label"), F.round(n, 6).alias("neg_score"), F.when((n >= 0.05) & (p - n <= 0.45), "reject").otherwise("keep").alias("decision"))
-
-
-def drawn(spark: SparkSession, d: str) -> DataFrame:
-    s = written(shredded(spark, d), "drawn")
-    xy = F.concat(vec.number(F.col("numbers")["0"]), F.lit(" "), vec.number(F.col("numbers")["1"]))
-    paths = vec.in_order(s.where("child = 'points' and variant = 'pair'").select(F.struct("doc_no", F.col("parent_pos").alias("pos")).alias("place"), F.col("pos").alias("k"), xy.alias("xy")), "place", "k", "xy", " L ").select("place.*", F.col("body").alias("path"))
-    return s.where("child = 'primitives'").withColumn("style", F.col("texts")["style"]).join(paths, ["doc_no", "pos"], "left")
-
-
-@query(f"WITH {P1_RECORDS} SELECT doc_no, pos::INT AS pos, '<line x1=\"' || printf('%.2f', (item->>'$.p1[0]')::DOUBLE) || '\" y1=\"' || printf('%.2f', (item->>'$.p1[1]')::DOUBLE) || '\" x2=\"' || printf('%.2f', (item->>'$.p2[0]')::DOUBLE) || '\" y2=\"' || printf('%.2f', (item->>'$.p2[1]')::DOUBLE) || '\"' AS head FROM records WHERE child = 'primitives' AND item->>'type' = 'line'")
-def svg_lines(spark, d):
-    """SVG elements of the lines, up to their style."""
-    p = shredded(spark, d).where("child = 'primitives' and variant = 'line'").withColumn("style", F.col("texts")["style"]).withColumn("path", F.lit(None).cast("string"))
-    return vec.svg_elements(p).select("doc_no", "pos", F.regexp_extract("element", '^(.*?) stroke-width', 1).alias("head"))
-
-
-def labels(spark: SparkSession, d: str) -> DataFrame:
-    """Labels of every document with their leaders in order; ``place`` puts them after all primitives."""
-    s = written(shredded(spark, d).where("child in ('annotations', 'leader_lines')"), "labels")
-    at = lambda x: F.when(F.col("numbers")[f"{x}_0"].isNotNull() & F.col("numbers")[f"{x}_1"].isNotNull(), F.struct(F.col("numbers")[f"{x}_0"].alias("x"), F.col("numbers")[f"{x}_1"].alias("y")))
-    leaders = s.where("child = 'leader_lines'").select("doc_no", F.col("parent_pos").alias("pos"), F.struct(F.col("pos").alias("k"), at("p1").alias("p1"), at("p2").alias("p2")).alias("r")).where("r.p1 is not null and r.p2 is not null")
-    leaders = leaders.groupBy("doc_no", "pos").agg(F.array_sort(F.collect_list("r")).alias("leaders"))
-    a = s.where("child = 'annotations'").select("doc_no", "pos", F.coalesce(F.col("texts")["text"], F.lit("")).alias("label"), at("position").alias("at")).join(leaders, ["doc_no", "pos"], "left")
-    none = F.expr("cast(array() as array<struct<k: int, p1: struct<x: double, y: double>, p2: struct<x: double, y: double>>>)")
-    return a.withColumn("leaders", F.coalesce("leaders", none))
-
-
-def placed(primitives: DataFrame, annotations: DataFrame) -> DataFrame:
-    """Elements of both kinds with their place in the document: primitives first."""
-    parts = [df.select("doc_no", F.struct(F.lit(k).alias("kind"), "pos").alias("place"), "element") for k, df in enumerate((primitives, annotations))]
-    return parts[0].unionByName(parts[1])
-
-
-@query()
-def svg_documents(spark, d):
-    """The SVG text of every document: its primitives, then its labels with their leaders."""
-    return vec.in_order(placed(vec.svg_elements(drawn(spark, d)), vec.svg_annotations(labels(spark, d))), "doc_no", "place", "element")
-
-
-@query()
-def svg_round_trip(spark, d):
-    """Points read back from the SVG texts."""
-    return vec.path_points(vec.in_order(vec.svg_elements(drawn(spark, d)), "doc_no", "pos", "element"), "doc_no", "body")
-
-
-@query()
-def dxf_documents(spark, d):
-    """DXF entities of every document: its primitives, then its labels with their leaders."""
-    height = F.lit(3000.0)
-    return vec.in_order(placed(vec.dxf_entities(drawn(spark, d), height), vec.dxf_annotations(labels(spark, d), height)), "doc_no", "place", "element", "")
-
-
-@query()
-def diagram_documents(spark, d):
-    """Diagram XML cells of every graph document."""
-    f = table(spark, d, "artifact_files")
-    return vec.in_order(vec.diagram_cells(graphs.nodes(f), graphs.edges(f)), "file_no", "place", "cell")
+    hard = None
+    for k, (c, v) in enumerate(HARD.items()):
+        hit = (F.col("neg.label") == POSITIVE + k) & (n >= v)
+        hard = F.when(hit, f"hard_{c}") if hard is None else hard.when(hit, f"hard_{c}")
+    decision = hard.when((n >= NEGATIVE_AT) & (p - n <= MARGIN), F.concat(F.lit("soft_"), F.col("neg.label").cast("string"))).otherwise("keep")
+    return own.select("vec_id", F.col("pos.label").alias("pos_label"), F.round(p, 5).alias("pos_score"), F.col("neg.label").alias("neg_label"), F.round(n, 5).alias("neg_score"), decision.alias("decision"))

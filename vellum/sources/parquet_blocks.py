@@ -7,10 +7,13 @@ know is carried over; only positions, counts and the list of row groups change.
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterable
 from dataclasses import dataclass
 from typing import BinaryIO
 
 MAGIC = b"PAR1"
+#: Bytes that are copied at once.
+PIECE = 4 << 20
 #: Wire types of Thrift's compact protocol (fixed values).
 TRUE, FALSE, BYTE, I16, I32, I64, DOUBLE, BINARY, LIST, SET, MAP, STRUCT = range(1, 13)
 #: Field numbers of parquet.thrift (fixed values): FileMetaData, RowGroup, ColumnChunk, ColumnMetaData.
@@ -161,8 +164,21 @@ def moved(group: dict, by: int, ordinal: int) -> dict:
     return out
 
 
-def join_files(sources: list[tuple[BinaryIO, int]], target: BinaryIO) -> Footer:
-    """Copy all row groups of the sources, in order, into one file; schemas must be equal byte for byte."""
+def copied(source: BinaryIO, target: BinaryIO, size: int) -> None:
+    """Copy so many bytes in pieces."""
+    while size:
+        data = source.read(min(size, PIECE))
+        if not data:
+            raise ValueError("a row group ends early")
+        target.write(data)
+        size -= len(data)
+
+
+def join_files(sources: Iterable[tuple[BinaryIO, int]], target: BinaryIO) -> Footer:
+    """Copy all row groups of the sources, in order, into one file; schemas must be equal byte for byte.
+
+    Sources are taken one after the other, so a generator can open each when its turn comes and close it after.
+    """
     target.write(MAGIC)
     at, groups, first = len(MAGIC), [], None
     for file, length in sources:
@@ -173,10 +189,7 @@ def join_files(sources: list[tuple[BinaryIO, int]], target: BinaryIO) -> Footer:
         for group in footer.meta[FILE_GROUPS][1][1]:
             start, size = block_span(group)
             file.seek(start)
-            data = file.read(size)
-            if len(data) != size:
-                raise ValueError("a row group ends early")
-            target.write(data)
+            copied(file, target, size)
             groups.append(moved(group, at - start, len(groups) % 32768))
             at += size
     if first is None:

@@ -160,3 +160,16 @@ def svg_chains(texts: DataFrame, key: str, text: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=[key, "path", "step", "x", "y"])
 
     return paths.mapInPandas(run, f"{key} {texts.schema[key].dataType.simpleString()}, path int, step int, x double, y double")
+
+
+def path_count(text: Column) -> Column:
+    """How many paths an SVG text holds; -1 for a text that could not be read."""
+    return F.coalesce(F.regexp_count(text, F.lit("<path")), F.lit(-1))
+
+
+def svg_points(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, shape, k, x, y)`` of the polylines and polygons of SVG texts, by expressions alone; curves are left to ``svg_chains``."""
+    shapes = texts.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(r'<poly(?:line|gon) points="([^"]*)"'), F.lit(1))).alias("shape", "points"))
+    points = shapes.select(key, "shape", F.posexplode(F.split("points", " +")).alias("k", "p"))
+    xy = F.split("p", ",")
+    return points.select(key, "shape", "k", xy[0].try_cast("double").alias("x"), xy[1].try_cast("double").alias("y"))
