@@ -34,8 +34,12 @@ def normalised_entropy(counts: DataFrame, by: str, n: str, classes: int) -> Data
     return own.groupBy(by, "support").agg(F.round(F.sum("part"), 6).alias("entropy"))
 
 
-def class_weights(df: DataFrame, label: str, most: float = 10.0) -> DataFrame:
-    """Inverse-frequency weights ``min(total / (classes * count), most)``."""
+def class_weights(df: DataFrame, label: str, classes: list[str] | None = None, most: float = 10.0) -> DataFrame:
+    """Inverse-frequency weights ``min(total / (classes * count), most)``; a class of the list without a row weighs ``most``."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
+    if classes is not None:
+        known = df.sparkSession.createDataFrame([(c,) for c in classes], f"{label} string")
+        counts = known.join(counts, label, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     total, k = counts.agg(F.sum("n"), F.count("*")).first()
-    return counts.select(label, F.round(F.least(F.lit(float(total or 0)) / (F.lit(k) * F.col("n")), F.lit(most)), 6).alias("weight"))
+    share = F.try_divide(F.lit(float(total or 0)), F.lit(k) * F.col("n"))
+    return counts.select(label, F.round(F.least(F.coalesce(share, F.lit(most)), F.lit(most)), 6).alias("weight"))

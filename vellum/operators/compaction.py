@@ -225,8 +225,8 @@ def encoded_pieces(blocks: DataFrame, folder: str, piece: int = PIECE_BYTES) ->
                         if not len(own):
                             continue
                         part = encoded_rows(batch, own)
-                        for k in range(0, len(part), 32):
-                            held.append(part.slice(k, 32))
+                        for k in range(0, len(part), 16):
+                            held.append(part.slice(k, 16))
                             size += held[-1].nbytes
                             if size >= piece:
                                 flush()

@@ -91,3 +91,17 @@ def grouped_within(pairs: DataFrame, by: str, left: str, right: str) -> DataFram
     key = lambda c: F.struct(F.col(by).alias("g"), F.col(c).alias("m"))
     roots = components(pairs.select(key(left).alias("src"), key(right).alias("dst")))
     return roots.select(F.col("node.g").alias(by), F.col("node.m").alias(left), F.col("root.m").alias("root"))
+
+
+def limited_first(candidates: DataFrame, order: list[str], limit: int, *taken: tuple[DataFrame, list[str]]) -> DataFrame:
+    """The first ``limit`` candidates in order, and of these the ones that no table of ``taken`` has: the limit comes before the filters."""
+    first = candidates.orderBy(*order).limit(limit)
+    for rows, keys in taken:
+        first = unseen(first, rows, keys)
+    return first
+
+
+def sampled_ids(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """All rows of ``n`` distinct keys, the first in a seeded order."""
+    order = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
+    return rows.join(rows.select(key).distinct().orderBy(order, key).limit(n), key, "left_semi")

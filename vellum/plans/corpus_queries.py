@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -228,10 +230,21 @@ def class_shares(spark, d):
     return counts.select("letter_code", "n", F.round(share, 6).alias("share"), (share < F.col("least")).alias("below"))
 
 
-@query("WITH c AS (SELECT status, count(*) AS n FROM results GROUP BY 1) SELECT status, round(least((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n::DOUBLE), 10.0), 6) AS weight FROM c")
+STATUSES = ["ok", "stage0", "stage1", "stage2", "stage3", "stage4", "quality_gate_stage1", "quality_gate_stage2", "quality_gate_stage3"]
+
+
+@query(f"""WITH k AS (SELECT unnest({STATUSES}) AS status), c AS (SELECT k.status, count(r.status) AS n FROM k LEFT JOIN results r USING (status) GROUP BY 1)
+SELECT status, round(CASE WHEN n = 0 THEN 10.0 ELSE least((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n::DOUBLE), 10.0) END, 6)::DOUBLE AS weight FROM c""")
 def inverse_weights(spark, d):
-    """Inverse-frequency weights of the classes."""
-    return agg.class_weights(table(spark, d, "results"), "status")
+    """Inverse-frequency weights of all statuses; one that never occurs has the largest weight."""
+    return agg.class_weights(table(spark, d, "results"), "status", STATUSES)
+
+
+@query("SELECT reason, n_pages, row_number() OVER (ORDER BY n_pages DESC, reason)::INT AS place FROM (SELECT reason, count(*) AS n_pages FROM filter_manifest GROUP BY 1)")
+def reason_histogram(spark, d):
+    """Reasons from the most frequent down; their number is bounded by the rule chain."""
+    counts = table(spark, d, "filter_manifest").groupBy("reason").agg(F.count("*").alias("n_pages"))
+    return counts.select("reason", "n_pages", F.row_number().over(Window.orderBy(F.desc("n_pages"), "reason")).alias("place"))
 
 
 # --- order, samples, set operations
@@ -347,3 +360,52 @@ def quarantine(spark, d):
     """Where the discarded pages would be moved to."""
     rows = table(spark, d, "filter_manifest").where("label = 'discard'")
     return rows.select("load_no", F.col("path").alias("src"), F.concat_ws("/", F.lit("quarantine"), "patent", last_part(F.col("path"))).alias("dst"))
+
+
+@query("SELECT load_no, 'page' AS origin, filename AS name, label, NULL::DOUBLE AS total_time FROM filter_manifest UNION ALL SELECT load_no, 'run', NULL, NULL, total_time FROM results")
+def evolved_table(spark, d):
+    """A stored table that is created once, gets a column later, and takes rows of both generations."""
+    name, path = f"evolved_{uuid.uuid4().hex}", fresh_path(spark, "evolved")
+    sinks.ensure_table(spark, name, {"load_no": "bigint", "origin": "string", "name": "string", "label": "string"}, path)
+    sinks.append_rows(table(spark, d, "filter_manifest").select("load_no", F.lit("page").alias("origin"), F.col("filename").alias("name"), "label"), name)
+    for _ in range(2):
+        sinks.ensure_table(spark, name, {"load_no": "bigint", "total_time": "double"}, path)
+    sinks.append_rows(table(spark, d, "results").select("load_no", F.lit("run").alias("origin"), "total_time"), name)
+    rows = spark.table(name)
+    out = spark.read.schema(rows.schema).parquet(path)
+    spark.sql(f"DROP TABLE {name}")  # the rows stay in the shared folder
+    return out
+
+
+@query("SELECT load_no, patent_id, s2_n_edges AS n_edges, s3_mean_conf AS conf FROM training_manifest")
+def run_documents(spark, d):
+    """Every manifest row as a JSON document, and its fields read back."""
+    own = table(spark, d, "training_manifest").select("load_no", "patent_id", "s2_n_edges", "s3_mean_conf")
+    doc = F.from_json("body", "struct<patent_id:string,s2_n_edges:int,s3_mean_conf:double>")
+    return sinks.json_documents(own, "load_no").select("load_no", doc.alias("d")).select("load_no", "d.patent_id", F.col("d.s2_n_edges").alias("n_edges"), F.col("d.s3_mean_conf").alias("conf"))
+
+
+@query(r"""SELECT load_no FROM training_manifest m WHERE coalesce(s3_n_primitives, 1000000000) <= 150 AND EXISTS (SELECT 1 FROM artifact_files f WHERE f.deleted_at IS NULL AND f.kind = 'svg' AND f.patent_id = m.patent_id AND regexp_extract(trim(f.path), '([^/\\]*)$', 1) = m.sketch_id || '.svg')""")
+def labelable_rows(spark, d):
+    """Manifest rows that can be labelled: the drawing is there and has at most 150 primitives."""
+    files = table(spark, d, "artifact_files").where("deleted_at is null and kind = 'svg'").select("patent_id", last_part(F.regexp_replace("path", r"\s+$", "")).alias("name"))
+    rows = table(spark, d, "training_manifest").where("coalesce(s3_n_primitives, 1000000000) <= 150").withColumn("name", F.concat("sketch_id", F.lit(".svg")))
+    return rows.join(files, ["patent_id", "name"], "left_semi").select("load_no")
+
+
+LIMIT = 500
+
+
+@query(f"""WITH first AS (SELECT DISTINCT plain, filename AS name FROM ({LAST_PAGE}) ORDER BY plain, name LIMIT {LIMIT})
+SELECT plain, name FROM first f WHERE NOT EXISTS (SELECT 1 FROM ({LAST_PAGE}) l WHERE l.label = 'discard' AND l.plain = f.plain AND l.filename = f.name) AND NOT EXISTS (SELECT 1 FROM ({SKETCH}) r WHERE r.plain = f.plain AND {NAME} = f.name)""")
+def limited_run(spark, d):
+    """What a run limited to the first 500 pages takes up: the limit counts pages that are then discarded or done."""
+    last = last_pages(spark, d).select("plain", F.col("filename").alias("name"), "label")
+    done = runs(spark, d).select("plain", last_part(F.col("input_path")).alias("name"))
+    return rel.limited_first(last.select("plain", "name").distinct(), ["plain", "name"], LIMIT, (last.where("label = 'discard'"), ["plain", "name"]), (done, ["plain", "name"]))
+
+
+@query("WITH ids AS (SELECT DISTINCT patent_id FROM artifact_files ORDER BY md5(patent_id || '|42'), patent_id LIMIT 100) SELECT DISTINCT patent_id, kind FROM artifact_files WHERE deleted_at IS NULL AND patent_id IN (SELECT patent_id FROM ids)")
+def sampled_views(spark, d):
+    """The kinds of files of 100 patents in a seeded order."""
+    return rel.sampled_ids(table(spark, d, "artifact_files"), "patent_id", 100, 42).where("deleted_at is null").select("patent_id", "kind").distinct()

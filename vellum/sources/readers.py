@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import struct
+import zipfile
 import zlib
 from collections.abc import Iterator
 
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions.keys import last_part
+from vellum.operators import raster
+from vellum.sources.tiff import decoded_tiff
 
 
 def corpus_walk(spark: SparkSession, root: str, pattern: str = "*.{tif,tiff,TIF,TIFF}") -> DataFrame:
@@ -25,8 +28,10 @@ def corpus_walk(spark: SparkSession, root: str, pattern: str = "*.{tif,tiff,TIF,
 
 
 def decoded(data: bytes) -> np.ndarray | None:
-    """Grey image of a binary PGM or an 8-bit PNG without interlacing; None for anything else or broken data."""
+    """Grey image of a TIFF file, a binary PGM or an 8-bit PNG without interlacing; None for anything else or broken data."""
     try:
+        if data[:4] in (b"II*\0", b"MM\0*"):
+            return decoded_tiff(data)
         if data[:2] == b"P5":
             head = re.match(rb"P5(?:\s+#[^\n]*)*\s+(\d+)\s+(\d+)\s+(\d+)\s", data)
             w, h = int(head[1]), int(head[2])
@@ -84,6 +89,58 @@ def rasters(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return files.select("path", "content").mapInPandas(read, "path string, height int, width int, gray binary")
 
 
+def page_rows(spark: SparkSession, root: str, pattern: str = "*.{tif,TIF,tiff,TIFF}", longest: int = raster.PAGE) -> DataFrame:
+    """``(path, label, features)`` of page images: brought to ``longest`` pixels, cut at half brightness and measured; what can't be read has the label ``error``."""
+    names = list(raster.page_features(np.zeros((1, 1), bool)))
+    whole = ("n_cc", "long_lines", "skel_n_cc")
+
+    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for path, content in zip(frame["path"], frame["content"]):
+                gray = decoded(bytes(content))
+                rows.append({"path": path, "label": "error" if gray is None else None} | (raster.page_features(raster.resized(gray, longest) < 128) if gray is not None else {}))
+            yield pd.DataFrame(rows, columns=["path", "label", *names]).astype({c: "Int32" if c in whole else "float64" for c in names})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    return files.select("path", "content").mapInPandas(measure, "path string, label string, " + ", ".join(f"{c} {'int' if c in whole else 'double'}" for c in names))
+
+
+def numbered_images(spark: SparkSession, root: str) -> DataFrame:
+    """``(number, path, height, width, gray)`` of the PNG files whose name is a number, in the order of it."""
+    stem = F.regexp_extract(last_part(F.col("path")), r"^(\d+)\.[^.]*$", 1)
+    return rasters(spark, root, "*.png").withColumn("number", F.when(stem != "", stem.try_cast("bigint"))).where("number is not null").select("number", "path", "height", "width", "gray").orderBy("number")
+
+
+def label_packs(spark: SparkSession, root: str, split: str) -> DataFrame:
+    """Key point labels of one split: ``(path, x, y, kind)`` with one row per point, out of packs of a skeleton, ``n x 3`` whole numbers and a note."""
+    import io
+
+    kinds = ("endpoint", "junction", "corner")
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for path, content in zip(frame["path"], frame["content"]):
+                try:
+                    with np.load(io.BytesIO(bytes(content)), allow_pickle=False) as pack:
+                        points = np.asarray(pack["kps"]).reshape(-1, 3).astype(int)
+                except (ValueError, KeyError, OSError, zipfile.BadZipFile):
+                    continue
+                rows += [(path, x, y, kinds[k]) for x, y, k in points.tolist() if 0 <= k < len(kinds)]
+            yield pd.DataFrame(rows, columns=["path", "x", "y", "kind"]).astype({"x": "int32", "y": "int32"})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.npz").load(f"{root.rstrip('/')}/{split}")
+    return files.select("path", "content").mapInPandas(read, "path string, x int, y int, kind string")
+
+
+def gold_labels(spark: SparkSession, path: str) -> DataFrame:
+    """``(sketch_id, labeled_classes, x, y, type)`` of the gold documents that a person has reviewed; the others are drafts."""
+    schema = "sketch_id string, shape array<int>, labeled_classes array<string>, reviewed boolean, keypoints array<struct<x:int,y:int,type:string>>"
+    rows = spark.read.schema(schema).json(path, multiLine=True).where(F.coalesce("reviewed", F.lit(False)))
+    return rows.select("sketch_id", "labeled_classes", F.inline_outer("keypoints"))
+
+
 def text_table(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """CSV with a header, every column a string; numbers are made with ``number`` and ``whole``."""
     return spark.read.schema(", ".join(f"`{c}` string" for c in columns)).csv(path, header=True, multiLine=True, escape='"')
@@ -173,3 +230,40 @@ def svg_points(texts: DataFrame, key: str, text: str) -> DataFrame:
     points = shapes.select(key, "shape", F.posexplode(F.split("points", " +")).alias("k", "p"))
     xy = F.split("p", ",")
     return points.select(key, "shape", "k", xy[0].try_cast("double").alias("x"), xy[1].try_cast("double").alias("y"))
+
+
+SHAPE = re.compile(r"<(line|circle|ellipse|polyline|polygon|path)\b([^>]*)>")
+ATTRIBUTE = re.compile(r'([\w-]+)="([^"]*)"')
+VIEW = re.compile(r'viewBox="\s*(-?[\d.]+)[ ,]+(-?[\d.]+)[ ,]+([\d.]+)[ ,]+([\d.]+)')
+
+
+def svg_shapes(text: str) -> list[list[tuple[float, float]]]:
+    """Chains of points of an SVG text's lines, circles, ellipses, polylines, polygons, and paths with absolute M, L, C, Z."""
+    out = []
+    for kind, rest in SHAPE.findall(text):
+        a = dict(ATTRIBUTE.findall(rest))
+        try:
+            n = lambda k: float(a.get(k, 0))  # noqa: B023, E731
+            if kind == "line":
+                out.append([(n("x1"), n("y1")), (n("x2"), n("y2"))])
+            elif kind in ("circle", "ellipse"):
+                rx, ry = (n("r"), n("r")) if kind == "circle" else (n("rx"), n("ry"))
+                t = np.linspace(0, 2 * np.pi, 97)
+                out.append(list(zip((n("cx") + rx * np.cos(t)).tolist(), (n("cy") + ry * np.sin(t)).tolist())))
+            elif kind == "path":
+                out += flattened(a.get("d", ""))
+            else:
+                v = [float(x) for x in re.findall(r"-?\d+(?:\.\d+)?(?:[eE]-?\d+)?", a.get("points", ""))]
+                chain = list(zip(v[::2], v[1::2]))
+                out.append(chain + chain[:1] * (kind == "polygon"))
+        except ValueError:
+            continue
+    return [c for c in out if len(c) > 1]
+
+
+def svg_mask(text: str, size: int = 1_024, width: int = 3) -> np.ndarray:
+    """Ink of an SVG text drawn on a square of ``size`` pixels; without a view box it is 200 by 200."""
+    view = VIEW.search(text)
+    x0, y0, w, h = map(float, view.groups()) if view else (0.0, 0.0, 200.0, 200.0)
+    k = size / max(w, h, 1e-9)
+    return raster.drawn([[((x - x0) * k, (y - y0) * k) for x, y in c] for c in svg_shapes(text)], size, size, width)

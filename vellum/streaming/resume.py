@@ -1,7 +1,11 @@
 """Incremental resume as a stream: files of rows arrive, keys that have a row already are left out, the rest is appended.
 
-Each micro-batch is idempotent: it is written into its own folder, named by its number, so a batch that is played again after a
-failure replaces itself.  A key that comes twice within a batch keeps its first row.
+What has been seen is the state of a streaming aggregation, one small record per key in the state store: a batch reads and writes the
+state of its own keys, not what earlier batches have put out.  All rows of a batch carry the batch's time, so a key whose first and
+last time are the same is new.  Each micro-batch is written into its own folder, named by its number, so a batch that is played again
+after a failure replaces itself.
+
+Defined results: a key that comes twice within a batch keeps its row with the smallest order; null keys are a key; no file, no row.
 """
 
 from __future__ import annotations
@@ -12,25 +16,18 @@ from pyspark.sql import functions as F
 from vellum.session import fresh_path
 
 
-def first_of(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The row with the smallest ``order`` of each key, by one aggregation."""
-    rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.min(F.struct(order, *[c for c in rest if c != order])).alias("m"))
-    return best.select(*keys, *[F.col(f"m.{c}").alias(c) for c in rest]).select(*df.columns)
-
-
 def take_up(spark: SparkSession, source: str, target: str, schema, keys: list[str], order: str, checkpoint: str, files_per_batch: int = 1) -> None:
     """Run all that is available of a stream of Parquet files into ``target``."""
+    names = [f.name for f in schema]
+    rest = [order, *[c for c in names if c not in (*keys, order)]]
 
     def batch(rows: DataFrame, number: int) -> None:
-        done = [f"{target}/batch={n}" for n in range(number)]
-        new = first_of(rows, keys, order)
-        if done:
-            new = new.join(spark.read.schema(rows.schema).parquet(*done).select(*keys), keys, "left_anti")
+        new = rows.where(F.col("_first") == F.col("_last")).select(*keys, "_row.*").select(*names)
         new.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source).withColumn("_at", F.current_timestamp())
+    seen = stream.groupBy(*keys).agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"), F.min(F.struct(*rest)).alias("_row"))
+    query = seen.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
@@ -42,6 +39,6 @@ def replay_batches(spark: SparkSession, rows: DataFrame, keys: list[str], order:
         return rows
     step = (high - low) // files + 1
     for k in range(files):
-        rows.where((F.col(order) >= low + k * step) & (F.col(order) < low + (k + 1) * step)).coalesce(1).write.mode("append").parquet(source)
-        take_up(spark, source, target, rows.schema, keys, order, state)
+        rows.where((F.col(order) >= low + k * step) & (F.col(order) < low + (k + 1) * step)).write.mode("append").parquet(source)
+        take_up(spark, source, target, rows.schema, keys, order, state, files_per_batch=1_000)
     return spark.read.schema(rows.schema).parquet(target).select(*rows.columns)
