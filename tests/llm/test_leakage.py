@@ -70,3 +70,40 @@ def test_a_sure_run_is_in_every_allowed_stretch():
         for size in range(-(-n // 3), n + 1):
             wrong = size // 8
             assert -(-(size - wrong) // (wrong + 1)) >= run
+
+
+def planted(rng, wrong_share):
+    """A text with a stretch of an item in it, so many of whose words are changed, mistyped or missing, and the item."""
+    item = passage(rng, rng.randrange(40, 130))
+    size = rng.randrange(-(-len(item) // 3), len(item) + 1)
+    at = rng.randrange(len(item) - size + 1)
+    stretch = item[at : at + size]
+    for k in rng.sample(range(size), int(size * wrong_share)):
+        way = rng.randrange(3)
+        w = stretch[k]
+        stretch[k] = "" if way == 0 else rng.choice(WORDS) if way == 1 else w[: len(w) // 2] + rng.choice("qxz") + w[len(w) // 2 + 1 :]
+    return " ".join(passage(rng, 60) + [w for w in stretch if w] + passage(rng, 60)), " ".join(item)
+
+
+def found_of(share, n=400):
+    rng = random.Random(21)
+    hits = 0
+    for _ in range(n):
+        text, body = planted(rng, share)
+        items = [leakage.item_of(1, body, "en")]
+        hits += bool(list(leakage.cases(text, items, leakage.automaton_of(items))))
+    return hits / n
+
+
+def test_nearly_all_planted_cases_are_found():
+    """Exactly one word in eight wrong anywhere in the stretch, and half as many."""
+    assert found_of(1 / 8) >= 0.98 and found_of(1 / 16) >= 0.995
+    assert found_of(1 / 3, 100) <= 0.05
+
+
+def test_the_best_chain_does_not_jump_to_a_wrong_place():
+    item = leakage.item_of(1, "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa", "en")
+    text = leakage.flat("alpha bravo charlie xx foxtrot golf yy delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa")
+    line = leakage.best_chain(item, text, 0, len(text))
+    assert [item.words[j] for j, _, _ in line][-13:] == list(item.words[3:])
+    assert leakage.in_order([3, 1, 2, 2, 5, 4]) == 3 and leakage.in_order([]) == 0

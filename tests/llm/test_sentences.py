@@ -58,3 +58,28 @@ def test_table(spark):
     got = sorted(tuple(r) for r in sentences.sentences(df).collect())
     assert got == [(1, 0, 6), (1, 0, 6), (1, 7, 13), (1, 7, 13)]
     assert sentences.sentences(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("opening,closing", [("„", "“"), ("“", "”"), ("«", "»"), ('"', '"'), ("(", ")")])
+def test_long_quotations_stay_whole(opening, closing):
+    inside = "Keep it dry. Ask the desk! " * 60
+    assert pieces(f"It reads {opening}{inside.strip()}{closing} and hangs there. Next one.", "en") == [f"It reads {opening}{inside.strip()}{closing} and hangs there.", "Next one."]
+
+
+def test_marks_without_a_partner_are_no_quotation():
+    assert pieces("The „ mark is odd. It stays open. Next “one” here. Last.", "en")[:1] != [""]
+    assert pieces("A 5) comes first. Then (this one. And that. Fin.", "en") == ["A 5) comes first.", "Then (this one.", "And that.", "Fin."]
+    assert sentences.quotations("a «b «c» d» (e „f. g“ h)") == ([5, 12], [7, 23]) and sentences.quotations("") == ([], [])
+
+
+def test_time_is_linear():
+    import time
+
+    def took(n):
+        text = 'He said "no. yes." and (left. soon.) «Fin.» ' * n
+        began = time.perf_counter()
+        sentences.units(text, "en")
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(8_000) < 8 * took(2_000) + 0.5

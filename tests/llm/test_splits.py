@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from vellum.llm import splits
@@ -49,3 +50,19 @@ def test_placement_gives_rare_labels_their_share():
     placed = splits.place(groups, desired, [w * 920 for w in splits.SHARES])
     rare = [placed[100 + k] for k in range(20)]
     assert [rare.count(s) for s in range(3)] == [16, 2, 2]
+
+
+def test_rare_labels_get_their_shares_over_many_buckets(spark):
+    rows = [(k, f"EP{k:07d}", "F1", "rare" if k % 100 == 0 else "odd" if k % 40 == 1 else "ok", None, None) for k in range(4_000)]
+    got = splits.split_rows(splits.patent_groups(table(spark, rows)), "status", bucket_groups=100)
+    count = {(r["status"], r["split"]): r["count"] for r in got.groupBy("status", "split").count().collect()}
+    assert [count["rare", s] for s in splits.SPLITS] == [32, 4, 4] and [count["odd", s] for s in splits.SPLITS] == [80, 10, 10]
+
+
+def test_many_labels(spark):
+    rows = [(k, f"EP{k:07d}", "F1", f"label {k % 300}", None, None) for k in range(3_000)]
+    df = splits.patent_groups(table(spark, rows))
+    got = {(r["status"], r["split"]): r["count"] for r in splits.split_rows(df, "status").groupBy("status", "split").count().collect()}
+    assert all([got[f"label {k}", s] for s in splits.SPLITS] == [8, 1, 1] for k in range(300))
+    with pytest.raises(ValueError, match="labels"):
+        splits.group_splits(df, "status", most_labels=299)

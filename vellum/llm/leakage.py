@@ -5,6 +5,8 @@ hyphens and equivalent forms vanish on both sides.  The automaton's patterns are
 in scripts without spaces) of an item as a stretch of a third of it with one word in eight wrong must hold unbroken, so every
 true case has hits, and a number of different ones that no true case falls short of; documents with fewer are done.  A hit is aligned word by word in both directions, with
 wrong, mistyped or missing words skipped; a case counts if some run of item words is long enough and has few enough skipped.
+That walk takes the first place where the words go on.  Where it finds no case though there are hits enough, the best chain over all
+places of the item's words near the hits is found by dynamic programming, so a jump to a wrong place loses nothing.
 
 The items are the stated query set.  They are read once, in blocks of a bounded size (one automaton each), and every block meets all
 documents; the corpus is never shuffled or gathered.
@@ -15,6 +17,7 @@ are cases each; an item that stands in a document several times is one case, wit
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -191,6 +194,99 @@ def longest(there: list[bool], least: int) -> tuple[int, int] | None:
     return None
 
 
+Line = list[tuple[int, int, int]]  # (word, start, end) in order
+
+
+def run_of(line: Line, least: int) -> tuple[int, int, int] | None:
+    """``(words, start, end)`` of the longest run of a line that counts, or None."""
+    if len(line) * WRONG_SHARE < least * (WRONG_SHARE - 1):
+        return None
+    low = line[0][0]
+    there = [False] * (line[-1][0] - low + 1)
+    place = {}
+    for j, a, b in line:
+        there[j - low] = True
+        place[j - low] = a, b
+    run = longest(there, least)
+    return (run[1] - run[0], place[run[0]][0], place[run[1] - 1][1]) if run else None
+
+
+def best_chain(item: Item, text: str, low: int, high: int) -> Line:
+    """The chain with the most words over all their places in a part of a text.
+
+    A word follows the one before it at once, or after a jump over at most an eighth of the item's words if a probe of the next words
+    fits there and the gap is no longer than the words left out may be; these are then looked for in the gap.
+    """
+    words, ends, n = item.words, item.ends, len(item.words)
+    ahead = max(LOOKAHEAD, n // WRONG_SHARE)
+    best: list[dict[int, tuple[int, int, int]]] = []  # by word: start -> (length of the chain, word before, its start)
+    jumps: list[list[tuple[int, int]]] = []  # by word: (end, start) of the chains that can be jumped from
+    for j, w in enumerate(words):
+        own: dict[int, tuple[int, int, int]] = {}
+        probe, at = item.ahead[j], text.find(w, low, high)
+        while at >= 0:
+            top = (1, -1, -1)
+            if j:
+                before = best[j - 1].get(at - len(words[j - 1]))
+                if before:
+                    top = max(top, (before[0] + 1, j - 1, at - len(words[j - 1])))
+            if len(probe) >= 3 and text.startswith(probe, at):
+                for s in range(1, min(ahead, j - 1) + 1):
+                    i = j - s - 1
+                    room = ends[j - 1] - ends[i] + s * item.slack
+                    for stop, start in jumps[i]:
+                        if 0 <= at - stop <= room and best[i][start][0] + 1 > top[0]:
+                            top = best[i][start][0] + 1, i, start
+            own[at] = top
+            at = text.find(w, at + 1, high)
+        best.append(own)
+        jumps.append([(p + len(w), p) for p in own])
+    ends_at = [(v[0], j, p) for j, own in enumerate(best) for p, v in own.items()]
+    if not ends_at:
+        return []
+    _, j, p = max(ends_at)
+    line: Line = []
+    while j >= 0:
+        line.append((j, p, p + len(words[j])))
+        _, j, p = best[j][p]
+    line.reverse()
+    whole: Line = []
+    for k, a, b in line:
+        if whole and k > whole[-1][0] + 1:
+            at = whole[-1][2]
+            for i in range(whole[-1][0] + 1, k):
+                r = text.find(words[i], at, a)
+                if r >= 0:
+                    at = r + len(words[i])
+                    whole.append((i, r, at))
+        whole.append((k, a, b))
+    return whole
+
+
+def in_order(patterns: list[int]) -> int:
+    """How many different patterns stand in the item's order: the longest rising subsequence."""
+    tops: list[int] = []
+    for i in patterns:
+        k = bisect.bisect_left(tops, i)
+        tops[k : k + 1] = [i]
+    return len(tops)
+
+
+def chained_runs(item: Item, text: str, hits: list[tuple[int, int]], least: int) -> tuple[int, int, int] | None:
+    """The longest run that counts in any part of the text with hits enough; parts are twice as long as the item can stretch."""
+    reach = item.ends[-1] + (len(item.words) // WRONG_SHARE + 1) * (item.slack + 8)
+    hits, found, k = sorted(hits), None, 0
+    while k < len(hits):
+        first = hits[k][0]
+        own = [i for p, i in hits[k:] if p <= first + 2 * reach]
+        if in_order(own) >= item.hits:
+            run = run_of(best_chain(item, text, max(0, first - reach), first + 3 * reach) or [(0, 0, 0)], least)
+            found = max(filter(None, (found, run)), default=None)
+        while k < len(hits) and hits[k][0] <= first + reach:
+            k += 1
+    return found
+
+
 def cases(text: str, items: list[Item], automaton) -> Iterator[tuple[int, int, int, int]]:
     """``(item index, words, start, end)`` of each item that leaks into a text; positions are those of ``flat(text)``."""
     plain = flat(text)
@@ -198,9 +294,8 @@ def cases(text: str, items: list[Item], automaton) -> Iterator[tuple[int, int, i
     for last, (length, places) in automaton.iter(plain):
         for k, i in places:
             by_item.setdefault(k, []).append((last + 1 - length, i))
-    found: dict[int, tuple[int, int, int]] = {}
     for k, hits in by_item.items():
-        item = items[k]
+        item, found = items[k], None
         if len(hits) < item.hits or len({i for _, i in hits}) < item.hits:
             continue  # fewer than any stretch that counts must have
         words, least, seen = item.words, max(1, -(-len(item.words) // LEAST_SHARE)), set()
@@ -213,19 +308,12 @@ def cases(text: str, items: list[Item], automaton) -> Iterator[tuple[int, int, i
                 at += len(words[j])
             line = aligned(item, plain, i - 1, start, False)[::-1] + here + aligned(item, plain, i + item.run, at, True)
             seen.update((j, a) for j, a, _ in line)
-            if len(line) * WRONG_SHARE < least * (WRONG_SHARE - 1):
-                continue
-            low = line[0][0]
-            there = [False] * (line[-1][0] - low + 1)
-            place = {}
-            for j, a, b in line:
-                there[j - low] = True
-                place[j - low] = a, b
-            run = longest(there, least)
-            if run and (k not in found or run[1] - run[0] > found[k][0]):
-                found[k] = run[1] - run[0], place[run[0]][0], place[run[1] - 1][1]
-    for k, (n, a, b) in found.items():
-        yield k, n, a, b
+            run = run_of(line, least)
+            if run and (found is None or run[0] > found[0]):
+                found = run
+        found = found or chained_runs(item, plain, hits, least)
+        if found:
+            yield k, *found
 
 
 @lru_cache(maxsize=4)

@@ -7,7 +7,7 @@ are merged, the fullest windows of one on the emptiest of the other.  Windows co
 the least possible and rises while any window is over capacity.
 
 Defined results: null and empty texts are items of length 0 and go into a container like any other; repeated ids are separate
-items; an empty table has no containers.
+items, and no two containers have one id; an empty table has no containers.  An item's ``start`` is its first token in its text.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from vellum.session import written
 
 CAPACITY = 2_048
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BLOCK_ITEMS = 2_000
 #: How the vocabulary's tokenizer cuts text before merging (fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -41,7 +40,7 @@ def tokenizer(vocabulary: str):
     return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def measured(docs: DataFrame, doc_key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+def measured(docs: DataFrame, vocabulary: str, doc_key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc, n_tokens)`` of whole texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,28 +98,32 @@ def packed_block(sizes: list[int], capacity: int) -> list[list[int]]:
     return windows
 
 
-def packed(docs: DataFrame, doc_key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """One row per container: its id, tokens, number of items, and the items ``(doc, piece, n_tokens)``."""
+def packed(docs: DataFrame, vocabulary: str, doc_key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """One row per container: its id, tokens, number of items, and the items ``(doc, piece, start, n_tokens)``.
+
+    ``vocabulary`` is the path of the tokenizer's rank file, as executors see it.
+    """
     kind = docs.schema[doc_key].dataType.simpleString()
-    sizes = written(measured(docs, doc_key, text, vocabulary), "token-counts")
+    sizes = written(measured(docs, vocabulary, doc_key, text).withColumn("row", F.monotonically_increasing_id()), "token-counts")
     pieces = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / capacity)).cast("int")
-    items = sizes.select("doc", "n_tokens", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece")).select("doc", "piece", F.least(F.lit(capacity), F.col("n_tokens") - F.col("piece").cast("bigint") * capacity).alias("n_tokens"))
-    item = F.struct("doc", "piece", "n_tokens")
-    full = items.where(F.col("n_tokens") == capacity).select(F.concat_ws("-", F.lit("full"), "doc", "piece").alias("container_id"), "n_tokens", F.lit(1).alias("n_items"), F.array(item).alias("items"))
-    blocks = max(1, -(-sizes.where(F.col("n_tokens") % capacity != 0).count() // block_items))
-    schema = f"container_id string, n_tokens bigint, n_items int, items array<struct<doc:{kind},piece:int,n_tokens:bigint>>"
+    items = sizes.select("doc", "row", "n_tokens", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece")).withColumn("start", F.col("piece").cast("bigint") * capacity)
+    items = items.select("doc", "row", "piece", "start", F.least(F.lit(capacity), F.col("n_tokens") - F.col("start")).alias("n_tokens"))
+    names = ("doc", "piece", "start", "n_tokens")
+    full = items.where(F.col("n_tokens") == capacity).select(F.concat_ws("-", F.lit("full"), "row", "piece").alias("container_id"), "n_tokens", F.lit(1).alias("n_items"), F.array(F.struct(*names)).alias("items"))
+    blocks = max(1, -(-sizes.where((F.col("n_tokens") % capacity != 0) | (F.col("n_tokens") == 0)).count() // block_items))
+    schema = f"container_id string, n_tokens bigint, n_items int, items array<struct<doc:{kind},piece:int,start:bigint,n_tokens:bigint>>"
 
     def fill(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc", "piece", "n_tokens"])
-        rows = list(zip(frame["doc"].tolist(), frame["piece"].tolist(), frame["n_tokens"].tolist()))
+        frame = frame.sort_values(["row", "piece"])
+        rows = list(zip(*[frame[c].tolist() for c in names]))
         block = int(frame["block"].iloc[0])
         out = []
-        for k, w in enumerate(packed_block([r[2] for r in rows], capacity)):
-            own = [dict(zip(("doc", "piece", "n_tokens"), rows[i])) for i in sorted(w)]
+        for k, w in enumerate(packed_block([r[-1] for r in rows], capacity)):
+            own = [dict(zip(names, rows[i])) for i in sorted(w)]
             out.append((f"{block}-{k}", sum(x["n_tokens"] for x in own), len(own), own))
         return pd.DataFrame(out, columns=["container_id", "n_tokens", "n_items", "items"])
 
-    rest = items.where(F.col("n_tokens") < capacity).withColumn("block", F.pmod(F.xxhash64("doc", "piece"), F.lit(blocks)))
+    rest = items.where(F.col("n_tokens") < capacity).withColumn("block", F.pmod(F.xxhash64("row", "piece"), F.lit(blocks)))
     # blocks cost CPU, not bytes: a partition each, up to some thousands, so that they are not merged for their size
     tasks = blocks if blocks <= 2_000 else -(-blocks // 4)
     return rest.repartition(tasks, "block").groupBy("block").applyInPandas(fill, schema).unionByName(full)

@@ -1,8 +1,9 @@
 """Sentence units of texts in many languages: cascading tables of ordered break and no-break rules.
 
-A rule is a pair of patterns, for what stands before and what follows a position.  Tables are tried in order - quotations, the
-document's own language, the other languages, the default - and the first rule that fits decides the position.  Documents mix
-languages and their ``lang`` is partly wrong, so the label only decides which table comes first.
+A rule is a pair of patterns, for what stands before and what follows a position.  Tables are tried in order - quotations, what
+goes on, the document's own language, the other languages, the default - and the first rule that fits decides the position.
+Documents mix languages and their ``lang`` is partly wrong, so the label only decides which table comes first.  Behind a quotation
+that ends with a mark, what stands before is the text in front of its opening mark.
 
 Positions that are tried: after a mark that can end a sentence, with its closing marks; a blank between two Thai letters.
 Blank lines and list markers at the start of a line always separate.  Positions inside a quotation or brackets never do.
@@ -24,8 +25,6 @@ from pyspark.sql import functions as F
 
 #: How far a rule looks back and ahead, in characters.
 BACK, AHEAD = 24, 24
-#: The longest quotation or bracket that is kept together.
-SPAN = 400
 
 # Abbreviations.  ``always`` never end a sentence; ``number`` do not before a number.
 ALWAYS = {
@@ -62,6 +61,9 @@ def language_table(lang: str) -> list[Rule]:
     ]
 
 
+#: Text without a small letter, for as far as it is looked at; the quotation itself is checked for one beforehand.
+CAPITALS = r"(?:\A|[^\p{Ll}])[^\p{Ll}]{0,19}"
+
 TABLES: dict[str, list[Rule]] = {
     # what follows shows that the sentence goes on
     "goes_on": [
@@ -88,9 +90,26 @@ TABLES: dict[str, list[Rule]] = {
         Rule(False, r"\s\.\.\.", r"\s+\p{Lu}{2}"),
         Rule(False, r"(?<!\p{L})(?:ETC|CO|INC|BROS|CORP|LTD|JUN|A\.M|P\.M|IN|FT|FF|USW|CIE|MIN|Ä|\.\.)\.", rf"\s+(?:{GOES_ON})(?!\p{{L}})"),
     ],
-    "default": [
+    # scripts without spaces between sentences
+    "ja": [
         Rule(True, r"[。！？｡][」』”’»）)\"]*", r""),
         Rule(True, r"[!?]", r"[\p{Han}\p{Hiragana}\p{Katakana}]"),
+    ],
+    "zh": [
+        Rule(True, r"[。！？｡][」』”’»）)\"]*", r""),
+        Rule(True, r"[!?]", r"\p{Han}"),
+    ],
+    # with a blank in between
+    "th": [Rule(True, r"\p{Thai}", r"\p{Thai}")],
+    # behind a quotation: a word or a mark that goes on, a quotation that a colon sets off, a script without case, a text of capitals only
+    "quotation": [
+        Rule(False, r"", r"\s*(?:\p{Ll}|[,;，、；]|[とをがはの])"),
+        Rule(True, r"[:：]\s*", r"(?!\s*[:：])"),
+        Rule(False, r"", r"\s*\p{Lo}"),
+        Rule(False, CAPITALS, r"[^\p{Ll}]{20}|[^\p{Ll}]*\Z"),
+        Rule(True, r"", r"\s*[\p{Lu}\d„«\"“¿¡(]"),
+    ],
+    "default": [
         Rule(True, r"(?:\p{Ll}{2}|\d[a-z]?|[)%°\"”“»])[.!?][\"”“»]?|[!?][\"”“»]?", r"[\"„«“¿¡]{0,2}\p{Lu}(?:\p{Ll}|\s|['’])"),
         Rule(True, r"[.!?…।॥][\"”“»’)\]）」』]*|[.!?…।॥]\s*»", r"\s"),
         Rule(True, r"[।॥]", r""),
@@ -102,10 +121,12 @@ MARK = regex.compile(r"[.!?…。！？｡।॥]+")
 BLANK_LINE = regex.compile(r"(?:\r?\n| )(?:[^\S\n]*(?:\r?\n| ))+")
 #: A list marker at the start of a line, with the text behind it.
 MARKER = regex.compile(r"(?m)^[^\S\n]*(?:[•‣◦▪●·*–—-]|\(?\d{1,3}[.)）]|[（(][\p{L}\d]{1,4}[)）]|\p{L}\)|[①-⑳])(?=[^\S\n]+\S|(?<=[）①-⑳・])\S)")
-THAI_GAP = regex.compile(r"(?<=\p{Thai})\s+(?=\p{Thai})")
-QUOTED = regex.compile(rf'„[^„“”]{{0,{SPAN}}}[“”]|“[^“”]{{0,{SPAN}}}”|«[^«»]{{0,{SPAN}}}»|「[^「」]{{0,{SPAN}}}」|『[^『』]{{0,{SPAN}}}』|"[^"]{{0,{SPAN}}}"|\'\'[^\']{{0,{SPAN}}}\'\'|\([^()]{{0,{SPAN}}}\)|（[^（）]{{0,{SPAN}}}）')
+THAI_GAP = regex.compile(rf"(?<={TABLES['th'][0].before})\s+(?={TABLES['th'][0].after})")
+#: Opening marks with what closes them, and marks that open and close alike (fixed values).
+PAIRS = {"„": "“”", "“": "”", "«": "»", "「": "」", "『": "』", "(": ")", "（": "）"}
+ALIKE = ('"', "''")
+QUOTE = regex.compile("|".join(map(regex.escape, (*PAIRS, *{c for closers in PAIRS.values() for c in closers} - set(PAIRS), *ALIKE))))
 CLOSERS = "\"”“»」』)]）’"
-COLON_BEFORE = regex.compile(r"[:：]\s*$")
 
 
 Compiled = list[tuple[bool, regex.Pattern, regex.Pattern]]
@@ -123,10 +144,11 @@ def cascade(lang: str) -> tuple[Compiled, regex.Pattern, Compiled, Compiled]:
     The middle tables are tried only where the text before could matter to any of them, which one pattern tells.
     """
     own = [lang] if lang in LANGUAGES else []
+    unspaced = [*TABLES["zh"], *TABLES["ja"]] if lang == "zh" else [*TABLES["ja"], *TABLES["zh"]]
     middle = [*TABLES["de_first"], *TABLES["es_first"], *(r for x in own + [x for x in LANGUAGES if x not in own] for r in language_table(x)), *TABLES["initials"], *TABLES["capitals"]]
     compiled = lambda rules: [(r.breaks, regex.compile(ending(r.before)), regex.compile(r.after)) for r in rules]
     any_of = "|".join(f"(?i:{r.before[4:]})" if r.before.startswith("(?i)") else f"(?:{r.before})" for r in middle)
-    return compiled(TABLES["goes_on"]), regex.compile(f"(?r)(?:{any_of})\\Z"), compiled(middle), compiled(TABLES["default"])
+    return compiled(TABLES["goes_on"]), regex.compile(f"(?r)(?:{any_of})\\Z"), compiled(middle), compiled(unspaced + TABLES["default"])
 
 
 def is_break(before: str, after: str, tables: tuple[Compiled, regex.Pattern, Compiled, Compiled]) -> bool:
@@ -159,9 +181,31 @@ def list_starts(text: str) -> list[int]:
 
 
 def quotations(text: str) -> tuple[list[int], list[int]]:
-    """First and last position of each quotation and bracket, none inside another."""
-    spans = [(m.start(), m.end() - 1) for m in QUOTED.finditer(text)]
-    return [a for a, _ in spans], [b for _, b in spans]
+    """First and last position of each quotation and bracket, none inside another, however long; a mark without its partner is none.
+
+    One walk over the marks: an opening mark of the same kind starts anew, as the one before it was left open; marks that open and close
+    alike are paired in turn.
+    """
+    spans: list[tuple[int, int]] = []
+    open_at: dict[str, int] = {}
+    for m in QUOTE.finditer(text):
+        mark, at = m.group(), m.start()
+        if mark in ALIKE:
+            if mark in open_at:
+                spans.append((open_at.pop(mark), m.end() - 1))
+            else:
+                open_at[mark] = at
+            continue
+        opened = max((o for o in open_at if o in PAIRS and mark in PAIRS[o]), key=open_at.get, default=None)
+        if opened is not None:
+            spans.append((open_at.pop(opened), at))
+        elif mark in PAIRS:
+            open_at[mark] = at
+    outer: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if not outer or a > outer[-1][1]:
+            outer.append((a, b))
+    return [a for a, _ in outer], [b for _, b in outer]
 
 
 def paragraph_breaks(text: str, lang: str) -> list[int]:
@@ -169,46 +213,49 @@ def paragraph_breaks(text: str, lang: str) -> list[int]:
     rules = cascade(lang)
     cuts = set(list_starts(text)) | {m.end() for m in THAI_GAP.finditer(text)}
     starts, ends = quotations(text)
-    close = dict(zip(ends, starts))
+    opening = set(starts)
     marker_ends = {m.end() for m in MARKER.finditer(text)}
     for m in MARK.finditer(text):
         at = m.end()
         k = bisect.bisect_right(starts, m.start()) - 1
         quote = None
         if k >= 0 and starts[k] < m.start() <= ends[k]:
-            rest = text[at : ends[k]]
-            if rest.strip().strip("'"):
+            if text[at : ends[k]].strip().strip("'"):
                 continue  # inside a quotation or bracket
             quote, at = starts[k], ends[k] + 1
-        while at < len(text) and text[at] in CLOSERS and at not in close.values():
+        while at < len(text) and text[at] in CLOSERS and at not in opening:
             at += 1
         if at in marker_ends or at >= len(text):
             continue
-        before, after = text[max(0, at - BACK) : at], text[at : at + AHEAD]
+        after = text[at : at + AHEAD]
+        decided = None
         if quote is not None and text[quote] not in "(（":
-            if goes_on_after_quote(text, quote, at):
-                continue
-            if regex.match(r"\s*[,;:，、；：]", after) is None and (COLON_BEFORE.search(text, max(0, quote - 8), quote) or regex.match(r"\s*[\p{Lu}\d„«\"“¿¡(]", after)):
-                cuts.add(at)
-                continue
-        if is_break(before, after, rules):
+            decided = behind_quotation(text, quote, at, after)
+        if is_break(text[max(0, at - BACK) : at], after, rules) if decided is None else decided:
             cuts.add(at)
     return sorted(cuts)
 
 
-def goes_on_after_quote(text: str, start: int, at: int) -> bool:
-    """Whether a sentence that holds a quotation goes on behind it."""
-    after = text[at : at + AHEAD]
-    if regex.match(r"\s*(?:\p{Ll}|[,;，、；]|[とをがはの])", after):
-        return True
-    if COLON_BEFORE.search(text, max(0, start - 8), start):
-        return False
-    if regex.match(r"\s*\p{Lo}", after):
-        return True  # scripts without case: only a colon sets a quotation off
-    around = regex.findall(r"\p{L}", text[max(0, start - 20) : at + 20])
+def behind_quotation(text: str, start: int, at: int, after: str) -> bool | None:
+    """What the first rule of the quotations' table decides behind one that starts and ends here; None if none fits."""
+    before = text[max(0, start - BACK) : start]
+    for breaks, head, tail, capitals in quotation_table():
+        if tail.match(after) and head.search(before) and not (capitals and not in_capitals(text, start, at)):
+            return breaks
+    return None
+
+
+def in_capitals(text: str, start: int, at: int) -> bool:
+    """Whether a quotation with what stands around it has letters and no small one."""
+    around = [c for c in text[max(0, start - 20) : at + 20] if c.isalpha()]
     return bool(around) and not any(c.islower() for c in around)
 
 
+@lru_cache(maxsize=1)
+def quotation_table() -> list[tuple[bool, regex.Pattern, regex.Pattern, bool]]:
+    return [(r.breaks, regex.compile(ending(r.before)), regex.compile(r.after), r.before == CAPITALS) for r in TABLES["quotation"]]
+
+
 def units(text: str | None, lang: str | None = None) -> list[tuple[int, int]]:
     """Start and end of each sentence unit, in order, without outer white space."""
     out: list[tuple[int, int]] = []

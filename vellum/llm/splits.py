@@ -6,9 +6,11 @@ records goes first, its groups by size, each into the split that needs that labe
 
 Groups of a thousandth of all records or more, at most a thousand by that bound, are placed first, on the driver.  The rest is
 placed in buckets of bounded expected size, each against its share of what the large groups left to fill, so no task holds
-all groups.  More than ``MAX_LABELS`` labels are folded by hash.
+all groups.  A bucket holds groups with the same rarest label: the groups of a label that is rare everywhere meet in one task and
+get that label's shares exactly, instead of one group per task, which would always go to the largest split.
 
-Defined results: a null entity is a group of its own named by null; null labels count as a label; an empty table stays empty.
+Defined results: a null entity is a group of its own named by null; null labels count as a label; an empty table stays empty; more
+than ``most_labels`` different labels raise.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from vellum.operators.components import components
 from vellum.session import written
 
 SPLITS, SHARES = ("train", "validation", "test"), (0.8, 0.1, 0.1)
-MAX_LABELS = 256
+MOST_LABELS = 4_096
 BUCKET_GROUPS = 5_000
 LARGE = 1_000
 
@@ -60,17 +62,20 @@ def place(groups: list[tuple[object, dict[str, int]]], desired: list[dict[str, f
     return placed
 
 
-def group_splits(rows: DataFrame, label: str, shares: tuple[float, ...] = SHARES, names: tuple[str, ...] = SPLITS, bucket_groups: int = BUCKET_GROUPS, large: int = LARGE) -> DataFrame:
+def group_splits(rows: DataFrame, label: str, shares: tuple[float, ...] = SHARES, names: tuple[str, ...] = SPLITS, bucket_groups: int = BUCKET_GROUPS, large: int = LARGE, most_labels: int = MOST_LABELS) -> DataFrame:
     """``(group_key, split)`` for rows with a ``group_key``."""
-    many = rows.select(F.approx_count_distinct(label)).first()[0] > MAX_LABELS
     text = F.coalesce(F.col(label).cast("string"), F.lit("\0null"))
-    folded = F.pmod(F.xxhash64(text), F.lit(MAX_LABELS)).cast("string") if many else text
-    cells = rows.groupBy("group_key", folded.alias("label")).agg(F.count("*").alias("n"))
-    groups = written(cells.groupBy("group_key").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("counts"), F.sum("n").alias("n")), "split-vectors")
-    total_groups, total = groups.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    totals = {r[0]: r[1] for r in groups.select(F.explode("counts").alias("label", "n")).groupBy("label").agg(F.sum("n")).collect()}  # at most MAX_LABELS and a few rows
+    cells = written(rows.groupBy("group_key", text.alias("label")).agg(F.count("*").alias("n")), "split-cells")
+    sums = cells.groupBy("label").agg(F.sum("n").alias("in_all")).limit(most_labels + 1).collect()  # a checked number of rows
+    if len(sums) > most_labels:
+        raise ValueError(f"more than {most_labels} different labels")
+    totals = {r["label"]: r["in_all"] for r in sums}
+    rarity = rows.sparkSession.createDataFrame(list(totals.items()), "label string, in_all bigint")
+    vectors = cells.join(F.broadcast(rarity), "label").groupBy("group_key").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("counts"), F.sum("n").alias("n"), F.min(F.struct("in_all", "label"))["label"].alias("rarest"))
+    groups = written(vectors, "split-vectors")
+    total = sum(totals.values())
     bound = max(1, total // large)
-    big = [(r["group_key"], dict(r["counts"])) for r in groups.where(F.col("n") > bound).select("group_key", "counts").orderBy(F.desc("n"), "group_key").collect()]  # fewer than ``large`` rows
+    big = [(r["group_key"], dict(r["counts"])) for r in groups.where(F.col("n") > bound).select("group_key", "counts", "n").orderBy(F.desc("n"), "group_key").collect()]  # fewer than ``large`` rows
     desired = [{x: w * n for x, n in totals.items()} for w in shares]
     room = [w * total for w in shares]
     fixed = place(big, desired, room)
@@ -91,8 +96,10 @@ def group_splits(rows: DataFrame, label: str, shares: tuple[float, ...] = SHARES
         found = place(own, [{x: shares_left[x][i] * m for x, m in sums.items()} for i in range(len(names))], [w * n for w in room_left])
         return pd.DataFrame([(k, names[s]) for k, s in found.items()], columns=["group_key", "split"])
 
-    buckets = max(1, -(-total_groups // bucket_groups))
-    rest = groups.where(F.col("n") <= bound).groupBy(F.pmod(F.xxhash64("group_key"), F.lit(buckets)).alias("bucket")).applyInPandas(bucket, schema)
+    small = groups.where(F.col("n") <= bound)
+    many = small.groupBy("rarest").agg(F.ceil(F.count("*") / bucket_groups).alias("buckets"))  # a row per label
+    rest = small.join(F.broadcast(many), "rarest").withColumn("bucket", F.pmod(F.xxhash64("group_key"), F.col("buckets")))
+    rest = rest.groupBy("rarest", "bucket").applyInPandas(bucket, schema)
     return rest.unionByName(rows.sparkSession.createDataFrame([(k, names[s]) for k, s in fixed.items()], schema))
 
 
