@@ -66,6 +66,26 @@ def test_components_by_either_way(spark, one_task):
     assert components(spark.createDataFrame([], "src string, dst string"), one_task=one_task).count() == 0
 
 
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi"])
+def test_salted_joins_give_what_plain_ones_give(spark, how):
+    rng = random.Random(6)
+    rows = spark.createDataFrame([(k, rng.choice(["hot"] * 5 + [None, "x", "y"]) if k % 2 else f"k{k}", [rng.randrange(2)]) for k in range(3_000)], "n int, k string, a array<int>")
+    keyed = spark.createDataFrame([("hot", [0], 1), ("hot", [1], 2), ("x", [0], 3), ("k4", [1], 4), (None, [1], 5)], "k string, a array<int>, v int")
+    rows = rows.withColumns({"m": F.create_map(F.lit("x"), F.col("n")), "odd.name": F.lit(1)})
+    hot = rel.hot_keys(rows, ["k", "a"])
+    assert {(r["k"], r["a"][0]) for r in hot.collect()} >= {("hot", 0), ("hot", 1)} and hot.count() < rel.HOT_SHARE
+    got, want = rel.salted_join(rows, keyed, ["k", "a"], hot, how), rows.join(keyed, ["k", "a"], how)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        spread = rel.salted_join(rows, keyed, ["k", "a"], hot, how).where("k = 'hot' and a[0] = 0").select(F.spark_partition_id()).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert spread > 1
+
+
 def test_nearest_and_chamfer_against_brute_force(spark):
     rng = np.random.default_rng(4)
     a, b = rng.uniform(0, 100, (40, 2)), rng.uniform(0, 100, (30, 2))

@@ -72,6 +72,7 @@ RULES: dict[str, list[Rule]] = {
 #: Transitions of arrays: the state if all elements that are not null have one of these states.  Numbers alone go by their count.
 ARRAYS: list[tuple[str, frozenset[str]]] = [("pairs", PAIR), ("leaders", frozenset({"targeted", "segment", "ray"}))]
 COUNTED = {2: "pair", 4: "quad"}
+PLAIN = {int, float}
 #: Which field of which record nests which kind of child.
 NESTED = {"primitives": "points", "annotations": "leader_lines"}
 OTHER = "other"
@@ -188,7 +189,7 @@ def classified(kind: str, record: object, pos: int, out: list[Record]) -> str:
             states[k] = state_of(v, k)
             continue
         own = elements(below, v)
-        found = [state_of(x, below) for x in own]
+        found = ["pair" if is_numbers(x, 2) else state_of(x, below) for x in own]
         states[k] = array_state(found) if own or isinstance(v, list) else state_of(v, k)
         tables = SUBTYPES[below]
         out.extend((below, pos, i, s if s in tables else OTHER, x) for i, (s, x) in enumerate(zip(found, own)) if x is not None)
@@ -207,18 +208,8 @@ def records(document: dict) -> Iterator[Record]:
             yield kind, -1, pos, variant, record
 
 
-def number_at(record: object, path: str) -> float | None:
-    """A finite number of a record: a field, a field of a nested object (``a.b``), or a place in an array of numbers (``a_0``)."""
-    if isinstance(record, list):
-        value = record["xy".index(path)]
-    elif path in record:
-        value = record[path]
-    elif "." in path:
-        a, b = path.split(".")
-        value = record[a].get(b) if isinstance(record.get(a), dict) else None
-    else:
-        array = record.get(path[:-2]) if path[-2:-1] == "_" else None
-        value = array[int(path[-1])] if isinstance(array, list) and len(array) in COUNTED and int(path[-1]) < len(array) and array_state([state_of(x) for x in array]) != "list" else None
+def finite(value: object) -> float | None:
+    """A finite number, or a text of one; None for anything else."""
     if value is None or isinstance(value, (bool, list, dict)):
         return None
     try:
@@ -228,6 +219,39 @@ def number_at(record: object, path: str) -> float | None:
     return x if math.isfinite(x) else None
 
 
+def is_numbers(value: object, n: int) -> bool:
+    """Whether a value is an array of so many numbers."""
+    return type(value) is list and len(value) == n and all(type(x) in PLAIN for x in value)
+
+
+def number_at(record: dict, path: str) -> float | None:
+    """A finite number of a record: a field, a field of a nested object (``a.b``), or a place in an array of numbers (``a_0``)."""
+    if path in record:
+        return finite(record[path])
+    if "." in path:
+        a, b = path.split(".")
+        return finite(record[a].get(b)) if isinstance(record.get(a), dict) else None
+    array = record.get(path[:-2]) if path[-2:-1] == "_" else None
+    good = type(array) is list and len(array) in COUNTED and is_numbers(array, len(array)) and int(path[-1]) < len(array)
+    return finite(array[int(path[-1])]) if good else None
+
+
+def typed_columns(values: list, paths: list[str]) -> dict[str, pa.Array]:
+    """Columns of numbers out of records of one variant; the places of an array are taken together."""
+    if paths == ["x", "y"]:
+        return {c: pa.array([finite(v[i]) for v in values], pa.float64()) for i, c in enumerate(paths)}
+    out = {}
+    for path in paths:
+        if path[-2:] == "_0":
+            base = path[:-2]
+            n = sum(p[:-2] == base and p[-2] == "_" for p in paths)
+            arrays = [a if isinstance(v, dict) and is_numbers(a := v.get(base), n) else None for v in values]
+            out |= {f"{base}_{i}": pa.array([finite(a[i]) if a else None for a in arrays], pa.float64()) for i in range(n)}
+        elif path not in out:
+            out[column(path)] = pa.array([number_at(v, path) if isinstance(v, dict) else None for v in values], pa.float64())
+    return out
+
+
 def text_at(record: object, path: str) -> str | None:
     a, _, b = path.partition(".")
     value = record.get(a) if isinstance(record, dict) else None
@@ -259,7 +283,7 @@ def shred(docs: DataFrame, doc_key: str = "doc_no", payload: str = "payload", ki
         n = len(rows)
         columns = {"doc": pa.array(docs, pa.int64()), "child": pa.repeat(child, n), "variant": pa.repeat(variant, n), "parent_pos": pa.array(parents, pa.int32()), "pos": pa.array(places, pa.int32())}
         if fields:
-            columns |= {column(c): pa.array([number_at(v, c) if isinstance(v, (dict, list)) else None for v in values], pa.float64()) for c in SUBTYPES[child][variant]}
+            columns |= typed_columns(values, SUBTYPES[child][variant])
             columns |= {column(c): pa.array([text_at(v, c) for v in values], pa.string()) for c in WORDS[child]}
             if variant == OTHER:
                 columns["raw"] = pa.array([json.dumps(v, ensure_ascii=False) for v in values], pa.string())
@@ -328,7 +352,7 @@ def chains(docs: DataFrame, doc_key: str = "doc_no", payload: str = "payload") -
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 document = read_document(text)
                 for pos, record in enumerate(elements("primitives", document.get("primitives")) if document else ()):
-                    own = [(i, number_at(p, "x"), number_at(p, "y")) for i, p in enumerate(elements("points", record.get("points"))) if state_of(p) == "pair"] if isinstance(record, dict) else []
+                    own = [(i, finite(p[0]), finite(p[1])) for i, p in enumerate(elements("points", record.get("points"))) if is_numbers(p, 2)] if isinstance(record, dict) else []
                     own = [p for p in own if p[1] is not None and p[2] is not None]
                     if not own:
                         continue

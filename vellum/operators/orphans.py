@@ -20,12 +20,13 @@ repeated references are references each.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions.keys import last_part, plain_patent, run_path, utc_month
+from vellum.operators.relational import hot_keys, salted_join
 from vellum.session import table, written
 
 KEY = ["space", "key"]
@@ -68,7 +69,7 @@ def probed(refs: DataFrame, index: DataFrame) -> DataFrame:
         .when(F.col("first_live") > F.col("ref_at"), "late")
         .otherwise("resolved")
     )
-    return refs.join(keys, KEY, "left").select(*refs.columns, state.alias("ref_state"))
+    return salted_join(refs, keys, KEY, hot_keys(refs, KEY)).select(*refs.columns, state.alias("ref_state"))
 
 
 def union(parts: tuple[DataFrame, ...] | list[DataFrame]) -> DataFrame:
@@ -76,8 +77,9 @@ def union(parts: tuple[DataFrame, ...] | list[DataFrame]) -> DataFrame:
 
 
 def of_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows with one of the distinct keys; the keys are written, so they are counted at no cost."""
-    return rows.join(F.broadcast(keys) if keys.count() <= FEW_KEYS else keys, KEY, "left_semi")
+    """Rows with one of the keys; the keys are a written table, so they are counted at no cost."""
+    own = keys.select(*KEY)
+    return rows.join(F.broadcast(own) if keys.count() <= FEW_KEYS else own, KEY, "left_semi")
 
 
 @dataclass
@@ -90,22 +92,23 @@ class OrphanState:
     batches: int = 0
 
     def advance(self, new_refs: DataFrame, events: DataFrame) -> OrphanState:
-        """Take in one batch: arriving parents resolve waiting orphans, deletions reopen resolved references."""
+        """Take in one batch: arriving parents resolve waiting orphans, deletions reopen resolved references.
+
+        ``new_refs`` is read twice and must give its rows in the same partitions, as a written table does.
+        """
         number = self.batches + 1
         delta = written(merged(events), "orphan-index")
         index = (*self.index, delta)
         asked = new_refs.select(*REFERENCE).withColumns({"batch": F.lit(number), "n": F.monotonically_increasing_id(), "before": F.lit(None).cast("string")})
         if self.refs:
-            touched = written(delta.select(*KEY).distinct(), "orphan-keys")
-            asked = asked.unionByName(of_keys(self.latest(), touched).withColumnRenamed("ref_state", "before"))
-        asked = written(asked, "orphan-asked")
+            asked = asked.unionByName(of_keys(self.latest, delta).withColumnRenamed("ref_state", "before"))
         keys = written(asked.select(*KEY).distinct(), "orphan-keys")
         found = written(probed(asked, merged(of_keys(union(index), keys))), "orphan-found")
         new = found.where("before is null").drop("before")
         changed = found.where("before <> ref_state").select(*OWN, "ref_state", F.lit(number).alias("at_batch"))
-        changes = (*self.changes, written(changed, "orphan-changes")) if self.refs else self.changes
-        return OrphanState(index, (*self.refs, new), changes, number).folded()
+        return OrphanState(index, (*self.refs, new), (*self.changes, changed) if self.refs else (), number).folded()
 
+    @cached_property
     def latest(self) -> DataFrame:
         """All references with their state now."""
         rows = union(self.refs)
@@ -119,11 +122,11 @@ class OrphanState:
         """The same state with one part of each kind, once there are many."""
         if len(self.index) <= PARTS:
             return self
-        return OrphanState((written(merged(union(self.index)), "orphan-index"),), (written(self.latest(), "orphan-refs"),), (), self.batches)
+        return OrphanState((written(merged(union(self.index)), "orphan-index"),), (written(self.latest, "orphan-refs"),), (), self.batches)
 
     def orphans(self) -> DataFrame:
         """All references that have no target now."""
-        return self.latest().where("ref_state <> 'resolved'").select("ref_table", "ref_field", "load_no", utc_month(F.col("ref_at")).alias("ref_month"), "ref_state")
+        return self.latest.where("ref_state <> 'resolved'").select("ref_table", "ref_field", "load_no", utc_month(F.col("ref_at")).alias("ref_month"), "ref_state")
 
     def snapshot(self) -> DataFrame:
         """Counts per table, field, month and state."""

@@ -105,3 +105,34 @@ def sampled_ids(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """All rows of ``n`` distinct keys, the first in a seeded order."""
     order = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
     return rows.join(rows.select(key).distinct().orderBy(order, key).limit(n), key, "left_semi")
+
+
+#: A key is hot if it holds more than one in so many rows, so there are fewer hot keys than that; salts that its rows are spread over.
+HOT_SHARE, SALTS = 1_000, 32
+
+
+def hot_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys that hold more than a thousandth of all rows: fewer than a thousand, from counts that are combined before the shuffle."""
+    counts = written(rows.groupBy(*keys).agg(F.count("*").alias("_n")), "key-counts")
+    return hot_of(counts, keys, "_n")
+
+
+def hot_of(counts: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """The same from a table of counts."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return counts.where(F.col(n) * HOT_SHARE > total).select(*keys)
+
+
+def salted_join(rows: DataFrame, keyed: DataFrame, keys: list[str], hot: DataFrame, how: str = "left") -> DataFrame:
+    """``rows.join(keyed, keys, how)`` whose hot keys are spread over ``SALTS`` partitions.
+
+    ``keyed`` has a row per key, or few; ``hot`` comes from ``hot_keys`` or ``hot_of``, so it is small enough to be sent to every task.  Salts
+    follow from the rows' contents, so a repeated task deals its rows alike.
+    """
+    small = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    plain = [F.col("`" + c.replace("`", "``") + "`") for c, t in rows.dtypes if "map<" not in t and "variant" not in t]  # what can be hashed
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*plain), F.lit(SALTS))).otherwise(F.lit(0).cast("bigint"))
+    own = rows.join(small, keys, "left").withColumn("_salt", salt).drop("_hot")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))
+    other = keyed.join(small, keys, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return own.join(other, [*keys, "_salt"], how).drop("_salt")

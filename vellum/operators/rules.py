@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -98,3 +98,60 @@ MANIFEST_GATES = [
     Step("coalesce(s3_low_conf_ratio, 0) >= 0.22", "too_many_low_conf_primitives"),
     Step("coalesce(s3_mean_conf, 0) < 0.67", "low_mean_primitive_confidence"),
 ]
+
+
+#: What a page that is kept as a drawing shows after all: charts, tables, diagrams.  Fixed values: conditions and reasons in this order; features that
+#: are missing count as 0, so the chain runs over ``with_zeros``.
+CONTENT = [
+    Step("n_cc <= 110 and long_lines >= 5 and large_cc_frac >= 0.35 and line_hv_ratio >= 0.90 and line_diag_ratio <= 0.04 and skel_median_cc_area >= 28.0", "sparse_hv_block_or_ui"),
+    Step("n_cc between 80 and 220 and long_lines <= 15 and large_cc_frac >= 0.55 and line_hv_ratio >= 0.80 and line_diag_ratio <= 0.06 and skel_tiny_cc_frac <= 0.20 and skel_median_cc_area >= 14.0", "chemistry_formula_grid"),
+    Step("n_cc between 90 and 280 and long_lines <= 12 and large_cc_frac >= 0.55 and skel_median_cc_area >= 10.0 and text_density <= 0.050", "sparse_formula_or_symbol_grid"),
+    Step("n_cc >= 80 and long_lines >= 40 and large_cc_frac >= 0.50 and line_hv_ratio >= 0.84 and line_diag_ratio <= 0.13 and text_density >= 0.015", "orthogonal_block_flow_or_chart"),
+    Step("n_cc <= 130 and long_lines >= 20 and large_cc_frac >= 0.70 and line_hv_ratio >= 0.80 and line_diag_ratio <= 0.20 and skel_median_cc_area <= 18.0 and text_density <= 0.050", "sparse_hv_block_or_network_diagram"),
+    Step("n_cc <= 130 and long_lines >= 60 and large_cc_frac >= 0.80 and line_hv_ratio >= 0.50 and line_diag_ratio <= 0.35 and skel_median_cc_area <= 15.0 and text_density <= 0.050", "sparse_ui_or_device_block_diagram"),
+    Step("n_cc <= 120 and long_lines >= 20 and large_cc_frac >= 0.80 and line_hv_ratio >= 0.60 and line_diag_ratio <= 0.10 and skel_median_cc_area >= 15.0 and text_density <= 0.040", "waveform_or_timing_chart"),
+    Step("n_cc <= 80 and long_lines >= 30 and large_cc_frac >= 0.80 and line_hv_ratio >= 0.60 and line_diag_ratio <= 0.35 and skel_median_cc_area >= 12.0 and text_density <= 0.050", "sparse_flowchart_or_decision_tree"),
+    Step("n_cc between 120 and 260 and long_lines >= 35 and large_cc_frac >= 0.45 and skel_median_cc_area >= 22.0 and line_diag_ratio between 0.14 and 0.65 and text_density <= 0.055", "mixed_flowchart_or_timing_diagram"),
+    Step("n_cc >= 120 and long_lines >= 45 and large_cc_frac >= 0.64 and line_hv_ratio >= 0.60 and line_diag_ratio <= 0.26 and text_density <= 0.055", "moderate_axis_plot_or_grid"),
+    Step("n_cc between 220 and 360 and long_lines >= 25 and large_cc_frac >= 0.58 and line_hv_ratio >= 0.65 and line_diag_ratio <= 0.35 and skel_median_cc_area <= 12.0 and text_density <= 0.055", "flow_schematic_component_pattern"),
+    Step("n_cc >= 300 and long_lines >= 35 and large_cc_frac >= 0.60 and line_hv_ratio >= 0.55 and line_diag_ratio <= 0.30 and skel_median_cc_area <= 10.0 and text_density >= 0.045", "dense_block_network_diagram"),
+    Step("n_cc between 180 and 300 and long_lines >= 50 and large_cc_frac >= 0.70 and line_diag_ratio between 0.25 and 0.45 and skel_median_cc_area >= 25.0 and text_density >= 0.055", "dense_flowchart_text_boxes"),
+    Step("n_cc >= 300 and long_lines >= 50 and line_diag_ratio >= 0.55 and skel_median_cc_area <= 12.0 and text_density <= 0.060", "diagonal_lattice_network_diagram"),
+    Step("text_density >= 0.055 and ((long_lines >= 120 and line_hv_ratio >= 0.75 and line_diag_ratio <= 0.08) or (n_cc >= 150 and large_cc_frac >= 0.75 and line_hv_ratio >= 0.80 and line_diag_ratio <= 0.10))", "dense_hv_chart_or_hatching"),
+    Step("text_density >= 0.080 and long_lines >= 80 and line_diag_ratio <= 0.08", "dense_bar_chart_or_table"),
+    Step("text_density >= 0.070 and n_cc >= 100 and long_lines >= 20", "dense_chart_hatching_or_barplot"),
+    Step("n_cc >= 500 and skel_n_cc >= 500 and skel_tiny_cc_frac >= 0.55 and skel_median_cc_area <= 3.5", "label_heavy_text_or_plot"),
+    Step("n_cc >= 350 and skel_n_cc >= 350 and skel_tiny_cc_frac >= 0.50 and skel_median_cc_area <= 8.0 and long_lines >= 30 and text_density <= 0.065", "legend_heavy_chart_or_plot"),
+    Step("n_cc >= 450 and skel_tiny_cc_frac >= 0.25 and skel_median_cc_area <= 12.0 and text_density <= 0.080", "dense_label_or_plot_page"),
+    Step("n_cc >= 100 and long_lines >= 20 and skel_tiny_cc_frac >= 0.25 and skel_median_cc_area <= 12.0 and text_density <= 0.060 and (line_diag_ratio >= 0.25 or line_hv_ratio >= 0.55)", "axis_or_legend_component_pattern"),
+    Step("n_cc >= 250 and long_lines >= 120 and line_hv_ratio >= 0.75 and line_diag_ratio <= 0.16 and text_density >= 0.055", "dense_hv_axis_table_or_chart"),
+    Step("n_cc between 150 and 300 and long_lines <= 12 and line_hv_ratio >= 0.80 and line_diag_ratio <= 0.05 and skel_tiny_cc_frac >= 0.35 and skel_median_cc_area <= 12.0 and text_density <= 0.035", "polar_axis_or_formula_plot"),
+    Step("n_cc between 120 and 220 and long_lines >= 15 and line_hv_ratio >= 0.85 and line_diag_ratio <= 0.05 and text_density <= 0.050", "hv_timeline_table_or_axis_plot"),
+    Step("n_cc between 90 and 140 and long_lines >= 30 and large_cc_frac >= 0.65 and line_hv_ratio >= 0.55 and line_diag_ratio <= 0.25 and skel_median_cc_area <= 12.0 and text_density <= 0.025", "low_density_axis_curve_plot"),
+    Step("n_cc <= 90 and long_lines >= 45 and line_hv_ratio >= 0.70 and line_diag_ratio <= 0.12 and skel_tiny_cc_frac >= 0.45 and skel_median_cc_area <= 6.0 and text_density <= 0.030", "sparse_tiny_table_or_timeline"),
+    Step("n_cc <= 80 and long_lines >= 50 and large_cc_frac >= 0.85 and line_diag_ratio >= 0.55 and text_density <= 0.070", "sparse_diagonal_chart_or_projection"),
+    Step("n_cc >= 500 and large_cc_frac <= 0.50 and long_lines >= 30 and skel_tiny_cc_frac >= 0.35 and line_diag_ratio >= 0.45 and text_density <= 0.060", "dense_diagonal_scientific_plot"),
+    Step("text_density >= 0.065 and long_lines >= 70 and large_cc_frac >= 0.78 and (line_diag_ratio >= 0.60 or line_hv_ratio >= 0.75)", "dense_axis_chart_or_hatching"),
+    Step("n_cc <= 120 and long_lines >= 20 and large_cc_frac >= 0.75 and skel_median_cc_area >= 30.0 and (line_hv_ratio >= 0.55 or line_diag_ratio <= 0.30)", "sparse_axis_plot"),
+    Step("n_cc >= 300 and text_density <= 0.075 and large_cc_frac <= 0.85 and skel_tiny_cc_frac >= 0.55 and skel_median_cc_area <= 6.0 and line_diag_ratio >= 0.25", "multi_panel_plot_or_legend"),
+    Step("n_cc between 170 and 280 and long_lines >= 12 and large_cc_frac >= 0.60 and skel_tiny_cc_frac >= 0.30 and skel_median_cc_area <= 12.0 and line_diag_ratio >= 0.50 and text_density <= 0.055", "sparse_diagonal_plot_or_legend"),
+    Step("n_cc between 100 and 230 and long_lines >= 10 and large_cc_frac >= 0.50 and skel_tiny_cc_frac >= 0.35 and skel_median_cc_area <= 20.0 and text_density <= 0.055 and (line_diag_ratio >= 0.25 or line_hv_ratio >= 0.55)", "small_axis_plot_or_legend"),
+    Step("n_cc <= 100 and long_lines >= 25 and large_cc_frac >= 0.80 and line_hv_ratio >= 0.80 and skel_median_cc_area <= 20.0 and text_density <= 0.060", "sparse_hv_profile_or_plot"),
+    Step("n_cc <= 100 and long_lines >= 40 and large_cc_frac >= 0.75 and line_diag_ratio >= 0.35 and skel_median_cc_area <= 25.0 and text_density <= 0.045", "sparse_curve_plot_low_components"),
+    Step("text_density >= 0.065 and n_cc <= 100 and large_cc_frac >= 0.90 and long_lines >= 20", "dense_small_chart_or_symbol_page"),
+    Step("n_cc <= 80 and long_lines >= 8 and line_hv_ratio >= 0.95 and line_diag_ratio <= 0.05 and skel_median_cc_area >= 15.0 and text_density <= 0.050", "sparse_hv_table_or_timeline"),
+    Step("n_cc <= 120 and long_lines >= 40 and large_cc_frac >= 0.90 and skel_tiny_cc_frac >= 0.40 and skel_median_cc_area <= 5.0 and line_diag_ratio >= 0.40 and text_density <= 0.070", "single_curve_plot_high_large_frac"),
+    Step("n_cc between 120 and 220 and long_lines >= 18 and large_cc_frac >= 0.55 and line_hv_ratio >= 0.80 and skel_median_cc_area <= 18.0 and text_density <= 0.045", "hv_component_table_or_diagram"),
+    Step("n_cc between 140 and 300 and long_lines >= 6 and large_cc_frac <= 0.55 and skel_tiny_cc_frac >= 0.40 and skel_median_cc_area <= 10.0 and text_density <= 0.040 and (line_hv_ratio >= 0.45 or line_diag_ratio <= 0.10)", "sparse_low_large_plot_or_legend"),
+    Step("n_cc between 120 and 220 and long_lines >= 8 and large_cc_frac <= 0.60 and line_hv_ratio >= 0.60 and line_diag_ratio <= 0.30 and skel_median_cc_area <= 12.0 and text_density <= 0.040", "moderate_sparse_axis_plot"),
+    Step("n_cc between 240 and 360 and large_cc_frac <= 0.65 and long_lines <= 18 and skel_tiny_cc_frac >= 0.40 and skel_median_cc_area <= 12.0 and line_diag_ratio >= 0.45 and text_density <= 0.040", "sparse_scientific_diagram"),
+    Step("n_cc <= 130 and long_lines >= 25 and large_cc_frac >= 0.65 and line_diag_ratio >= 0.65 and skel_median_cc_area <= 14.0 and text_density <= 0.040", "sparse_diagonal_axis_plot"),
+    Step("n_cc <= 180 and long_lines >= 10 and large_cc_frac >= 0.60 and skel_median_cc_area >= 20.0 and text_density <= 0.055 and (line_hv_ratio >= 0.48 or line_diag_ratio >= 0.30)", "sparse_curve_axis_or_timing_plot"),
+    Step("n_cc between 120 and 260 and long_lines >= 20 and large_cc_frac >= 0.62 and skel_tiny_cc_frac >= 0.12 and skel_median_cc_area <= 30.0 and text_density <= 0.055 and (line_hv_ratio >= 0.60 or line_diag_ratio <= 0.25)", "text_axis_or_legend_plot"),
+]
+CONTENT_FEATURES = ["n_cc", "long_lines", "large_cc_frac", "line_hv_ratio", "line_diag_ratio", "skel_tiny_cc_frac", "skel_median_cc_area", "text_density", "skel_n_cc"]
+
+
+def with_zeros(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The table with 0 for what these columns lack."""
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in columns})

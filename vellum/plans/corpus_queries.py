@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vellum.functions.keys import last_part, plain_patent, run_path
 from vellum.operators import aggregates as agg
 from vellum.operators import relational as rel
-from vellum.operators.rules import MANIFEST_GATES, PAGE_CLASSES, PAGE_ELSE, STAGE_FLAGS, UNREADABLE, as_sql, first_match, stage_gate
+from vellum.operators.rules import CONTENT, CONTENT_FEATURES, MANIFEST_GATES, PAGE_CLASSES, PAGE_ELSE, STAGE_FLAGS, UNREADABLE, as_sql, first_match, stage_gate, with_zeros
 from vellum.session import fresh_path, table
 from vellum.sources import readers, sinks
 
@@ -83,24 +83,39 @@ def stage_gates(spark, d):
 # --- joins
 
 
+ZEROS = ", ".join(f"coalesce({c}, 0) AS {c}" for c in CONTENT_FEATURES)
+
+
+@query(f"SELECT load_no, {as_sql(CONTENT)} AS content FROM (SELECT load_no, {ZEROS} FROM filter_manifest)")
+def page_contents(spark, d):
+    """What each page shows by the chain of content rules, or null."""
+    return with_zeros(table(spark, d, "filter_manifest"), CONTENT_FEATURES).select("load_no", first_match(CONTENT).alias("content"))
+
+
 @query(f"""WITH last AS ({LAST_PAGE}), files AS (SELECT DISTINCT regexp_replace(regexp_replace(regexp_replace(trim(replace(path, '\\', '/')), '/(\\./)+', '/', 'g'), '/+', '/', 'g'), '/[^/]+/\\.\\./', '/', 'g') AS p FROM artifact_files WHERE deleted_at IS NULL),
 have AS (SELECT regexp_extract(p, '(?:^|.*/)runs/corpus_gated/(.*)$', 1) AS k FROM files),
-joined AS (SELECT r.*, l.load_no AS page_no, l.reason AS page_reason, l.label AS page_label, CASE WHEN r.plain || '/graphs/' || sketch_id || '_graph.json' NOT IN (SELECT k FROM have) THEN 'missing_graph' WHEN r.plain || '/primitives/' || sketch_id || '_primitives.json' NOT IN (SELECT k FROM have) THEN 'missing_primitives' WHEN r.plain || '/vectors/' || sketch_id || '.svg' NOT IN (SELECT k FROM have) THEN 'missing_svg' END AS absent
-FROM ({SKETCH}) r LEFT JOIN last l ON r.plain = l.plain AND {NAME} = l.filename)
-SELECT load_no, page_no, CASE WHEN status <> 'ok' THEN 'pipeline_' || status WHEN page_label IS DISTINCT FROM 'drawing' THEN 'filter_' || coalesce(page_label, 'missing') WHEN page_reason <> 'long_engineering_lines' THEN 'filter_' || page_reason WHEN NOT starts_with(upper(sketch_id), 'F') THEN 'non_figure_letter_code' WHEN absent IS NOT NULL THEN absent ELSE {as_sql(MANIFEST_GATES, 'keep')} END AS curation FROM joined""")
+zeros AS (SELECT load_no, {ZEROS} FROM filter_manifest), shown AS (SELECT load_no, {as_sql(CONTENT)} AS content FROM zeros),
+joined AS (SELECT r.*, l.load_no AS page_no, l.reason AS page_reason, l.label AS page_label, shown.content, CASE WHEN r.plain || '/graphs/' || sketch_id || '_graph.json' NOT IN (SELECT k FROM have) THEN 'missing_graph'
+  WHEN r.plain || '/primitives/' || sketch_id || '_primitives.json' NOT IN (SELECT k FROM have) THEN 'missing_primitives' WHEN r.plain || '/vectors/' || sketch_id || '.svg' NOT IN (SELECT k FROM have) THEN 'missing_svg' END AS absent
+FROM ({SKETCH}) r LEFT JOIN last l ON r.plain = l.plain AND {NAME} = l.filename LEFT JOIN shown ON shown.load_no = l.load_no)
+SELECT load_no, page_no, CASE WHEN status <> 'ok' THEN 'pipeline_' || status WHEN page_label IS DISTINCT FROM 'drawing' THEN 'filter_' || coalesce(page_label, 'missing') WHEN page_reason <> 'long_engineering_lines' THEN 'filter_' || page_reason
+  WHEN NOT starts_with(upper(sketch_id), 'F') THEN 'non_figure_letter_code' WHEN absent IS NOT NULL THEN absent WHEN content IS NOT NULL THEN content ELSE {as_sql(MANIFEST_GATES, 'keep')} END AS curation FROM joined""")
 def curated_runs(spark, d):
-    """Runs with the last manifest row of their page, the first artefact that is missing and the first gate that they fail."""
-    last = last_pages(spark, d).select("plain", F.col("filename").alias("name"), F.col("load_no").alias("page_no"), F.col("reason").alias("page_reason"), F.col("label").alias("page_label"))
+    """Runs with the last manifest row of their page: the first artefact that is missing, what the page shows, and the first gate that they fail."""
+    last = with_zeros(last_pages(spark, d), CONTENT_FEATURES)
+    last = last.select("plain", F.col("filename").alias("name"), F.col("load_no").alias("page_no"), F.col("reason").alias("page_reason"), F.col("label").alias("page_label"), first_match(CONTENT).alias("content"))
     have = table(spark, d, "artifact_files").where("deleted_at is null").select(run_path(F.col("path")).alias("k")).distinct()
     rows = runs(spark, d).withColumn("name", last_part(F.col("input_path"))).join(last, ["plain", "name"], "left")
     # one row per artefact, probed by one join
-    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.concat("plain", F.lit(f"/{folder}/"), "sketch_id", F.lit(end)).alias("k")) for i, (folder, end) in enumerate([("graphs", "_graph.json"), ("primitives", "_primitives.json"), ("vectors", ".svg")])])
+    ends = enumerate([("graphs", "_graph.json"), ("primitives", "_primitives.json"), ("vectors", ".svg")])
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.concat("plain", F.lit(f"/{folder}/"), "sketch_id", F.lit(end)).alias("k")) for i, (folder, end) in ends])
     absent = rows.where("status = 'ok'").select("load_no", F.explode(wanted).alias("w")).select("load_no", "w.*").join(have, "k", "left_anti").groupBy("load_no").agg(F.min("i").alias("i"))
     rows = rows.join(absent, "load_no", "left").withColumn("absent", F.get(F.array(F.lit("missing_graph"), F.lit("missing_primitives"), F.lit("missing_svg")), F.col("i")))
     stage = F.when(F.col("status") != "ok", F.concat(F.lit("pipeline_"), "status"))
-    page = F.when(F.coalesce(F.col("page_label"), F.lit("")) != "drawing", F.concat(F.lit("filter_"), F.coalesce("page_label", F.lit("missing")))).when(F.col("page_reason") != "long_engineering_lines", F.concat(F.lit("filter_"), "page_reason"))
+    page = F.when(F.coalesce(F.col("page_label"), F.lit("")) != "drawing", F.concat(F.lit("filter_"), F.coalesce("page_label", F.lit("missing"))))
+    page = page.when(F.col("page_reason") != "long_engineering_lines", F.concat(F.lit("filter_"), "page_reason"))
     code = F.when(~F.upper("sketch_id").startswith("F"), F.lit("non_figure_letter_code"))
-    return rows.select("load_no", "page_no", F.coalesce(stage, page, code, F.col("absent"), first_match(MANIFEST_GATES, "keep")).alias("curation"))
+    return rows.select("load_no", "page_no", F.coalesce(stage, page, code, F.col("absent"), F.col("content"), first_match(MANIFEST_GATES, "keep")).alias("curation"))
 
 
 @query(f"SELECT r.load_no FROM ({SKETCH}) r WHERE NOT EXISTS (SELECT 1 FROM ({LAST_PAGE}) l WHERE l.label = 'discard' AND l.plain = r.plain AND l.filename = {NAME})")
