@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.operators.relational import hot_keys, salted_join
 from vellum.session import written
 
 SALTS = 64
@@ -37,17 +38,18 @@ def best(rows: DataFrame, limit: int) -> DataFrame:
     return few.withColumn("place", F.row_number().over(Window.partitionBy("contributor").orderBy(*order))).where(F.col("place") <= limit).select(*ROW, "place")
 
 
-def behind(rows: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """Rows with ``out``: whether they rank behind their contributor's cutoff."""
+def behind(rows: DataFrame, cutoffs: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows with ``out``: whether they rank behind their contributor's cutoff; the rows of hot contributors are spread over tasks."""
     out = (F.col("score") < F.col("cut_score")) | ((F.col("score") == F.col("cut_score")) & (F.col("row_id") > F.col("cut_id")))
-    return rows.join(cutoffs, "contributor", "left").select(*ROW, F.coalesce(out, F.lit(False)).alias("out"))
+    return salted_join(rows.select(*ROW), cutoffs, ["contributor"], hot).select(*ROW, F.coalesce(out, F.lit(False)).alias("out"))
 
 
 @dataclass
 class CapState:
-    """Kept records and the log of displaced ones after the batches so far."""
+    """Kept records and the log of displaced ones after the batches so far; ``hot`` are the contributors with the most rows."""
 
     limit: int
+    hot: DataFrame
     kept: DataFrame | None = None
     displaced: tuple[DataFrame, ...] = ()
 
@@ -60,12 +62,12 @@ class CapState:
         if self.kept is None:
             pool, log = batch.select(*ROW), ()
         else:
-            tried = written(behind(batch, self.cutoffs()), "cap-tried")
+            tried = written(behind(batch, self.cutoffs(), self.hot), "cap-tried")
             log = (tried.where("out").select(*ROW),)
             pool = tried.where("not out").select(*ROW).unionByName(self.kept.select(*ROW))
-        state = CapState(self.limit, written(best(pool, self.limit), "cap-kept"))
-        log += (behind(pool, state.cutoffs()).where("out").select(*ROW),)
-        return CapState(self.limit, state.kept, self.displaced + log)
+        state = CapState(self.limit, self.hot, written(best(pool, self.limit), "cap-kept"))
+        log += (behind(pool, state.cutoffs(), self.hot).where("out").select(*ROW),)
+        return CapState(self.limit, self.hot, state.kept, self.displaced + log)
 
     def log(self) -> DataFrame:
         """All displaced rows."""
@@ -84,7 +86,7 @@ def capped(rows: DataFrame, limit: int = 10, months: int = 6) -> CapState:
     """Feed scored rows in batches of ``months`` months, in order of their time; rows without one come first."""
     period = F.coalesce(F.floor((F.year("at") * 12 + F.month("at") - 1) / months), F.lit(0))
     staged = written(rows.withColumn("period", period).select(*ROW, "period"), "cap-rows", "period")
-    state = CapState(limit)
+    state = CapState(limit, hot_keys(staged, ["contributor"]))
     for p in sorted(r[0] for r in staged.select("period").distinct().collect()) or [0]:  # one row per period
         state = state.advance(staged.where(F.col("period") == p))
     return state

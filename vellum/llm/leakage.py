@@ -214,33 +214,32 @@ def run_of(line: Line, least: int) -> tuple[int, int, int] | None:
 def best_chain(item: Item, text: str, low: int, high: int) -> Line:
     """The chain with the most words over all their places in a part of a text.
 
-    A word follows the one before it at once, or after a jump over at most an eighth of the item's words if a probe of the next words
-    fits there and the gap is no longer than the words left out may be; these are then looked for in the gap.
+    A word follows the one before it at once, or stands where a probe of the next words fits; there it may also follow a jump over at
+    most an eighth of the item's words, if the gap is no longer than the words left out may be.  These are then looked for in the gap, and
+    the ends of the chain are walked on.
     """
     words, ends, n = item.words, item.ends, len(item.words)
     ahead = max(LOOKAHEAD, n // WRONG_SHARE)
     best: list[dict[int, tuple[int, int, int]]] = []  # by word: start -> (length of the chain, word before, its start)
-    jumps: list[list[tuple[int, int]]] = []  # by word: (end, start) of the chains that can be jumped from
     for j, w in enumerate(words):
         own: dict[int, tuple[int, int, int]] = {}
-        probe, at = item.ahead[j], text.find(w, low, high)
+        for start, (size, _, _) in best[j - 1].items() if j else ():
+            stop = start + len(words[j - 1])
+            if text.startswith(w, stop, high):
+                own[stop] = size + 1, j - 1, start
+        probe = item.ahead[j]
+        at = text.find(probe, low, high) if len(probe) >= 3 else -1
         while at >= 0:
-            top = (1, -1, -1)
-            if j:
-                before = best[j - 1].get(at - len(words[j - 1]))
-                if before:
-                    top = max(top, (before[0] + 1, j - 1, at - len(words[j - 1])))
-            if len(probe) >= 3 and text.startswith(probe, at):
-                for s in range(1, min(ahead, j - 1) + 1):
-                    i = j - s - 1
-                    room = ends[j - 1] - ends[i] + s * item.slack
-                    for stop, start in jumps[i]:
-                        if 0 <= at - stop <= room and best[i][start][0] + 1 > top[0]:
-                            top = best[i][start][0] + 1, i, start
+            top = own.get(at, (1, -1, -1))
+            for s in range(1, min(ahead, j - 1) + 1):
+                i = j - s - 1
+                room = ends[j - 1] - ends[i] + s * item.slack
+                for start, (size, _, _) in best[i].items():
+                    if 0 <= at - start - len(words[i]) <= room and size + 1 > top[0]:
+                        top = size + 1, i, start
             own[at] = top
-            at = text.find(w, at + 1, high)
+            at = text.find(probe, at + 1, high)
         best.append(own)
-        jumps.append([(p + len(w), p) for p in own])
     ends_at = [(v[0], j, p) for j, own in enumerate(best) for p, v in own.items()]
     if not ends_at:
         return []
@@ -250,7 +249,7 @@ def best_chain(item: Item, text: str, low: int, high: int) -> Line:
         line.append((j, p, p + len(words[j])))
         _, j, p = best[j][p]
     line.reverse()
-    whole: Line = []
+    whole: Line = aligned(item, text, line[0][0] - 1, line[0][1], False)[::-1]
     for k, a, b in line:
         if whole and k > whole[-1][0] + 1:
             at = whole[-1][2]
@@ -260,7 +259,7 @@ def best_chain(item: Item, text: str, low: int, high: int) -> Line:
                     at = r + len(words[i])
                     whole.append((i, r, at))
         whole.append((k, a, b))
-    return whole
+    return whole + aligned(item, text, line[-1][0] + 1, line[-1][2], True)
 
 
 def in_order(patterns: list[int]) -> int:

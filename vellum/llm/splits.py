@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions.keys import leading_patent, plain_patent
 from vellum.operators.components import components
+from vellum.operators.relational import hot_keys, hot_of, salted_join
 from vellum.session import written
 
 SPLITS, SHARES = ("train", "validation", "test"), (0.8, 0.1, 0.1)
@@ -34,7 +35,7 @@ def grouped(rows: DataFrame, entity: F.Column, tie: F.Column) -> DataFrame:
     named = rows.withColumn("_entity", entity).withColumn("_tied", tie)
     edges = named.select("_entity", "_tied").where("_tied is not null and _entity is not null and _tied <> _entity").distinct()
     roots = written(components(edges, "_entity", "_tied"), "split-groups").withColumnsRenamed({"node": "_entity", "root": "_found"})
-    return named.join(roots, "_entity", "left").withColumn("group_key", F.coalesce("_found", "_entity")).drop("_entity", "_tied", "_found")
+    return salted_join(named, roots, ["_entity"], hot_keys(named, ["_entity"])).withColumn("group_key", F.coalesce("_found", "_entity")).drop("_entity", "_tied", "_found")
 
 
 def place(groups: list[tuple[object, dict[str, int]]], desired: list[dict[str, float]], room: list[float]) -> dict[object, int]:
@@ -104,10 +105,11 @@ def group_splits(rows: DataFrame, label: str, shares: tuple[float, ...] = SHARES
 
 
 def split_rows(rows: DataFrame, label: str, **how: object) -> DataFrame:
-    """Rows with their ``split``; groups are never divided."""
-    chosen = written(group_splits(rows, label, **how), "split-choice")
-    own = rows.join(chosen.withColumnRenamed("group_key", "_key"), F.col("group_key").eqNullSafe(F.col("_key")), "left")
-    return own.drop("_key")
+    """Rows with their ``split``; groups are never divided, and those that hold many rows are spread over tasks."""
+    key = F.struct(F.coalesce("group_key", F.lit("")).alias("k"), F.col("group_key").isNull().alias("none"))  # null is a group too
+    chosen = written(group_splits(rows, label, **how).select(key.alias("_group"), "split"), "split-choice")
+    own = rows.withColumn("_group", key)
+    return salted_join(own, chosen, ["_group"], hot_keys(own, ["_group"])).drop("_group")
 
 
 def patent_groups(results: DataFrame) -> DataFrame:
@@ -116,6 +118,6 @@ def patent_groups(results: DataFrame) -> DataFrame:
 
 
 def mixed_groups(rows: DataFrame, shown: str) -> DataFrame:
-    """Rows of groups that show more than one stored value of ``shown``; counted on distinct pairs."""
-    many = rows.groupBy("group_key").agg(F.min(shown).alias("low"), F.max(shown).alias("high")).where("low <> high").select("group_key")
-    return rows.join(many, "group_key", "left_semi")
+    """Rows of groups that show more than one stored value of ``shown``."""
+    seen = written(rows.groupBy("group_key").agg(F.min(shown).alias("low"), F.max(shown).alias("high"), F.count("*").alias("n")), "group-values")
+    return salted_join(rows, seen.where("low <> high").select("group_key"), ["group_key"], hot_of(seen, ["group_key"], "n"), "left_semi")
