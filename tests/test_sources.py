@@ -308,3 +308,33 @@ def test_classifier_on_held_out_strokes(spark):
 def test_chain_from_a_table(spark):
     table = spark.createDataFrame([(2, "n > 1", "late"), (1, "n > 5", "first")], "place int, condition string, gives string")
     assert [r[0] for r in spark.range(8).selectExpr("cast(id as int) n").select(first_match(steps_of(table))).collect()] == [None, None, "late", "late", "late", "late", "first", "first"]
+
+
+def test_command_line(spark, tmp_path):
+    from vellum.__main__ import main
+
+    page = raster.drawn([[(100, 100), (400, 100), (400, 400), (100, 400), (100, 100)]], 512, 512, 3)
+    for x in (440, 452):
+        page[200:216, x : x + 8] = True
+    (tmp_path / "EP1").mkdir()
+    (tmp_path / "EP1" / "EP1_F0001.tif").write_bytes(tiff(page, 4, 1, data=[coded_group_4(page)], dark_zero=False))
+    (tmp_path / "EP1" / "EP1_F0002.tif").write_bytes(b"II*\0broken")
+    main(["references", "--pages", str(tmp_path / "EP1"), "--out", str(tmp_path / "out")])
+    got = {r["path"][-9:]: r for r in spark.read.parquet(str(tmp_path / "out" / "references")).collect()}
+    doc = json.loads(got["F0001.tif"]["document"])
+    assert doc["schema"] == "stage0_references_v1" and doc["image_size"] == [512, 512] and doc["active_removal"] and doc["n_labels"] == 1 and doc["reference_labels"][0]["bbox"] == [440, 200, 20, 16]
+    clean = np.frombuffer(got["F0001.tif"]["gray"], np.uint8).reshape(512, 512)
+    assert (clean[200:216, 440:460] == 255).all() and clean[101, 200] == 0 and got["F0002.tif"]["error"]
+    main(["filter", "--pages", str(tmp_path / "EP1"), "--out", str(tmp_path / "out"), "--format", "json"])
+    pages = {r["path"][-9:]: r for r in spark.read.json(str(tmp_path / "out" / "pages")).collect()}
+    assert pages["F0001.tif"]["label"] == "drawing" and pages["F0002.tif"]["reason"] == "load_error"
+
+
+def test_registered_functions(spark):
+    from vellum.functions import registered
+
+    registered.register(spark)
+    row = spark.sql("SELECT plain_patent(' ep-1234567 b1') AS p, angle_delta(170, 5) AS a, point_segment(0, 5, 0, 0, 10, 0) AS d, point_segment(3, 4, 0, 0, 0, 0) AS e, fit_confidence(0.5, 1.5) AS c").first()
+    assert (row["p"], row["a"], row["d"], row["e"], row["c"]) == ("EP1234567", 15.0, 5.0, 5.0, 0.25)
+    points = spark.sql("""SELECT p.* FROM VALUES ('<path d="M 0 0 L 3 4"/>'), (NULL) AS t(svg), LATERAL svg_points(svg) AS p""").collect()
+    assert sorted(tuple(p) for p in points) == [(0, 0, 0.0, 0.0), (0, 1, 3.0, 4.0)]

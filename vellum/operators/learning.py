@@ -40,3 +40,23 @@ def predicted(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """Rows with ``guess``."""
     names = model.stages[0].labels
     return model.transform(rows).withColumn("guess", F.get(F.array(*map(F.lit, names)), F.col("prediction").cast("int"))).drop("_label", "_features", "rawPrediction", "probability", "prediction")
+
+
+#: Commands by number, and the numbers of a command's vector (fixed values).
+COMMANDS, NUMBERS = {"LINE": 0, "ARC": 1, "CIRCLE": 2, "POLYLINE": 3}, 6
+
+
+def encoded_commands(df: DataFrame, command: str = "command") -> DataFrame:
+    """Commands with ``type_id`` and ``params``: ends of a line; centre, radius and turns of an arc; centre and radius of a circle; zeros for a polyline."""
+    c = F.col(command)
+    turn = F.radians(c["start_angle"])
+    values = {
+        "LINE": [c["x"], c["y"], c["x"] + c["size"] * F.cos(turn), c["y"] + c["size"] * F.sin(turn)],
+        "ARC": [c["x"], c["y"], c["size"], c["start_angle"] / 360.0, (c["start_angle"] + c["span"]) / 360.0],
+        "CIRCLE": [c["x"], c["y"], c["size"]],
+    }
+    params, number = F.array(*[F.lit(0.0)] * NUMBERS), F.lit(COMMANDS["POLYLINE"])
+    for name, own in values.items():
+        params = F.when(c["type"] == name, F.array(*own, *[F.lit(0.0)] * (NUMBERS - len(own)))).otherwise(params)
+        number = F.when(c["type"] == name, COMMANDS[name]).otherwise(number)
+    return df.withColumns({"type_id": number, "params": params})

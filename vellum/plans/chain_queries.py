@@ -36,7 +36,7 @@ sm AS (SELECT doc_no, prim, any_value(n) AS n, any_value(mx) AS mx, any_value(my
 dt AS (SELECT *, uu * vv - uv * uv AS det, 0.5 * atan2(2 * uv, uu - vv) AS t, sqrt((au - bu) ** 2 + (av - bv) ** 2) AS chord FROM sm),
 f AS (SELECT *, CASE WHEN abs(det) > 1e-9 * (uu + vv) * (uu + vv) THEN (r1 * vv - r2 * uv) / det END AS ca, CASE WHEN abs(det) > 1e-9 * (uu + vv) * (uu + vv) THEN (r2 * uu - r1 * uv) / det END AS cb FROM dt),
 g AS (SELECT *, sqrt(ca * ca + cb * cb + (uu + vv) / n) AS radius FROM f),
-r AS (SELECT g.*, abs(-c.u * sin(t) + v * cos(t)) AS lo, abs(sqrt((u - ca) ** 2 + (v - cb) ** 2) - radius) AS co,
+r AS (SELECT g.*, (degrees(atan2(v - cb, u - ca)) + 360) % 360 AS angle, abs(-c.u * sin(t) + v * cos(t)) AS lo, abs(sqrt((u - ca) ** 2 + (v - cb) ** 2) - radius) AS co,
       CASE WHEN chord > 5 THEN abs((u - au) * (av - bv) - (v - av) * (au - bu)) / chord END AS bulge FROM c JOIN g USING (doc_no, prim)),
 fit AS (SELECT doc_no, prim, any_value(n) AS n, any_value(mx) AS mx, any_value(my) AS my, any_value(ca) AS ca, any_value(cb) AS cb, any_value(radius) AS radius, any_value(chord) AS chord, any_value(uu) AS uu, any_value(vv) AS vv, any_value(det) AS det,
       avg((lo <= 1.5)::INT) AS line_inliers, sqrt(avg(lo * lo)) AS line_rms, avg((co <= 1.5)::INT) AS circle_inliers, sqrt(avg(co * co)) AS circle_rms, max(bulge) AS sagitta
@@ -134,7 +134,12 @@ def closed_types(spark, d):
     return rounded(geo.closed_choice(chains(spark, d).where("closed")).select(*BY, "type", "confidence"), "confidence")
 
 
-@query()
+@query(f"""{SQL_FITS},
+sel AS (SELECT doc_no, prim, angle, co, count(*) FILTER (co <= 1.5) OVER (PARTITION BY doc_no, prim) AS k FROM r WHERE radius > 1e-3),
+own AS (SELECT doc_no, prim, angle FROM sel WHERE k < 5 OR co <= 1.5),
+gp AS (SELECT doc_no, prim, angle AS e, coalesce(lead(angle) OVER w, first(angle) OVER (PARTITION BY doc_no, prim ORDER BY angle ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) + 360) AS s FROM own WINDOW w AS (PARTITION BY doc_no, prim ORDER BY angle)),
+top AS (SELECT *, row_number() OVER (PARTITION BY doc_no, prim ORDER BY s - e DESC, e) AS place FROM gp)
+SELECT doc_no, prim::INT AS prim, round(s % 360, 2) AS start, round(e, 2) AS "end", round(360 - (s - e), 2) AS span FROM top WHERE place = 1""")
 def arc_spans(spark, d):
     """Where the arc of each chain around its fitted circle starts and ends, and how far it reaches."""
     return rounded(geo.arc_spans(chains(spark, d)).select(*BY, "start", "end", "span"), "start", "end", "span", to=2)
@@ -205,11 +210,11 @@ def vertex_kinds(spark, d):
 
 @query(f"""{SQL_POINTS},
 i AS (SELECT doc_no, prim, list(x ORDER BY k) AS xs, list(y ORDER BY k) AS ys, count(*) AS n FROM pts GROUP BY ALL)
-SELECT doc_no, prim::INT AS prim, t::INT AS slot, CASE WHEN n <= {SLOTS} THEN coalesce(xs[t + 1], -1) ELSE xs[t * (n - 1) // {SLOTS - 1} + 1] END AS x, CASE WHEN n <= {SLOTS} THEN coalesce(ys[t + 1], -1) ELSE ys[t * (n - 1) // {SLOTS - 1} + 1] END AS y
+SELECT doc_no, prim::INT AS prim, t::INT AS slot, CASE WHEN n <= {SLOTS} THEN coalesce(xs[t + 1], -1) ELSE xs[round_even(t * (n - 1) / {SLOTS - 1}.0, 0)::INT + 1] END AS x, CASE WHEN n <= {SLOTS} THEN coalesce(ys[t + 1], -1) ELSE ys[round_even(t * (n - 1) / {SLOTS - 1}.0, 0)::INT + 1] END AS y
 FROM i, range({SLOTS}) r(t)""")
 def encoded_chains(spark, d):
     """Chains in 32 slots: short ones as they are with -1 behind, long ones thinned evenly."""
     n = F.size("pts")
-    place = lambda t: F.when(n <= SLOTS, t).otherwise(F.floor(t * (n - 1) / (SLOTS - 1)).cast("int"))
+    place = lambda t: F.when(n <= SLOTS, t).otherwise(F.bround(t * (n - 1) / (SLOTS - 1)).cast("int"))
     slots = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda t: F.struct(t.alias("slot"), F.coalesce(F.get("pts", place(t))["x"], F.lit(-1.0)).alias("x"), F.coalesce(F.get("pts", place(t))["y"], F.lit(-1.0)).alias("y")))
     return chains(spark, d).select(*BY, F.inline(slots))
