@@ -138,8 +138,8 @@ def closed_types(spark, d):
 sel AS (SELECT doc_no, prim, angle, co, count(*) FILTER (co <= 1.5) OVER (PARTITION BY doc_no, prim) AS k FROM r WHERE radius > 1e-3),
 own AS (SELECT doc_no, prim, angle FROM sel WHERE k < 5 OR co <= 1.5),
 gp AS (SELECT doc_no, prim, angle AS e, coalesce(lead(angle) OVER w, first(angle) OVER (PARTITION BY doc_no, prim ORDER BY angle ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) + 360) AS s FROM own WINDOW w AS (PARTITION BY doc_no, prim ORDER BY angle)),
-top AS (SELECT *, row_number() OVER (PARTITION BY doc_no, prim ORDER BY s - e DESC, e) AS place FROM gp)
-SELECT doc_no, prim::INT AS prim, round(s % 360, 2) AS start, round(e, 2) AS "end", round(360 - (s - e), 2) AS span FROM top WHERE place = 1""")
+widest AS (SELECT *, row_number() OVER (PARTITION BY doc_no, prim ORDER BY s - e DESC, e) AS place FROM gp)
+SELECT doc_no, prim::INT AS prim, round(s % 360, 2) AS start, round(e, 2) AS "end", round(360 - (s - e), 2) AS span FROM widest WHERE place = 1""")
 def arc_spans(spark, d):
     """Where the arc of each chain around its fitted circle starts and ends, and how far it reaches."""
     return rounded(geo.arc_spans(chains(spark, d)).select(*BY, "start", "end", "span"), "start", "end", "span", to=2)
