@@ -59,8 +59,8 @@ def merged(counts: DataFrame) -> DataFrame:
     return counts.groupBy(*KEY, "live_from").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_live").alias("n_live"))
 
 
-def probed(refs: DataFrame, index: DataFrame) -> DataFrame:
-    """References with the state that the index gives them."""
+def probed(refs: DataFrame, index: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """References with the state that the index gives them; those of hot keys are spread over tasks."""
     alive = F.when(F.col("n_live") > 0, F.struct(F.coalesce("live_from", F.timestamp_seconds(F.lit(0))).alias("first")))
     keys = index.groupBy(*KEY).agg(F.sum("n_rows").alias("n_rows"), F.min(alive).getField("first").alias("first_live"))
     state = (
@@ -69,7 +69,7 @@ def probed(refs: DataFrame, index: DataFrame) -> DataFrame:
         .when(F.col("first_live") > F.col("ref_at"), "late")
         .otherwise("resolved")
     )
-    return salted_join(refs, keys, KEY, hot_keys(refs, KEY)).select(*refs.columns, state.alias("ref_state"))
+    return salted_join(refs, keys, KEY, hot_keys(refs, KEY) if hot is None else hot).select(*refs.columns, state.alias("ref_state"))
 
 
 def union(parts: tuple[DataFrame, ...] | list[DataFrame]) -> DataFrame:
@@ -84,8 +84,12 @@ def of_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 @dataclass
 class OrphanState:
-    """State after the batches so far; ``advance`` gives the next one and leaves this one as it is."""
+    """State after the batches so far; ``advance`` gives the next one and leaves this one as it is.
 
+    ``hot`` are the keys that hold the most references, if they are known; else each batch counts its own.
+    """
+
+    hot: DataFrame | None = None
     index: tuple[DataFrame, ...] = ()
     refs: tuple[DataFrame, ...] = ()
     changes: tuple[DataFrame, ...] = ()
@@ -103,10 +107,10 @@ class OrphanState:
         if self.refs:
             asked = asked.unionByName(of_keys(self.latest, delta).withColumnRenamed("ref_state", "before"))
         keys = written(asked.select(*KEY).distinct(), "orphan-keys")
-        found = written(probed(asked, merged(of_keys(union(index), keys))), "orphan-found")
+        found = written(probed(asked, merged(of_keys(union(index), keys)), self.hot), "orphan-found")
         new = found.where("before is null").drop("before")
         changed = found.where("before <> ref_state").select(*OWN, "ref_state", F.lit(number).alias("at_batch"))
-        return OrphanState(index, (*self.refs, new), (*self.changes, changed) if self.refs else (), number).folded()
+        return OrphanState(self.hot, index, (*self.refs, new), (*self.changes, changed) if self.refs else (), number).folded()
 
     @cached_property
     def latest(self) -> DataFrame:
@@ -122,7 +126,7 @@ class OrphanState:
         """The same state with one part of each kind, once there are many."""
         if len(self.index) <= PARTS:
             return self
-        return OrphanState((written(merged(union(self.index)), "orphan-index"),), (written(self.latest, "orphan-refs"),), (), self.batches)
+        return OrphanState(self.hot, (written(merged(union(self.index)), "orphan-index"),), (written(self.latest, "orphan-refs"),), (), self.batches)
 
     def orphans(self) -> DataFrame:
         """All references that have no target now."""
@@ -146,7 +150,7 @@ def replay(refs: DataFrame, events: DataFrame, months: int = 6) -> list[tuple[st
     refs = written(refs.withColumn("period", period("ref_at", months)), "orphan-new-refs", "period")
     events = written(events.withColumn("period", period("at", months)).groupBy(*KEY, "live_from", "period").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_live").alias("n_live")), "orphan-events", "period")
     found = sorted(r[0] for r in refs.select("period").union(events.select("period")).distinct().collect())  # one row per period
-    states, state = [], OrphanState()
+    states, state = [], OrphanState(hot_keys(refs, KEY))
     for p in found or [0]:
         state = state.advance(refs.where(F.col("period") == p).drop("period"), events.where(F.col("period") == p).drop("period"))
         states.append((f"{p * months // 12:04d}-{p * months % 12 + 1:02d}", state))
