@@ -22,7 +22,7 @@ PAGES = [
     ({"n": 180, "med": 12.0, "large": 0.7499}, "discard/text_heavy_plot_table_or_block_diagram", {"large": 0.75}, REST),
     ({"n": 120, "large": 0.85, "diag": 0.12}, "discard/block_diagram_text_boxes", {"diag": 0.1199}, REST),
     ({"n": 120, "large": 0.85, "diag": 0.45}, "discard/block_diagram_text_boxes", {"diag": 0.4501}, REST),
-    ({"n": 350, "diag": 0.08, "tiny": 0.55, "hv": 0.85}, "discard/chart_or_axis_plot", {"hv": 0.8499}, REST),
+    ({"n": 350, "diag": 0.08, "tiny": 0.55, "hv": 0.85}, "discard/chart_or_axis_plot", {"hv": 0.8499}, "discard/text_box_circuit_or_block_diagram"),
     ({"n": 350, "diag": 0.08, "tiny": 0.55, "lines": 150}, "discard/chart_or_axis_plot", {"lines": 149}, LINES),
     ({"n": 120, "lines": 70, "large": 0.84, "diag": 0.22, "med": 15.0, "tiny": 0.4}, "discard/plot_or_flowchart", {"lines": 69}, LINES),
     ({"n": 70, "lines": 35, "large": 0.75, "diag": 0.45, "med": 20.0, "tiny": 0.25}, "discard/sparse_scientific_plot", {"med": 19.99}, LINES),
